@@ -19,8 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordIds, add_counts, below_fraction, crc_mod, csr
 from .latent import randomised_basis, times, unit
@@ -166,13 +168,12 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], thresho
 
     def run(batches):
         for b in batches:
-            out = b[keep].copy()
-            texts = b["text"].tolist()
-            out["quality_score"] = np.concatenate([shared.value.score(texts[a : a + 1000]) for a in range(0, len(texts), 1000)] or [np.zeros(0)])
-            yield out
+            texts = b.column("text").to_pylist()
+            scores = np.concatenate([shared.value.score(texts[a : a + 500]) for a in range(0, len(texts), 500)] or [np.zeros(0)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores)], [*keep, "quality_score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
-    return source.mapInPandas(run, fields + ", quality_score double").withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
+    schema = T.StructType([*source.select(*keep).schema, T.StructField("quality_score", T.DoubleType())])
+    return source.mapInArrow(run, schema).withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

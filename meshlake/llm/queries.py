@@ -7,6 +7,9 @@ import importlib
 #: query name -> module of this package that holds the function of that name
 MODULES = {
     "op2_toxicity": "toxicity",
+    "op3_warc": "warc",
+    "op4_ngram_join": "ngram_join",
+    "op6_packing": "packing",
     "op8_quality": "quality",
 }
 

@@ -20,21 +20,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import CACHE_WORDS, below_fraction, crc_mod, csr, sum_rows
 
 WORD = re.compile(r"[^\W\d_]+")
-BITS = 22
+BITS = 20
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     """Bounds of the training sample, size of the model and of its training."""
 
-    max_positive: int = 8_000  #: confirmed toxic documents in training, about
-    max_unlabelled: int = 16_000  #: unlabelled documents in training, about
+    max_positive: int = 6_000  #: confirmed toxic documents in training, about
+    max_unlabelled: int = 12_000  #: unlabelled documents in training, about
     features: int = 6_000
     min_documents: int = 3
     steps: int = 300
@@ -147,7 +149,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
 
     def read(batches):
         for b in batches:
-            yield pd.DataFrame({"confirmed": b["confirmed"].fillna(False).astype(bool), "drawn": b["drawn"].astype(bool), "features": [document_features(t).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"confirmed": b["confirmed"].eq(True), "drawn": b["drawn"].astype(bool), "features": [document_features(t).tobytes() for t in b["text"]]})
 
     rows = chosen.select("confirmed", "drawn", "text").mapInPandas(read, "confirmed boolean, drawn boolean, features binary").collect()
     rows = sorted(((r[0], r[1], bytes(r[2])) for r in rows))
@@ -162,12 +164,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], thres
 
     def run(batches):
         for b in batches:
-            out = b[keep].copy()
-            out["toxicity_score"] = shared.value.score(b["text"].tolist())
-            yield out
+            scores = pa.array(shared.value.score(b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), scores], [*keep, "toxicity_score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema)
-    return source.mapInPandas(run, fields + ", toxicity_score double").withColumn("toxicity_predicted", (F.col("toxicity_score") >= threshold).cast("int"))
+    schema = T.StructType([*source.select(*keep).schema, T.StructField("toxicity_score", T.DoubleType())])
+    return source.mapInArrow(run, schema).withColumn("toxicity_predicted", (F.col("toxicity_score") >= threshold).cast("int"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
