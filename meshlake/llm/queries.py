@@ -9,8 +9,11 @@ MODULES = {
     "op2_toxicity": "toxicity",
     "op3_warc": "warc",
     "op4_ngram_join": "ngram_join",
+    "op5_imatch": "imatch",
     "op6_packing": "packing",
+    "op7_sharding": "sharding",
     "op8_quality": "quality",
+    "op10_chat": "chat",
 }
 
 
