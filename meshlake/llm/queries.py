@@ -7,6 +7,7 @@ import importlib
 #: query name -> module of this package that holds the function of that name
 MODULES = {
     "op2_toxicity": "toxicity",
+    "op1_decontaminate": "decontaminate",
     "op3_warc": "warc",
     "op4_ngram_join": "ngram_join",
     "op5_imatch": "imatch",
