@@ -14,6 +14,7 @@ MODULES = {
     "op6_packing": "packing",
     "op7_sharding": "sharding",
     "op8_quality": "quality",
+    "op9_langid": "langid",
     "op10_chat": "chat",
 }
 
