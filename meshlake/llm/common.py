@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -27,17 +29,53 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_scopes: list[list[str]] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path below the shared folder; it goes with the innermost ``temporary`` unless kept."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """Delete at the end what was written down inside, but for what was kept."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        free_shuffles(spark)
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that is not among those taken, in any case of letters."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
+    spark, schema = df.sparkSession, df.schema
+    path = scratch(spark, name, keep)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now.
+
+    It drops them when the driver collects garbage, which a long job with a small
+    driver may not do before its executors' disks are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def crc_mod(column: str, n: int):

@@ -161,8 +161,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, p: QualityParams | None = No
     return QualityModel(idf, basis, unit(times(flat, weight, at, basis)), np.array([float(r[1] == 1) for r in rows]), p)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], threshold: float = 0.7) -> DataFrame:
-    """Columns ``keep`` of each row, with the score and the decision for its whole text."""
+def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], threshold: float = 0.7, names: tuple[str, str] = ("quality_score", "quality_predicted")) -> DataFrame:
+    """Columns ``keep`` of each row, with score and decision of its whole text in columns ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
 
@@ -170,10 +170,10 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], thresho
         for b in batches:
             texts = b.column("text").to_pylist()
             scores = np.concatenate([shared.value.score(texts[a : a + 500]) for a in range(0, len(texts), 500)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores)], [*keep, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(scores)], [*keep, names[0]])
 
-    schema = T.StructType([*source.select(*keep).schema, T.StructField("quality_score", T.DoubleType())])
-    return source.mapInArrow(run, schema).withColumn("quality_predicted", (F.col("quality_score") >= threshold).cast("int"))
+    schema = T.StructType([*source.select(*keep).schema, T.StructField(names[0], T.DoubleType())])
+    return source.mapInArrow(run, schema).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

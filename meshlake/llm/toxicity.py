@@ -157,18 +157,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
     return nnpu_fit(of(0), of(1), min(0.9, n_toxic / n_labels), p)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: float = 0.5) -> DataFrame:
-    """Columns ``keep`` of each row, with ``score`` and ``predicted`` of its whole text."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: float = 0.5, names: tuple[str, str] = ("toxicity_score", "toxicity_predicted")) -> DataFrame:
+    """Columns ``keep`` of each row, with score and decision of its whole text in columns ``names``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
 
     def run(batches):
         for b in batches:
             scores = pa.array(shared.value.score(b.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), scores], [*keep, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), scores], [*keep, names[0]])
 
-    schema = T.StructType([*source.select(*keep).schema, T.StructField("toxicity_score", T.DoubleType())])
-    return source.mapInArrow(run, schema).withColumn("toxicity_predicted", (F.col("toxicity_score") >= threshold).cast("int"))
+    schema = T.StructType([*source.select(*keep).schema, T.StructField(names[0], T.DoubleType())])
+    return source.mapInArrow(run, schema).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
