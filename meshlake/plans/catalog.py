@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
@@ -17,9 +18,20 @@ def register(name: str, run: Callable, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
+#: Modules that register queries when imported.
+MODULES = ("mesh_queries",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
