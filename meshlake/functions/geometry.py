@@ -78,7 +78,7 @@ def mat2euler(m) -> tuple[Column, Column, Column]:
     """Angles (phi, theta, psi) of a rotation matrix, theta in 0..pi."""
     theta = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m[2][2])))
     flat = F.abs(m[2][2]) > 1 - 1e-12
-    phi = F.when(flat, F.lit(0.0)).otherwise(F.atan2(m[1][2], m[0][2]))
+    phi = F.when(flat, F.lit(0.0)).otherwise(F.atan2(-m[1][2], -m[0][2]))
     t = euler2mat(phi, theta, F.lit(0.0))
     col = lambda a, j: [a[i][j] for i in range(3)]
     along = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
@@ -165,4 +165,9 @@ def line_triangle(origin: Vec, direction: Vec, a: Vec, b: Vec, c: Vec, one_sided
 def fibonacci_sphere(n: int) -> list[tuple[float, float, float]]:
     """Nearly even directions on the unit sphere."""
     golden = math.pi * (3 - math.sqrt(5))
-    return [(math.sqrt(max(0.0, 1 - z * z)) * math.cos(golden * i), math.sqrt(max(0.0, 1 - z * z)) * math.sin(golden * i), z) for i in range(n) for z in (1 - 2 * (i + 0.5) / n,)]
+    out = []
+    for i in range(n):
+        z = 1 - 2 * (i + 0.5) / n
+        r = math.sqrt(max(0.0, 1 - z * z))
+        out.append((r * math.cos(golden * i), r * math.sin(golden * i), z))
+    return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshlake.operators.graph import settle
+
 
 def distinct_counts(df: DataFrame, value: str) -> DataFrame:
     """(v, n): each value with its rows; what sorts and runs below work on."""
@@ -18,7 +20,8 @@ def running(df: DataFrame, partitions: int | None = None, weight: str = "n") ->
     carries the sums before it, so that no task sorts all values.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, "v").withColumn("p", F.spark_partition_id())
+    # written down: the bounds of ranges are drawn anew each time they are computed
+    ranged = settle(df.repartitionByRange(n, "v").withColumn("p", F.spark_partition_id()))
     inner = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("p").agg(F.sum(weight).alias("s"))
     outer = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
@@ -33,7 +36,7 @@ def shells(df: DataFrame, value: str, delta: float, keep_type: bool = False) ->
     """
     v = distinct_counts(df, value)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = v.repartitionByRange(n, "v").withColumn("p", F.spark_partition_id())
+    ranged = settle(v.repartitionByRange(n, "v").withColumn("p", F.spark_partition_id()))
     ends = ranged.groupBy("p").agg(F.max("v").alias("last"))
     outer = Window.orderBy("p")
     ends = ends.select("p", F.lag("last").over(outer).alias("last"))

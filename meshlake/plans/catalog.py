@@ -19,7 +19,7 @@ def register(name: str, run: Callable, sql: str | None = None) -> None:
 
 
 #: Modules that register queries when imported.
-MODULES = ("mesh_queries",)
+MODULES = ("mesh_queries", "table_queries")
 
 
 def _load() -> None:
