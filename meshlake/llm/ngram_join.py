@@ -7,11 +7,13 @@ small classes on two), so documents that share the content of such a fragment ar
 the only candidates. For a candidate pair, overlaps are counted fragment by fragment
 and summed per pair, and the sum decides.
 
-Equal sets are one class with one representative. Within a candidate group no pairs
-are formed for members already known to be connected: each member is first counted
-against one pivot, then only groups that still hold several components go on, member
-by member of the smaller components against the rest. Components are exact; links
-inside a component need not all be enumerated.
+Equal sets are one class with one representative. In a large candidate group no pairs
+are formed of all with all: each member is counted against one pivot, the member with
+most common keys. Where that leaves a group in several components, members are told
+apart by what they differ from the pivot in: |x ^ y| = |(x ^ p) ^ (y ^ p)|, so two sets
+of which one is not similar to the pivot can only be similar if they share enough of
+their differences, and a prefix of the rarest differences finds those pairs. Components
+are exact; links inside a component need not all be enumerated.
 
 Defined results: null and empty texts, or texts without words, have an empty set and
 are linked with nothing, their component being their own id. With fewer words than
@@ -32,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, materialise
+from .common import CACHE_WORDS, free_shuffles, materialise
 from .components import component_labels
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -44,11 +46,10 @@ class JoinParams:
 
     words: int = 5
     percent: int = 80
-    pair_keys_up_to: int = 12  #: fragments up to which two must agree instead of one
-    spare: int = 3  #: further fragments, so that empty ones need no key of their own
+    pair_keys_up_to: int = 13  #: fragments up to which keys take two of them instead of one
+    spare: int = 3  #: further fragments, and one more for every eight, of which agreement is not needed
+    common_key: int = 32  #: sets from which on a key is common
     count_fragments: int = 4  #: fragments in which overlaps of a pair are counted
-    star_rounds: int = 4
-    exhaustive_pairs: int = 2_000_000  #: pivots are tried again while more pairs than this are left
     broadcast_ids: int = 1_000_000  #: ids sent to every task at most, else a shuffled join
 
 
@@ -92,48 +93,58 @@ class SizeClasses:
             self.first.append(self.first[-1] * 100 // t + 1)
         return int(np.searchsorted(self.first, n, "right")) - 1
 
-    def fragments(self, c: int) -> tuple[int, bool]:
-        """Number of fragments for pairs whose larger set is of class c, and whether keys take two of them; 0 if such sets must be equal."""
+    def fragments(self, c: int) -> tuple[int, int, bool]:
+        """For pairs whose larger set is of class c: number of fragments, how many more than one must agree, whether keys take two.
+
+        Such sets differ by ``differ`` n-grams at most, so they agree wholly on all
+        fragments but as many. No fragments if they must be equal.
+        """
         if c not in self.shape:
             t = self.p.percent
-            self.of(self.first[-1])
             while len(self.first) <= c:
                 self.of(self.first[-1])
             differ = 2 * (self.first[c] * 100 // t) * (100 - t) // (100 + t)
-            two = differ + 2 <= self.p.pair_keys_up_to
-            self.shape[c] = (0, False) if differ == 0 else (differ + (2 if two else 1 + self.p.spare), two)
+            two = differ + 3 <= self.p.pair_keys_up_to
+            spare = 2 if two else self.p.spare + differ // 8
+            self.shape[c] = (differ + 1 + spare if differ else 0, spare, two)
         return self.shape[c]
 
 
 _PAIRS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def fragment_keys(grams: np.ndarray, classes: SizeClasses) -> np.ndarray:
-    """Keys such that two different similar sets have one in common."""
+def fragment_keys(grams: np.ndarray, classes: SizeClasses) -> list[tuple[np.ndarray, int]]:
+    """Keys in the scheme of the set's own size class and in that of the next, each with its slack.
+
+    Two different similar sets have in one scheme more keys in common than the slack
+    of either: so many of its keys a set may leave out, if both leave out the same.
+    """
     out, c = [], classes.of(len(grams))
     total = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ M3), dtype=np.uint64)])
     for cls in (c, c + 1):
-        m, two = classes.fragments(cls)
+        m, spare, two = classes.fragments(cls)
         if not m:
+            out.append((np.zeros(0, np.uint64), 0))
             continue
         edge = (np.arange(1, m, dtype=np.uint64) << np.uint64(32)) // np.uint64(m) << np.uint64(32)
         at = np.concatenate([[0], np.searchsorted(grams, edge), [len(grams)]])
         number = np.arange(m, dtype=np.uint64)
         content = mix((total[at[1:]] - total[at[:-1]]) + (number + np.uint64(m) * np.uint64(65536) + np.uint64(cls << 40)) * M1)
-        if two:
+        if two:  # three fragments agree, hence three pairs of fragments
             if m not in _PAIRS:
                 ij = np.array(list(combinations(range(m), 2)))
                 _PAIRS[m] = (ij[:, 0], ij[:, 1])
             i, j = _PAIRS[m]
-            out.append(mix(content[i] * M1 + content[j]))
-        else:
+            out.append((mix(content[i] * M1 + content[j]), 2))
+        else:  # spare + 1 agree; empty ones are left out while that leaves one
             full = at[1:] > at[:-1]
-            out.append(content[full] if m - full.sum() <= classes.p.spare else content)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            empty = m - int(full.sum())
+            out.append((content[full], spare - empty) if empty <= spare else (content, 0))
+    return out
 
 
 def read_sets(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """(doc_id, n, sig, sig2, keys) of every row; keys once a task for each set."""
+    """(doc_id, n, sig, sig2, keys0, slack0, keys1, slack1) of every row; keys once a task for each set."""
 
     def run(batches):
         classes, seen = SizeClasses(p), set()
@@ -142,102 +153,168 @@ def read_sets(docs: DataFrame, p: JoinParams) -> DataFrame:
             for text in b["text"]:
                 g = ngrams(text, p.words)
                 if not len(g):
-                    rows.append((0, 0, 0, None))
+                    rows.append((0, 0, 0, None, 0, None, 0))
                     continue
-                sig = int(np.int64(mix(np.bitwise_xor.reduce(g * M1)[None] + np.uint64(len(g)))[0].astype(np.int64)))
+                sig = signature(g)
                 sig2 = int(mix(np.add.reduce(mix(g), dtype=np.uint64)[None])[0].astype(np.int64))
-                keys = None
+                keys = [None, 0, None, 0]
                 if sig not in seen:
                     seen.add(sig)
-                    keys = fragment_keys(g, classes).astype(np.int64)
-                rows.append((len(g), sig, sig2, keys))
-            out = pd.DataFrame(rows, columns=["n", "sig", "sig2", "keys"])
+                    keys = [x for k, slack in fragment_keys(g, classes) for x in (k.astype(np.int64), slack)]
+                rows.append((len(g), sig, sig2, *keys))
+            out = pd.DataFrame(rows, columns=["n", "sig", "sig2", "keys0", "slack0", "keys1", "slack1"])
             out.insert(0, "doc_id", b["doc_id"].values)
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, sig long, sig2 long, keys array<long>")
-
-
-class _Verifier:
-    """Counts overlaps of candidate pairs, fragment by fragment."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, p: JoinParams):
-        self.docs, self.nodes, self.p = docs, nodes, p
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) that are similar."""
-        p = self.p
-        size = self.nodes.select("sig", "n")
-        t = F.lit(p.percent)
-        fit = pairs.join(size.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-        fit = materialise(fit.where(F.least("na", "nb") * 100 >= t * F.greatest("na", "nb")), "pairs")
-        wanted = fit.select(F.col("a").alias("sig")).union(fit.select("b")).distinct()
-        wanted = materialise(self.nodes.join(wanted, "sig", "left_semi").select("doc_id", F.col("sig").alias("want")), "wanted")
-        if wanted.count() <= p.broadcast_ids:
-            wanted = F.broadcast(wanted)
-        texts = self.docs.select("doc_id", "text").join(wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "want")
-
-        def cut(batches):
-            edges = (np.arange(1, p.count_fragments, dtype=np.uint64) << np.uint64(32)) // np.uint64(p.count_fragments) << np.uint64(32)
-            for b in batches:
-                rows = []
-                for text, want in zip(b["text"], b["want"], strict=True):
-                    g = ngrams(text, p.words)
-                    if not len(g) or int(mix(np.bitwise_xor.reduce(g * M1)[None] + np.uint64(len(g)))[0].astype(np.int64)) != want:
-                        continue
-                    rows += [(want, i, part.astype(np.int64)) for i, part in enumerate(np.split(g, np.searchsorted(g, edges))) if len(part)]
-                yield pd.DataFrame(rows, columns=["sig", "fragment", "grams"])
-
-        parts = texts.mapInPandas(cut, "sig long, fragment int, grams array<long>")
-        parts = materialise(parts.dropDuplicates(["sig", "fragment"]), "fragments")
-        left = parts.select(F.col("sig").alias("a"), "fragment", F.col("grams").alias("ga"))
-        right = parts.select(F.col("sig").alias("b"), "fragment", F.col("grams").alias("gb"))
-        partial = fit.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).alias("part"))
-        shared = partial.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("part").alias("shared"))
-        return shared.where(F.col("shared") * 100 >= t * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, sig long, sig2 long, keys0 array<long>, slack0 int, keys1 array<long>, slack1 int")
+
+
+def signature(grams: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int(mix(np.bitwise_xor.reduce(grams * M1)[None] + np.uint64(len(grams)))[0].astype(np.int64))
+
+
+def cut_fragments(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """(sig, fragment, grams) of the sets of ``nodes`` (sig, doc_id), read again from their texts."""
+    wanted = nodes.select("doc_id", F.col("sig").alias("want"))
+    if wanted.count() <= p.broadcast_ids:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "want")
+
+    def cut(batches):
+        edges = (np.arange(1, p.count_fragments, dtype=np.uint64) << np.uint64(32)) // np.uint64(p.count_fragments) << np.uint64(32)
+        for b in batches:
+            rows = []
+            for text, want in zip(b["text"], b["want"], strict=True):
+                g = ngrams(text, p.words)
+                if len(g) and signature(g) == want:
+                    rows += [(want, i, part.astype(np.int64)) for i, part in enumerate(np.split(g, np.searchsorted(g, edges)))]
+            yield pd.DataFrame(rows, columns=["sig", "fragment", "grams"])
+
+    return materialise(texts.mapInPandas(cut, "sig long, fragment int, grams array<long>"), "fragments")
+
+
+def similar_pairs(pairs: DataFrame, sizes: DataFrame, fragments: DataFrame, p: JoinParams) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar, by sums of their fragments' overlaps.
+
+    Fragments are counted one after another. What two sets differ by in the fragments
+    counted so far can only grow, so a pair goes no further once that exceeds what a
+    similar pair of their sizes may differ by.
+    """
+    t = p.percent
+    left = pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
+    left = left.where(F.least("na", "nb") * 100 >= t * F.greatest("na", "nb")).select("a", "b", "na", "nb", F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("differ"))
+    left = materialise(left, "pairs")
+    for k in range(p.count_fragments):
+        part = fragments.where(F.col("fragment") == k)
+        x, y = (part.select(F.col("sig").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
+        both = left.join(x, "a").join(y, "b")
+        here = F.size(F.array_intersect("ga", "gb"))
+        counted = both.select("a", "b", "na", "nb", (F.col("shared") + here).alias("shared"), (F.col("differ") + F.size("ga") + F.size("gb") - 2 * here).alias("differ"))
+        # repeated rows of one text give equal counts
+        counted = counted.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("na", "nb", "shared", "differ")])
+        left = materialise(counted.where(F.col("differ") * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb"))), "counted")
+        free_shuffles(pairs.sparkSession)
+    return left.where(F.col("shared") * 100 >= t * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+
+
+def candidate_groups(sets: DataFrame, p: JoinParams) -> DataFrame:
+    """(key, sig, scheme, free, large) for the keys of two sets or more.
+
+    A common key, one of ``common_key`` sets or more, is mostly made of a passage that
+    many texts share. A set that has no more of them than its slack does without them;
+    those left are marked large. ``free`` is the slack that is left: a similar set has
+    more keys than that in common with it that are not common.
+    """
+    key = Window.partitionBy("key")
+    own, following = (sets.where(f"keys{i} is not null").select(F.explode(f"keys{i}").alias("key"), "sig", F.col(f"slack{i}").alias("slack"), F.lit(i).alias("scheme")) for i in (0, 1))
+    rows = own.unionByName(following).withColumn("low", F.min("sig").over(key)).withColumn("high", F.max("sig").over(key)).withColumn("large", F.count(F.lit(1)).over(key) >= p.common_key)
+    rows = materialise(rows.where("low < high").drop("low", "high").distinct(), "shared-keys")
+    common = rows.where("large").groupBy("sig", "scheme").agg(F.count(F.lit(1)).alias("c"))
+    rows = rows.join(common, ["sig", "scheme"], "left").withColumn("free", F.col("slack") - F.coalesce("c", F.lit(0)))
+    return rows.where("not large or free < 0").select("key", "sig", "scheme", "free", "large")
+
+
+def pairs_by_agreement(small: DataFrame) -> DataFrame:
+    """Candidates (a, b) of groups that are not large: those that agree in as many keys as similar sets must."""
+    a, b = (small.select("key", F.col("sig").alias(c), F.col("free").alias(f"free_{c}"), *([F.col("scheme")] if c == "a" else [])) for c in "ab")
+    met = a.join(b, "key").where("a > b").groupBy("a", "b", "scheme").agg(F.count(F.lit(1)).alias("keys"), F.first("free_a").alias("free_a"), F.first("free_b").alias("free_b"))
+    return met.where(F.col("keys") > F.greatest("free_a", "free_b", F.lit(0))).select("a", "b").distinct()
+
+
+def pairs_by_difference(members: DataFrame, sizes: DataFrame, fragments: DataFrame, p: JoinParams) -> DataFrame:
+    """Candidates (a, b) among ``members`` (pivot, x, label) of one pivot and different labels.
+
+    With D the difference from the pivot, r = (100 - t) / (100 + t) and s = |D| - r n,
+    x and y are similar only if |Dx & Dy| >= (sx + sy) / 2 =: o. At least one of a pair
+    of different labels is apart, not similar to the pivot: an apart set is looked up
+    against all, the others against the apart only, so s of the partner is at least
+    ``sl`` or ``su``. As |Dx| - |Dy| <= r (nx + ny), also o >= |Dx| - r nx (1 + 100 / t).
+    So the first |D| - o + 1 of each in one order, what the pivot lacks before what it
+    has, have an n-gram in common, and of the first such one enough are left in both.
+    """
+    t = p.percent
+    star = members.where("x <> pivot")
+    x, y = (fragments.select(F.col("sig").alias(c), "fragment", F.col("grams").alias(g)) for c, g in (("x", "gx"), ("pivot", "gp")))
+    both = star.join(x, "x").join(y, ["pivot", "fragment"])
+    parts = both.select("pivot", "x", "label", "fragment", F.array_except("gx", "gp").alias("more"), F.array_except("gp", "gx").alias("less")).dropDuplicates(["pivot", "x", "fragment"])
+    whole = parts.groupBy("pivot", "x").agg(F.first("label").alias("label"), F.flatten(F.collect_list("more")).alias("more"), F.flatten(F.collect_list("less")).alias("less"))
+    whole = whole.withColumn("d", F.size("more") + F.size("less"))
+    n = lambda c, name: sizes.select(F.col("sig").alias(c), F.col("n").alias(name))
+    whole = whole.join(n("x", "nx"), "x").join(n("pivot", "np"), "pivot")
+    whole = materialise(whole.withColumn("s", F.col("d") * (100 + t) - F.col("nx") * (100 - t)).withColumn("apart", F.col("s") > F.col("np") * (100 - t)), "differences")
+    least = whole.groupBy("pivot").agg(F.min("s").alias("sl"), F.min(F.when(F.col("apart"), F.col("s"))).alias("su"))
+    least = least.where("su is not null")
+    far = F.ceil(F.col("d") - F.col("nx") * ((100 - t) / t) - 1e-9)
+    most = F.when(F.col("apart"), F.col("sl")).otherwise(F.col("su"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("s") + most) / (2 * (100 + t)) - 1e-9), far)
+    order = F.concat(F.sort_array("more"), F.sort_array("less"))
+    size = F.greatest(F.lit(0), F.col("d") - need + 1).cast("int")
+    rows = whole.join(least, "pivot").select("pivot", "x", "label", "apart", "d", "s", F.posexplode(F.slice(order, F.lit(1), size)).alias("rank", "g"))
+    rows = materialise(rows, "prefixes")
+    index = rows.select("pivot", "g", F.col("x").alias("y"), F.col("label").alias("ly"), F.col("s").alias("sy"), (F.col("d") - F.col("rank")).alias("rest_y"))
+    probe = rows.where("apart").select("pivot", "g", "x", "label", "s", (F.col("d") - F.col("rank")).alias("rest"))
+    enough = F.least("rest", "rest_y") * (2 * (100 + t)) >= F.col("s") + F.col("sy")
+    found = probe.join(index, ["pivot", "g"]).where((F.col("label") != F.col("ly")) & enough)
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def ngram_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of ``docs`` (doc_id, text)."""
     p = p or JoinParams()
+    spark = docs.sparkSession
     sets = materialise(read_sets(docs, p), "sets")
     classes = materialise(sets.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    nodes = classes.select("sig", "n", F.col("class_id").alias("doc_id"))
-    key = Window.partitionBy("key")
-    groups = sets.where("keys is not null").select(F.explode("keys").alias("key"), "sig")
-    groups = groups.withColumn("low", F.min("sig").over(key)).withColumn("high", F.max("sig").over(key)).where("low < high").select("key", "sig", "low").distinct()
-    groups = materialise(groups, "groups")
-    verify = _Verifier(docs, nodes, p)
-    # each set against the least set that it shares a fragment with
-    pairs = groups.groupBy("sig").agg(F.min("low").alias("b")).where("b < sig").select(F.col("sig").alias("a"), "b")
-    tried = materialise(pairs, "tried")
-    links = materialise(verify.links(tried), "links")
+    groups = materialise(candidate_groups(sets, p), "groups")
+    free_shuffles(spark)
+    large = groups.where("large")
+    fame = large.groupBy("sig").agg(F.count(F.lit(1)).alias("fame"))
+    pivots = large.join(fame, "sig").groupBy("key").agg(F.max_by("sig", F.struct("fame", "sig")).alias("pivot"))
+    stars = materialise(large.join(pivots, "key").select(F.col("sig").alias("x"), "pivot").distinct(), "stars")
+    pairs = pairs_by_agreement(groups.where("not large")).unionByName(stars.where("x <> pivot").select(F.greatest("x", "pivot").alias("a"), F.least("x", "pivot").alias("b"))).distinct()
+    pairs = materialise(pairs, "candidates")
+    free_shuffles(spark)
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(stars.select("x")).distinct()
+    nodes = materialise(classes.select("sig", "n", F.col("class_id").alias("doc_id")).join(wanted, "sig", "left_semi"), "nodes")
+    fragments = cut_fragments(docs, nodes, p)
+    links = materialise(similar_pairs(pairs, nodes, fragments, p), "links")
     labels = component_labels(links)
-    for turn in range(p.star_rounds + 1):
-        now = groups.select("key", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        many = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.min("sig").alias("least"))
-        open_ = many.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.sum("c").alias("members"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most")).where("labels > 1")
-        groups = materialise(now.join(open_, "key").select("key", "sig", "label", "main", "members", "most"), "groups")
-        left = groups.where("label <> main").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-        if not left:
-            break
-        last = left <= p.exhaustive_pairs or turn == p.star_rounds
-        few = groups.where("label <> main").select("key", F.col("sig").alias("x"), F.col("label").alias("lx"))
-        if not last:
-            few = few.groupBy("key").agg(F.min_by(F.struct("x", "lx"), "x").alias("s")).select("key", "s.*")
-        pairs = groups.join(few, "key").where("label <> lx").select(F.greatest("sig", "x").alias("a"), F.least("sig", "x").alias("b")).distinct()
-        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = materialise(tried.union(pairs), "tried")
-        links = materialise(links.union(verify.links(pairs)), "links")
+    free_shuffles(spark)
+    members = stars.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
+    mixed = members.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("pivot")
+    members = materialise(members.join(mixed, "pivot", "left_semi").select("pivot", "x", "label"), "members")
+    if not members.isEmpty():
+        more = similar_pairs(pairs_by_difference(members, nodes, fragments, p), nodes, fragments, p)
+        links = materialise(links.unionByName(more), "links")
         labels = component_labels(links)
-        if last:
-            break
-    named = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        free_shuffles(spark)
     # two sets of one 64-bit signature stay two classes
     least = labels.join(classes, labels.node == classes.sig).groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "label", "left").select("sig", "sig2", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").join(least, "label", "left")
+    named = named.select("sig", "sig2", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
     rows = sets.select("doc_id", "n", "sig", "sig2").join(named, ["sig", "sig2", "n"], "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    whole = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), whole("component_id"), whole("class_id"))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
