@@ -5,9 +5,9 @@ last return the columns of ``docs`` for the rows that stay. Stages read labels a
 benchmark items from ``sf_dir``. ``run`` writes each stage's rows to the shared folder
 and rereads them for the next.
 
-Defined results: the operators' docstrings hold. Rows with a null doc_id stay in the
-near-duplicate stage where no row of their component has an id, and where some have,
-one of those stays. Of repeated rows of an id one stays if their texts are equal.
+Defined results: the operators' docstrings hold. Rows with a null doc_id all stay in the
+near-duplicate stage, as no id tells them apart; of a component with ids, the row with
+the least stays. Of repeated rows of an id one stays if their texts are equal.
 An empty table passes through as an empty table.
 """
 
@@ -40,14 +40,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component of the five-word shingle join at a similarity of 0.8."""
     with common.temporary(spark):
         found = ngram_join.ngram_components(docs, ngram_join.JoinParams(words=5, percent=80))
-        other = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone"))
+        other = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
         gone = common.materialise(other.distinct(), "dropped", keep=True)
-        twice = common.materialise(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "repeated", keep=True)
+        twice = common.materialise(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "repeated", keep=True)
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     if twice.isEmpty():
         return kept
-    again = docs["doc_id"].eqNullSafe(twice["again"])
+    again = docs["doc_id"] == twice["again"]
     few = kept.join(twice, again, "left_semi")
     return kept.join(twice, again, "left_anti").unionByName(few.dropDuplicates(["doc_id", "text"]))
 
