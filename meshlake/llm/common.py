@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries kept in a worker's word cache before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,25 +90,20 @@ def below_fraction(column: str, fraction: float, seed: int):
     return F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000)), F.lit(False))
 
 
-class WordIds:
+class WordIds(dict):
     """Bytes of a word to a feature number below ``1 << bits``, kept in a bounded cache."""
 
     def __init__(self, bits: int):
         self.mask = (1 << bits) - 1
-        self.known: dict[bytes, int] = {}
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = zlib.crc32(word) & self.mask
+        return number
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            crc, mask = zlib.crc32, self.mask
-            for w in set(words):
-                if w not in known:
-                    known[w] = crc(w) & mask
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def add_counts(parts: DataFrame, size: int, column: str = "counts") -> np.ndarray:

@@ -35,18 +35,27 @@ def times_transposed(flat: np.ndarray, weight: np.ndarray, at: np.ndarray, dense
     return out
 
 
-def probe(feature: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """Rows of a Gaussian test matrix for the numbered features, the same on every machine."""
-    return np.random.default_rng(seed).standard_normal((int(feature.max(initial=-1)) + 1, width)).astype(np.float32)[feature]
+def probe(n: int, width: int, seed: int) -> np.ndarray:
+    """A Gaussian test matrix, the same on every machine."""
+    return np.random.default_rng(seed).standard_normal((n, width), dtype=np.float32)
 
 
 def orthonormal(y: np.ndarray) -> np.ndarray:
-    return np.linalg.qr(y.astype(np.float64))[0].astype(np.float32)
+    """An orthonormal basis of the columns, by their Gram matrix, twice; dependent columns become zero."""
+    for _ in range(2):
+        gram = np.zeros((y.shape[1],) * 2)
+        for a in range(0, len(y), 8192):
+            part = y[a : a + 8192].astype(np.float64)
+            gram += part.T @ part
+        values, vectors = np.linalg.eigh(gram)
+        keep = values > max(values.max(), 0) * 1e-10
+        y = y @ (vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0)).astype(np.float32)
+    return y
 
 
 def randomised_basis(flat, weight, at, n_features: int, rank: int, seed: int, rounds: int = 3) -> np.ndarray:
     """The leading right singular vectors (n_features, rank) of sparse rows held here."""
-    q = orthonormal(probe(np.arange(n_features), rank + 8, seed))
+    q = orthonormal(probe(n_features, rank + 8, seed))
     for _ in range(rounds):
         q = orthonormal(times_transposed(flat, weight, at, times(flat, weight, at, q), n_features))
     b = times(flat, weight, at, q)
