@@ -194,17 +194,22 @@ def cut_fragments(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame
     return materialise(texts.mapInPandas(cut, "sig long, fragment int, grams array<long>"), "fragments")
 
 
-def similar_pairs(pairs: DataFrame, sizes: DataFrame, fragments: DataFrame, p: JoinParams) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar, by sums of their fragments' overlaps.
+def as_pairs(rows: DataFrame, p: JoinParams, x: str = "x", y: str = "y", nx: str = "nx", ny: str = "ny") -> DataFrame:
+    """(a, b, na, nb) once for each pair of sets x and y of sizes nx and ny that may be similar."""
+    fit = rows.where(F.least(nx, ny) * 100 >= p.percent * F.greatest(nx, ny))
+    first = F.col(x) > F.col(y)
+    return fit.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"), F.when(first, F.col(nx)).otherwise(F.col(ny)).alias("na"), F.when(first, F.col(ny)).otherwise(F.col(nx)).alias("nb")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, fragments: DataFrame, p: JoinParams) -> DataFrame:
+    """Those of ``pairs`` (a, b, na, nb) that are similar, by sums of their fragments' overlaps.
 
     Fragments are counted one after another. What two sets differ by in the fragments
     counted so far can only grow, so a pair goes no further once that exceeds what a
     similar pair of their sizes may differ by.
     """
     t = p.percent
-    left = pairs.join(sizes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sig").alias("b"), F.col("n").alias("nb")), "b")
-    left = left.where(F.least("na", "nb") * 100 >= t * F.greatest("na", "nb")).select("a", "b", "na", "nb", F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("differ"))
-    left = materialise(left, "pairs")
+    left = materialise(pairs.select("a", "b", "na", "nb", F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("differ")), "pairs")
     for k in range(p.count_fragments):
         part = fragments.where(F.col("fragment") == k)
         x, y = (part.select(F.col("sig").alias(c), F.col("grams").alias(f"g{c}")) for c in "ab")
@@ -219,7 +224,7 @@ def similar_pairs(pairs: DataFrame, sizes: DataFrame, fragments: DataFrame, p: J
 
 
 def candidate_groups(sets: DataFrame, p: JoinParams) -> DataFrame:
-    """(key, sig, scheme, free, large) for the keys of two sets or more.
+    """(key, sig, n, scheme, free, large) for the keys of two sets or more.
 
     A common key, one of ``common_key`` sets or more, is mostly made of a passage that
     many texts share. A set that has no more of them than its slack does without them;
@@ -227,23 +232,23 @@ def candidate_groups(sets: DataFrame, p: JoinParams) -> DataFrame:
     more keys than that in common with it that are not common.
     """
     key = Window.partitionBy("key")
-    own, following = (sets.where(f"keys{i} is not null").select(F.explode(f"keys{i}").alias("key"), "sig", F.col(f"slack{i}").alias("slack"), F.lit(i).alias("scheme")) for i in (0, 1))
+    own, following = (sets.where(f"keys{i} is not null").select(F.explode(f"keys{i}").alias("key"), "sig", "n", F.col(f"slack{i}").alias("slack"), F.lit(i).alias("scheme")) for i in (0, 1))
     rows = own.unionByName(following).withColumn("low", F.min("sig").over(key)).withColumn("high", F.max("sig").over(key)).withColumn("large", F.count(F.lit(1)).over(key) >= p.common_key)
     rows = materialise(rows.where("low < high").drop("low", "high").distinct(), "shared-keys")
     common = rows.where("large").groupBy("sig", "scheme").agg(F.count(F.lit(1)).alias("c"))
     rows = rows.join(common, ["sig", "scheme"], "left").withColumn("free", F.col("slack") - F.coalesce("c", F.lit(0)))
-    return rows.where("not large or free < 0").select("key", "sig", "scheme", "free", "large")
+    return rows.where("not large or free < 0").select("key", "sig", "n", "scheme", "free", "large")
 
 
-def pairs_by_agreement(small: DataFrame) -> DataFrame:
-    """Candidates (a, b) of groups that are not large: those that agree in as many keys as similar sets must."""
-    a, b = (small.select("key", F.col("sig").alias(c), F.col("free").alias(f"free_{c}"), *([F.col("scheme")] if c == "a" else [])) for c in "ab")
-    met = a.join(b, "key").where("a > b").groupBy("a", "b", "scheme").agg(F.count(F.lit(1)).alias("keys"), F.first("free_a").alias("free_a"), F.first("free_b").alias("free_b"))
-    return met.where(F.col("keys") > F.greatest("free_a", "free_b", F.lit(0))).select("a", "b").distinct()
+def pairs_by_agreement(small: DataFrame, p: JoinParams) -> DataFrame:
+    """Candidates of groups that are not large: those that agree in as many keys as similar sets must."""
+    x, y = (small.select("key", F.col("sig").alias(c), F.col("free").alias(f"free_{c}"), F.col("n").alias(f"n{c}"), *([F.col("scheme")] if c == "x" else [])) for c in "xy")
+    met = x.join(y, "key").where("x > y").groupBy("x", "y", "scheme").agg(F.count(F.lit(1)).alias("keys"), *[F.first(c).alias(c) for c in ("free_x", "free_y", "nx", "ny")])
+    return as_pairs(met.where(F.col("keys") > F.greatest("free_x", "free_y", F.lit(0))), p)
 
 
-def pairs_by_difference(members: DataFrame, sizes: DataFrame, fragments: DataFrame, p: JoinParams) -> DataFrame:
-    """Candidates (a, b) among ``members`` (pivot, x, label) of one pivot and different labels.
+def pairs_by_difference(members: DataFrame, fragments: DataFrame, p: JoinParams) -> DataFrame:
+    """Candidates among ``members`` (pivot, np, x, nx, label) of one pivot and different labels.
 
     With D the difference from the pivot, r = (100 - t) / (100 + t) and s = |D| - r n,
     x and y are similar only if |Dx & Dy| >= (sx + sy) / 2 =: o. At least one of a pair
@@ -257,11 +262,9 @@ def pairs_by_difference(members: DataFrame, sizes: DataFrame, fragments: DataFra
     star = members.where("x <> pivot")
     x, y = (fragments.select(F.col("sig").alias(c), "fragment", F.col("grams").alias(g)) for c, g in (("x", "gx"), ("pivot", "gp")))
     both = star.join(x, "x").join(y, ["pivot", "fragment"])
-    parts = both.select("pivot", "x", "label", "fragment", F.array_except("gx", "gp").alias("more"), F.array_except("gp", "gx").alias("less")).dropDuplicates(["pivot", "x", "fragment"])
-    whole = parts.groupBy("pivot", "x").agg(F.first("label").alias("label"), F.flatten(F.collect_list("more")).alias("more"), F.flatten(F.collect_list("less")).alias("less"))
+    parts = both.select("pivot", "np", "x", "nx", "label", "fragment", F.array_except("gx", "gp").alias("more"), F.array_except("gp", "gx").alias("less")).dropDuplicates(["pivot", "x", "fragment"])
+    whole = parts.groupBy("pivot", "x").agg(*[F.first(c).alias(c) for c in ("label", "nx", "np")], F.flatten(F.collect_list("more")).alias("more"), F.flatten(F.collect_list("less")).alias("less"))
     whole = whole.withColumn("d", F.size("more") + F.size("less"))
-    n = lambda c, name: sizes.select(F.col("sig").alias(c), F.col("n").alias(name))
-    whole = whole.join(n("x", "nx"), "x").join(n("pivot", "np"), "pivot")
     whole = materialise(whole.withColumn("s", F.col("d") * (100 + t) - F.col("nx") * (100 - t)).withColumn("apart", F.col("s") > F.col("np") * (100 - t)), "differences")
     least = whole.groupBy("pivot").agg(F.min("s").alias("sl"), F.min(F.when(F.col("apart"), F.col("s"))).alias("su"))
     least = least.where("su is not null")
@@ -270,13 +273,13 @@ def pairs_by_difference(members: DataFrame, sizes: DataFrame, fragments: DataFra
     need = F.greatest(F.lit(1), F.ceil((F.col("s") + most) / (2 * (100 + t)) - 1e-9), far)
     order = F.concat(F.sort_array("more"), F.sort_array("less"))
     size = F.greatest(F.lit(0), F.col("d") - need + 1).cast("int")
-    rows = whole.join(least, "pivot").select("pivot", "x", "label", "apart", "d", "s", F.posexplode(F.slice(order, F.lit(1), size)).alias("rank", "g"))
+    rows = whole.join(least, "pivot").select("pivot", "x", "nx", "label", "apart", "d", "s", F.posexplode(F.slice(order, F.lit(1), size)).alias("rank", "g"))
     rows = materialise(rows, "prefixes")
-    index = rows.select("pivot", "g", F.col("x").alias("y"), F.col("label").alias("ly"), F.col("s").alias("sy"), (F.col("d") - F.col("rank")).alias("rest_y"))
-    probe = rows.where("apart").select("pivot", "g", "x", "label", "s", (F.col("d") - F.col("rank")).alias("rest"))
+    index = rows.select("pivot", "g", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("label").alias("ly"), F.col("s").alias("sy"), (F.col("d") - F.col("rank")).alias("rest_y"))
+    probe = rows.where("apart").select("pivot", "g", "x", "nx", "label", "s", (F.col("d") - F.col("rank")).alias("rest"))
     enough = F.least("rest", "rest_y") * (2 * (100 + t)) >= F.col("s") + F.col("sy")
     found = probe.join(index, ["pivot", "g"]).where((F.col("label") != F.col("ly")) & enough)
-    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return as_pairs(found, p)
 
 
 def ngram_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
@@ -289,22 +292,23 @@ def ngram_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     free_shuffles(spark)
     large = groups.where("large")
     fame = large.groupBy("sig").agg(F.count(F.lit(1)).alias("fame"))
-    pivots = large.join(fame, "sig").groupBy("key").agg(F.max_by("sig", F.struct("fame", "sig")).alias("pivot"))
-    stars = materialise(large.join(pivots, "key").select(F.col("sig").alias("x"), "pivot").distinct(), "stars")
-    pairs = pairs_by_agreement(groups.where("not large")).unionByName(stars.where("x <> pivot").select(F.greatest("x", "pivot").alias("a"), F.least("x", "pivot").alias("b"))).distinct()
+    pivots = large.join(fame, "sig").groupBy("key").agg(F.max_by(F.struct("sig", "n"), F.struct("fame", "sig")).alias("p"))
+    stars = large.join(pivots, "key").select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("p.sig").alias("pivot"), F.col("p.n").alias("np"))
+    stars = materialise(stars.distinct(), "stars")
+    pairs = pairs_by_agreement(groups.where("not large"), p).unionByName(as_pairs(stars.where("x <> pivot"), p, y="pivot", ny="np")).distinct()
     pairs = materialise(pairs, "candidates")
     free_shuffles(spark)
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(stars.select("x")).distinct()
-    nodes = materialise(classes.select("sig", "n", F.col("class_id").alias("doc_id")).join(wanted, "sig", "left_semi"), "nodes")
+    nodes = materialise(classes.select("sig", F.col("class_id").alias("doc_id")).join(wanted, "sig", "left_semi"), "nodes")
     fragments = cut_fragments(docs, nodes, p)
-    links = materialise(similar_pairs(pairs, nodes, fragments, p), "links")
+    links = materialise(similar_pairs(pairs, fragments, p), "links")
     labels = component_labels(links)
     free_shuffles(spark)
     members = stars.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
     mixed = members.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("pivot")
-    members = materialise(members.join(mixed, "pivot", "left_semi").select("pivot", "x", "label"), "members")
+    members = materialise(members.join(mixed, "pivot", "left_semi").select("pivot", "np", "x", "nx", "label"), "members")
     if not members.isEmpty():
-        more = similar_pairs(pairs_by_difference(members, nodes, fragments, p), nodes, fragments, p)
+        more = similar_pairs(pairs_by_difference(members, fragments, p), fragments, p)
         links = materialise(links.unionByName(more), "links")
         labels = component_labels(links)
         free_shuffles(spark)
