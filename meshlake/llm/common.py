@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries kept in a worker's word cache before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -106,6 +106,19 @@ class WordIds(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+class Remembers:
+    """A cache that lives and goes with its object, and does not travel with it."""
+
+    def cache(self, make):
+        """What ``make`` made the first time, in this process."""
+        if "_cache" not in self.__dict__:
+            self.__dict__["_cache"] = make()
+        return self.__dict__["_cache"]
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_cache"}
+
+
 def add_counts(parts: DataFrame, size: int, column: str = "counts") -> np.ndarray:
     """Sum of int64 vectors, one from each partition, by way of a few combining tasks.
 

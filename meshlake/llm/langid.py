@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, crc_mod, csr, sum_rows
+from .common import CACHE_WORDS, Remembers, crc_mod, csr, sum_rows
 
 BITS = 17
 WORD = re.compile(r"[^\W\d_]+|\n")
@@ -100,7 +100,7 @@ def forward_backward(emit: np.ndarray, at: np.ndarray, first: np.ndarray, step:
 
 
 @dataclass
-class LangModel:
+class LangModel(Remembers):
     languages: list[str]
     weight: np.ndarray  #: (features, languages)
     first: np.ndarray
@@ -110,7 +110,7 @@ class LangModel:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Weights (words, languages), by a lookup of each word."""
-        row, table = _ROWS.setdefault(id(self), ({}, []))
+        row, table = self.cache(lambda: ({}, []))
         if len(row) > CACHE_WORDS:
             row.clear()
             table.clear()
@@ -153,9 +153,6 @@ class LangModel:
         return names, scores
 
 
-_ROWS: dict[int, tuple[dict, list]] = {}
-
-
 def sequences(text: str | None, longest: int) -> tuple[list[str], list[int]]:
     """Lower-case words of a text and the offsets of its sequences."""
     words, at = [], [0]

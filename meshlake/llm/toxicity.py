@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, below_fraction, crc_mod, csr, sum_rows
+from .common import CACHE_WORDS, Remembers, below_fraction, crc_mod, csr, sum_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 20
@@ -62,15 +62,14 @@ def document_features(text: str | None) -> np.ndarray:
 
 
 @dataclass
-class ToxicityModel:
+class ToxicityModel(Remembers):
     feature: np.ndarray  #: sorted feature numbers
     weight: np.ndarray
     bias: float
 
     def score(self, texts) -> np.ndarray:
         """Probability of toxicity for each text, by a lookup of each distinct word."""
-        of = dict(zip(self.feature.tolist(), range(len(self.feature)), strict=True))
-        known: dict[str, tuple[int, ...]] = _KNOWN.setdefault(id(self), {})
+        of, known = self.cache(lambda: (dict(zip(self.feature.tolist(), range(len(self.feature)), strict=True)), {}))
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
             hit: set[int] = set()
@@ -86,9 +85,6 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-_KNOWN: dict[int, dict] = {}
-
-
 def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: ToxicityParams) -> ToxicityModel:
     """Fit on documents given as feature numbers, by the non-negative risk estimator."""
     if not positive or not unlabelled or prior <= 0:
