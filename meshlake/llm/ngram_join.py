@@ -247,8 +247,8 @@ def pairs_by_agreement(small: DataFrame, p: JoinParams) -> DataFrame:
     return as_pairs(met.where(F.col("keys") > F.greatest("free_x", "free_y", F.lit(0))), p)
 
 
-def pairs_by_difference(members: DataFrame, fragments: DataFrame, p: JoinParams) -> DataFrame:
-    """Candidates among ``members`` (pivot, np, x, nx, label) of one pivot and different labels.
+def links_by_difference(members: DataFrame, fragments: DataFrame, p: JoinParams) -> DataFrame:
+    """Similar pairs (a, b) among ``members`` (pivot, np, x, nx, label) of one pivot and different labels.
 
     With D the difference from the pivot, r = (100 - t) / (100 + t) and s = |D| - r n,
     x and y are similar only if |Dx & Dy| >= (sx + sy) / 2 =: o. At least one of a pair
@@ -257,6 +257,8 @@ def pairs_by_difference(members: DataFrame, fragments: DataFrame, p: JoinParams)
     ``sl`` or ``su``. As |Dx| - |Dy| <= r (nx + ny), also o >= |Dx| - r nx (1 + 100 / t).
     So the first |D| - o + 1 of each in one order, what the pivot lacks before what it
     has, have an n-gram in common, and of the first such one enough are left in both.
+    For those pairs the overlaps of what the pivot lacks and of what it has are counted
+    apart and summed: |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|.
     """
     t = p.percent
     star = members.where("x <> pivot")
@@ -273,13 +275,17 @@ def pairs_by_difference(members: DataFrame, fragments: DataFrame, p: JoinParams)
     need = F.greatest(F.lit(1), F.ceil((F.col("s") + most) / (2 * (100 + t)) - 1e-9), far)
     order = F.concat(F.sort_array("more"), F.sort_array("less"))
     size = F.greatest(F.lit(0), F.col("d") - need + 1).cast("int")
-    rows = whole.join(least, "pivot").select("pivot", "x", "nx", "label", "apart", "d", "s", F.posexplode(F.slice(order, F.lit(1), size)).alias("rank", "g"))
+    rows = whole.join(least, "pivot").select("pivot", "x", "label", "apart", "d", "s", F.posexplode(F.slice(order, F.lit(1), size)).alias("rank", "g"))
     rows = materialise(rows, "prefixes")
-    index = rows.select("pivot", "g", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("label").alias("ly"), F.col("s").alias("sy"), (F.col("d") - F.col("rank")).alias("rest_y"))
-    probe = rows.where("apart").select("pivot", "g", "x", "nx", "label", "s", (F.col("d") - F.col("rank")).alias("rest"))
+    index = rows.select("pivot", "g", F.col("x").alias("y"), F.col("label").alias("ly"), F.col("s").alias("sy"), (F.col("d") - F.col("rank")).alias("rest_y"))
+    probe = rows.where("apart").select("pivot", "g", "x", "label", "s", (F.col("d") - F.col("rank")).alias("rest"))
     enough = F.least("rest", "rest_y") * (2 * (100 + t)) >= F.col("s") + F.col("sy")
-    found = probe.join(index, ["pivot", "g"]).where((F.col("label") != F.col("ly")) & enough)
-    return as_pairs(found, p)
+    found = probe.join(index, ["pivot", "g"]).where((F.col("label") != F.col("ly")) & enough).select("pivot", "x", "y").distinct()
+    x, y = (whole.select("pivot", F.col("x").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("more", "less", "d", "nx")]) for c in "xy")
+    both = found.join(x, ["pivot", "x"]).join(y, ["pivot", "y"])
+    shared = F.size(F.array_intersect("more_x", "more_y")) + F.size(F.array_intersect("less_x", "less_y"))
+    similar = both.where((F.col("d_x") + F.col("d_y") - 2 * shared) * (100 + t) <= (100 - t) * (F.col("nx_x") + F.col("nx_y")))
+    return similar.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def ngram_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
@@ -308,8 +314,7 @@ def ngram_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     mixed = members.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("pivot")
     members = materialise(members.join(mixed, "pivot", "left_semi").select("pivot", "np", "x", "nx", "label"), "members")
     if not members.isEmpty():
-        more = similar_pairs(pairs_by_difference(members, fragments, p), fragments, p)
-        links = materialise(links.unionByName(more), "links")
+        links = materialise(links.unionByName(links_by_difference(members, fragments, p)), "links")
         labels = component_labels(links)
         free_shuffles(spark)
     # two sets of one 64-bit signature stay two classes
