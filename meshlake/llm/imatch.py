@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_shuffles, materialise
 
 
 @dataclass(frozen=True)
@@ -61,84 +61,115 @@ def lexicon(texts: DataFrame, p: IMatchParams) -> DataFrame:
     return F.broadcast(found) if found.count() <= p.broadcast_terms else found
 
 
-def fingerprints(texts: DataFrame, words: DataFrame, p: IMatchParams) -> DataFrame:
-    """(k, fingerprint) for each row (k, text): k must be unique."""
-    spread = texts.select("k", F.explode(terms(F.col("text"))).alias("term")).join(words, "term")
-    inside = spread.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("term", "subsets"))).alias("found"))
-    every = F.sequence(F.lit(0), F.lit(p.rates * p.each - 1))
+def fingerprint(found: Column, p: IMatchParams) -> Column:
+    """The fingerprint of a text with these terms of the lexicon (sorted array of term, subsets)."""
 
-    def part(i: Column) -> Column:
-        mine = F.filter("found", lambda t: F.call_function("shiftright", t["subsets"], i).bitwiseAND(F.lit(1)) != 0)
-        joined = F.concat_ws(" ", F.transform(mine, lambda t: t["term"]))
-        return F.when(joined == "", F.lit("-")).otherwise(F.substring(F.md5(joined), 1, 10))
+    def hashed(some: Column) -> Column:
+        joined = F.concat_ws(" ", F.transform(some, lambda t: t["term"]))
+        return F.when(joined == "", F.lit("-")).otherwise(F.substring(F.md5(joined), 1, 8))
 
-    return inside.select("k", F.concat(F.lit("i:"), F.concat_ws(".", F.transform(every, part))).alias("fingerprint"))
+    def of_rate(r: int) -> Column:
+        """Hashes of a rate's subsets, among the terms that are in any of them."""
+        bits = [1 << (r * p.each + i) for i in range(p.each)]
+        inside = lambda t, m: t["subsets"].bitwiseAND(m) != F.lit(0).cast("long")
+        some = F.filter(found, lambda t: inside(t, F.lit(sum(bits)).cast("long")))
+        masks = F.array(*[F.lit(x).cast("long") for x in bits])
+        # the array of one binds the filtered terms, so that they are not filtered anew for each subset
+        return F.flatten(F.transform(F.array(some), lambda s: F.transform(masks, lambda m: hashed(F.filter(s, lambda t: inside(t, m))))))
 
+    return F.when(F.size(found) > 0, F.concat(F.lit("i:"), F.concat_ws(".", *[of_rate(r) for r in range(p.rates)])))
 
-def likeness(a: Column, b: Column, p: IMatchParams) -> Column:
-    """Equal subset hashes, as a share of the subsets that either fingerprint has, at the rate where that is most.
 
-    A rate counts with three such subsets or more; if none has so many, all count together.
+def fingerprints(texts: DataFrame, words: DataFrame, p: IMatchParams) -> DataFrame:
+    """(kid, h, kind, fact, fingerprint) for rows (kid, h, kind, fact, text); fact goes along.
+
+    The rows of a text stay in their task: its terms are laid out, met with the
+    lexicon and put together again under the partitioning the rows came with.
     """
-    both = a.startswith("i:") & b.startswith("i:")
+    first = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.concat(F.coalesce("fact", F.lit("")), F.lit("/"), F.md5("text")).alias("fact")))
+    rest = F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("fact")))
+    laid = texts.select("kid", "h", "kind", F.explode(F.concat(first, rest)).alias("x")).select("kid", "h", "kind", "x.term", "x.fact")
+    met = laid.join(words, "term", "left").where("subsets is not null or fact is not null")
+    entry = F.when(F.col("subsets").isNotNull(), F.struct("term", "subsets"))
+    out = met.groupBy("kid", "h", "kind").agg(F.sort_array(F.collect_set(entry)).alias("found"), F.max("fact").alias("fact"))
+    fact, plain = F.substring_index("fact", "/", 1), F.substring_index("fact", "/", -1)
+    return out.select("kid", "h", "kind", fact.alias("fact"), F.coalesce(fingerprint(F.col("found"), p), F.concat(F.lit("e:"), plain)).alias("fingerprint"))
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """For each subset: 2 if the hashes are equal, 1 if only one has a term or they differ, 0 if neither has one; null for other kinds of fingerprints."""
     x, y = (F.split(F.substr(c, F.lit(3)), r"\.") for c in (a, b))
     codes = F.zip_with(x, y, lambda u, v: F.when((u != "-") & (u == v), 2).when((u != "-") | (v != "-"), 1).otherwise(0))
-    share = lambda c, least: F.try_divide(F.size(F.filter(c, lambda k: k == 2)).cast("double"), F.nullif(F.size(F.filter(c, lambda k: k > 0)), F.lit(0))) if not least else F.when(F.size(F.filter(c, lambda k: k > 0)) >= least, share(c, 0))
-    best = F.array_max(F.array(*[share(F.slice(codes, r * p.each + 1, p.each), 3) for r in range(p.rates)]))
-    return F.when(a == b, F.lit(1.0)).when(both, F.coalesce(best, share(codes, 0), F.lit(0.0))).otherwise(F.lit(0.0))
+    return F.when(a.startswith("i:") & b.startswith("i:"), codes)
+
+
+def likeness(same: Column, codes: Column, p: IMatchParams) -> Column:
+    """Equal subset hashes, as a share of the subsets that either fingerprint has, at the rate where that is most.
+
+    A rate counts with three such subsets or more; if none has so many, all count together.
+    """
+    used = lambda c: F.size(F.filter(c, lambda k: k > 0))
+    share = lambda c: F.try_divide(F.size(F.filter(c, lambda k: k == 2)).cast("double"), used(c))
+    rates = F.transform(F.sequence(F.lit(0), F.lit(p.rates - 1)), lambda r: F.slice(codes, r * p.each + 1, F.lit(p.each)))
+    best = F.array_max(F.transform(rates, lambda c: F.when(used(c) >= 3, share(c))))
+    return F.when(same, F.lit(1.0)).otherwise(F.coalesce(best, share(codes), F.lit(0.0)))
 
 
 def next_in_order(keys: DataFrame, partitions: int) -> DataFrame:
-    """Rows (doc_id, h, n) with those of the next row: (nd, nh), the first after the last.
+    """Rows (doc_id, kid, h, ...) with the key of the next row: (nk, nh), the first after the last.
 
     Rows are range-partitioned; neighbours are found within partitions, and across
     them by a table with one row for each partition.
     """
-    ranged = materialise(keys.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), "h").withColumn("p", F.spark_partition_id()), "ordered")
-    here = F.struct("doc_id", "h")
-    inner = Window.partitionBy("p").orderBy(F.col("doc_id").asc_nulls_first(), "h")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    ranged = materialise(keys.repartitionByRange(partitions, *order).withColumn("p", F.spark_partition_id()), "ordered")
+    here = F.struct("kid", "h")
+    inner = Window.partitionBy("p").orderBy(*order)
     ends = ranged.groupBy("p").agg(F.min_by(here, F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("head"))
     across = Window.orderBy("p")  # one row for each partition of the range
     ends = ends.select("p", F.coalesce(F.lead("head").over(across), F.first("head").over(across)).alias("head"))
     ranged = ranged.withColumn("next", F.lead(here).over(inner)).join(F.broadcast(ends), "p")
-    return ranged.withColumn("next", F.coalesce("next", "head")).select("doc_id", "h", "n", F.col("next.doc_id").alias("nd"), F.col("next.h").alias("nh"))
+    ranged = ranged.withColumn("next", F.coalesce("next", "head"))
+    return ranged.select(*keys.columns, F.col("next.kid").alias("nk"), F.col("next.h").alias("nh"))
 
 
 def edited_fingerprints(docs: DataFrame, p: IMatchParams | None = None) -> DataFrame:
-    """Fingerprints of every text of ``docs`` (doc_id, text) and of its edited text."""
+    """Fingerprints of every text of ``docs`` (doc_id, text) and of its edited text.
+
+    Texts are shuffled once, by key, and the first quarters of the next texts once.
+    """
     p = p or IMatchParams()
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = lexicon(rows, p)
-    keys = rows.select("doc_id", "h", F.length("text").cast("long").alias("n")).distinct()
+    # keys without nulls: whether there is an id is part of the text's hash
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("kid"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
+    keys = rows.groupBy("doc_id", "kid", "h").agg(F.first(F.length("text")).cast("long").alias("n"), F.count(F.lit(1)).alias("times"))
     order = materialise(next_in_order(keys, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "next")
-    # each text meets its own row of the order, and what it gives to the text before it
-    before = order.select(F.col("nd").alias("d"), F.col("nh").alias("g"), F.col("doc_id").alias("to_d"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).alias("take"))
-    rows = rows.dropDuplicates(["doc_id", "h"])
-    gift = rows.join(before, rows["doc_id"].eqNullSafe(before["d"]) & (rows["h"] == before["g"]))
-    gift = gift.select("to_d", "to_h", F.substr("text", F.lit(1), F.col("take").cast("int")).alias("head"))
-    pairs = rows.join(gift, rows["doc_id"].eqNullSafe(gift["to_d"]) & (rows["h"] == gift["to_h"]), "left")
+    free_shuffles(spark)
+    before = order.select(F.col("nk").alias("kid"), F.col("nh").alias("h"), F.col("kid").alias("to_kid"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("take"))
+    # each text meets what it gives to the text before it, and then what the text after it gives
+    texts = rows.select("kid", "h", "text").join(before, ["kid", "h"])
+    gifts = texts.select(F.col("to_kid").alias("kid"), F.col("to_h").alias("h"), F.substr("text", F.lit(1), F.col("take")).alias("head")).groupBy("kid", "h").agg(F.first("head").alias("head"))
+    pairs = texts.select("kid", "h", "text", F.concat_ws("|", "to_kid", "to_h").alias("before")).join(gifts, ["kid", "h"])
     n = F.length("text")
-    pairs = pairs.select("doc_id", "h", n.cast("long").alias("n_chars"), "text", F.concat(F.substr("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.coalesce("head", F.lit(""))).alias("edited"))
-    both = pairs.select("doc_id", "h", "n_chars", F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"), F.posexplode(F.array("text", "edited")).alias("kind", "text"))
-    both = both.withColumn("k", F.struct("doc_id", "h", "kind"))
-    fallback = both.select("doc_id", "h", "kind", "n_chars", "edited_sha256", F.concat(F.lit("e:"), F.md5("text")).alias("plain"))
-    found = fingerprints(both.select("k", "text"), words, p).select(F.col("k.doc_id").alias("fd"), F.col("k.h").alias("fh"), F.col("k.kind").alias("fk"), "fingerprint")
-    named = fallback.join(found, fallback["doc_id"].eqNullSafe(found["fd"]) & (fallback["h"] == found["fh"]) & (fallback["kind"] == found["fk"]), "left")
-    named = named.groupBy("doc_id", "h").agg(
-        F.first("n_chars").alias("n_chars"),
-        F.first("edited_sha256").alias("edited_sha256"),
-        F.max(F.when(F.col("kind") == 0, F.coalesce("fingerprint", "plain"))).alias("fingerprint"),
-        F.max(F.when(F.col("kind") == 1, F.coalesce("fingerprint", "plain"))).alias("edited_fingerprint"),
-    )
+    edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 4).cast("int")), "head")
+    pairs = pairs.select("kid", "h", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("before").alias("fact"), "text"), F.struct(F.lit(1).alias("kind"), F.sha2(F.encode(edited, "utf-8"), 256).alias("fact"), edited.alias("text")))).alias("x"))
+    named = fingerprints(pairs.select("kid", "h", "x.*"), words, p)
+    only = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    named = named.groupBy("kid", "h").agg(only(0, "fact").alias("before"), only(1, "fact").alias("edited_sha256"), only(0, "fingerprint").alias("fingerprint"), only(1, "fingerprint").alias("edited_fingerprint"))
     named = materialise(named, "fingerprints")
-    nxt = order.select(F.col("doc_id").alias("od"), F.col("h").alias("oh"), "nd", "nh")
-    after = named.select(F.col("doc_id").alias("ad"), F.col("h").alias("ah"), F.col("fingerprint").alias("next_fingerprint"))
-    out = named.join(nxt, named["doc_id"].eqNullSafe(nxt["od"]) & (named["h"] == nxt["oh"]))
-    out = out.join(after, out["nd"].eqNullSafe(after["ad"]) & (out["nh"] == after["ah"]))
-    out = out.select("doc_id", "h", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), p).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint"), p).alias("near_next"))
-    every = docs.select(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
-    return every.join(out, every["id"].eqNullSafe(out["doc_id"]) & (every["t"] == out["h"])).drop("id", "t", "h")
+    free_shuffles(spark)
+    # each fingerprint goes to the text before it
+    to = [F.substring_index("before", "|", k).cast("long") for k in (1, -1)]
+    after = named.select(to[0].alias("kid"), to[1].alias("h"), F.col("fingerprint").alias("next_fingerprint")).dropDuplicates(["kid", "h"])
+    out = named.drop("before").join(order, ["kid", "h"]).join(after, ["kid", "h"])
+    pairs_of = {"near_edited": F.col("edited_fingerprint"), "near_next": F.col("next_fingerprint")}
+    mine = F.col("fingerprint")
+    out = out.select("*", *[agreement(mine, other).alias(f"{name}_codes") for name, other in pairs_of.items()])
+    near = [likeness(mine == other, F.col(f"{name}_codes"), p).alias(name) for name, other in pairs_of.items()]
+    out = out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", *near, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time"))
+    return out.drop("time")
 
 
 def op5_imatch(spark, sf_dir: str) -> DataFrame:
