@@ -80,6 +80,20 @@ def test_paraphrase_is_found(spark, docs):
     assert (10_000, 0) in found and not any(i == 10_001 for i, _ in found)
 
 
+def test_items_in_a_third_of_the_rows_are_found(spark):
+    rng = random.Random(8)
+    items = [words(rng, 40) for _ in range(3)]
+    texts = [words(rng, 120) for _ in range(120)]
+    for i in range(40):  # whole copies and copies inside other text
+        texts[i] = items[0] if i < 20 else texts[i][:50] + items[0] + texts[i][50:]
+    planted = {(i, 0) for i in range(40)} | {(119, 1)}
+    texts[119][30:30] = items[1]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark).collect()} == planted
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark).collect()} == set(range(40, 119))
+
+
 def test_common_subsequence():
     def plain(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
