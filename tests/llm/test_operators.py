@@ -94,6 +94,24 @@ def test_items_in_a_third_of_the_rows_are_found(spark):
     assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, benchmark).collect()} == set(range(40, 119))
 
 
+def test_paraphrases_near_the_limit_are_candidates(spark, docs):
+    rng = random.Random(11)
+    some = docs.select("doc_id", "text").where("doc_id % 4 = 1 and n_chars < 3000")
+    items = spark.read.parquet(f"{D}/benchmark.parquet").where("item_id < 20")
+    pool = [w for r in some.orderBy("doc_id").collect() if r["text"] for w in r["text"].split()]
+    planted = []
+    for r in items.orderBy("item_id").collect():
+        for k, percent in enumerate((30, 35, 40, 45)):
+            w = r["text"].split()
+            for i in rng.sample(range(len(w)), len(w) * percent // 100):
+                w[i] = rng.choice(pool)
+            host = rng.choices(pool, k=80)
+            planted.append((10_000 + 10 * r["item_id"] + k, " ".join(host[:40] + w + host[40:])))
+    both = some.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    every, found = ({(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(both, items, p).collect()} for p in (decontaminate.LeakParams(cosine=-2.0), None))
+    assert len(every) > 60 and found == every
+
+
 def test_common_subsequence():
     def plain(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
