@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+VERSION_LINE = re.compile(rb"\nWARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 
@@ -79,8 +80,10 @@ def parse_record(data: bytes, at: int = 0, check_digest: bool = True) -> tuple[d
     """Headers (lower-case names), block and end of the record at ``at``."""
     if not VERSION.match(data, at):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0 or stop - at > 65536:
+    # headers of any size, but not beyond the next version line
+    after = VERSION_LINE.search(data, at + 1)
+    stop = data.find(b"\r\n\r\n", at, after.start() + 1 if after else len(data))
+    if stop < 0:
         raise Damaged("headers do not end")
     headers: dict[str, str] = {}
     for line in data[data.index(b"\n", at) + 1 : stop].split(b"\r\n"):

@@ -160,6 +160,19 @@ def test_salvage_recovers_later_records():
     assert [r[0] for r in found] == ["gap", "record", "gap", "record", "gap", "record"]
 
 
+def test_long_urls_are_read_back(spark):
+    url = "data:text/html," + "x" * 100_000
+    pages = spark.createDataFrame([(1, url, "a"), (2, "http://b", "b"), (3, url + "y", "a")], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(pages)).collect()
+    assert sorted((r["kind"], r["record_id"], r["url"], r["record_type"]) for r in got) == [("record", "<urn:page:1>", url, "revisit"), ("record", "<urn:page:2>", "http://b", "response"), ("record", "<urn:page:3>", url + "y", "response")]
+
+
+def test_headers_end_before_the_next_record():
+    good = warc.record(1, "u", b"one", warc.payload_digest(b"one"))
+    found = list(warc.salvage(good[: good.index(b"Content-Type")] + good))
+    assert [r[0] for r in found] == ["gap", "record"] and found[0][3] == "headers do not end"
+
+
 def test_salvage_plain_records_and_wrong_digest():
     good = warc.record(1, "u", b"one", warc.payload_digest(b"one"))
     wrong = warc.record(2, "u", b"two", warc.payload_digest(b"other"))
