@@ -40,7 +40,7 @@ class PackParams:
     targets: dict | None = None
     cycle: int = 1024  #: windows in which rounding deficits come back to zero, at most
     broadcast_rows: int = 200_000  #: rows of the queue offsets sent to every task at most
-    max_sources: int = 5_000  #: queues planned one by one; a larger table is refused
+    max_sources: int = 5_000  #: queues planned one by one, the largest; all further sources are one queue
 
 
 _ENCODER: dict = {}
@@ -221,16 +221,42 @@ def pack(docs: DataFrame, p: PackParams) -> DataFrame:
     schema = "doc_id long, source string, part int, before long, n long, small boolean, ids binary"
     tokens = materialise(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")).mapInArrow(tokenise, schema), "tokens")
     chunks = tokens.groupBy("source", "part").agg(F.sum("n").alias("chunk"))
-    by_source = chunks.groupBy("source").agg(F.sum("chunk").alias("total")).limit(p.max_sources + 1).collect()
-    if len(by_source) > p.max_sources:
-        raise ValueError(f"more than {p.max_sources} sources; map them to fewer queues first")
-    names = sorted((r["source"] for r in by_source), key=lambda s: (s is not None, s or ""))
-    total = {r["source"]: r["total"] for r in by_source}
-    totals = np.array([total[s] for s in names], np.int64)
-    targets = totals if p.targets is None else np.array([p.targets.get(s, 0) for s in names], float)
-    shared = spark.sparkContext.broadcast((plan_windows(totals, targets, p.length, p.cycle), {s: i for i, s in enumerate(names)}))
+    by_source = chunks.groupBy("source").agg(F.sum("chunk").alias("total"))
+    wanted = [k for k, v in (p.targets or {}).items() if v > 0 and k is not None]
+    top = by_source.orderBy(F.coalesce(F.col("source").isin(wanted), F.lit(False)).desc(), F.col("total").desc(), "source").limit(p.max_sources).collect()
+    names = sorted((r["source"] for r in top), key=lambda s: (s is not None, s or ""))
+    total = {r["source"]: r["total"] for r in top}
+    totals = [total[s] for s in names]
+    targets = totals if p.targets is None else [p.targets.get(s, 0) for s in names]
     order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialise(chunks.select("source", "part", F.coalesce(F.sum("chunk").over(order), F.lit(0)).alias("base")), "offsets")
+    base = F.coalesce(F.sum("chunk").over(order), F.lit(0)).alias("base")
+    rest = 0
+    if len(names) == p.max_sources:
+        planned = F.broadcast(spark.createDataFrame([(s, True) for s in names], "name string, planned boolean"))
+        chunks = materialise(chunks.join(planned, F.col("source").eqNullSafe(F.col("name")), "left").drop("name"), "chunks")
+        rest = chunks.where("planned is null").agg(F.sum("chunk")).first()[0] or 0
+    if rest:
+        # the other sources are one queue: by bucket, source and part; only the totals of the buckets are summed on the driver
+        others = chunks.where("planned is null").withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(1024)))
+        at, begins = 0, []
+        for r in others.groupBy("bucket").agg(F.sum("chunk").alias("n")).orderBy("bucket").collect():
+            begins.append((r["bucket"], at))
+            at += r["n"]
+        inside = Window.partitionBy("bucket").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
+        others = others.join(F.broadcast(spark.createDataFrame(begins, "bucket long, begin long")), "bucket")
+        others = others.select("source", "part", (F.col("begin") + F.coalesce(F.sum("chunk").over(inside), F.lit(0))).alias("base"))
+        offsets = chunks.where("planned").select("source", "part", base).unionByName(others)
+        totals = [*totals, rest]
+        if p.targets is None:
+            targets = totals
+        else:
+            more = [s for s in p.targets if s not in total]
+            here = [r["source"] for r in by_source.where(F.coalesce(F.col("source").isin(more), F.lit(False))).collect()] if more else []
+            targets = [*targets, sum(p.targets[s] for s in here)]
+    else:
+        offsets = chunks.select("source", "part", base)
+    shared = spark.sparkContext.broadcast((plan_windows(np.array(totals, np.int64), np.array(targets, float), p.length, p.cycle), {s: i for i, s in enumerate(names)}))
+    offsets = materialise(offsets, "offsets")
     offsets = offsets.withColumnsRenamed({"source": "s", "part": "q"})
     if offsets.count() <= p.broadcast_rows:
         offsets = F.broadcast(offsets)
@@ -243,7 +269,7 @@ def pack(docs: DataFrame, p: PackParams) -> DataFrame:
             cols = [[] for _ in range(7)]
             for doc, source, at, n, small, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "at", "n", "small", "ids")), strict=True):
                 raw = memoryview(np.frombuffer(ids, np.uint16 if small else np.uint32).astype("<u4").tobytes())
-                for start, size, window, offset in cut(at, n, number[source], phases):
+                for start, size, window, offset in cut(at, n, number.get(source, len(number)), phases):
                     for c, v in zip(cols, (doc, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), n, window, offset), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

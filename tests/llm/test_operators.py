@@ -210,6 +210,17 @@ def test_every_token_is_packed_once(spark, docs):
     assert [x.tolist() for x in packing.encode(texts, path, 1)] == [[*slow.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_more_sources_than_queues(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(words(rng, rng.randrange(1, 40))), None if i % 23 == 5 else f"s{i % 23}" if i % 3 else "big") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(docs, packing.PackParams(packing_path(), length=64, max_sources=4)).toPandas()
+    for _, g in out.sort_values(["doc_id", "start"]).groupby("doc_id"):
+        assert (g.start == g.length.cumsum() - g.length).all() and g.length.sum() == g.doc_tokens.iloc[0]
+    by = out.sort_values(["sequence_id", "offset"])
+    assert out.doc_id.nunique() == 300 and (by.groupby("sequence_id").length.cumsum() - by.length == by.offset).all()
+
+
 def packing_path():
     import public_tokenizers
 
