@@ -40,7 +40,8 @@ class LangParams:
     """Bounds of the training sample and of the training."""
 
     max_documents: int = 3_000  #: labelled documents in training, about
-    words_each: int = 120  #: words taken of a training document
+    words_each: int = 120  #: words taken of a training document, in runs from all over it
+    run_words: int = 20  #: words of such a run
     lexicon: int = 20_000  #: words of the lexicon at most
     epochs: int = 4
     batch: int = 128
@@ -59,7 +60,7 @@ def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
     out = [h("bias")]
     out += [h("p" + word[:k]) for k in (1, 2, 3, 4) if k <= len(word)]
     out += [h("s" + word[-k:]) for k in (1, 2, 3, 4) if k <= len(word)]
-    marked = f"^{word}$"[:40]
+    marked = f"^{word}$"
     out += [h("g" + marked[i : i + k]) for k in (2, 3) for i in range(len(marked) - k + 1)]
     if word in lexicon:
         out.append(h(f"x{lexicon[word]}"))
@@ -264,6 +265,19 @@ def _messages(e, at, a, t):
     return fwd, back
 
 
+def word_runs(words: list[str], seed: int, p: LangParams) -> list[str]:
+    """All words of a short text; of a longer one ``words_each``, in runs at random places of equal parts of it."""
+    if len(words) <= p.words_each:
+        return words
+    rng, n, out = np.random.default_rng([p.seed, seed]), max(1, p.words_each // p.run_words), []
+    size = p.words_each // n
+    for k in range(n):
+        lo, hi = k * len(words) // n, (k + 1) * len(words) // n
+        a = int(rng.integers(lo, max(lo, hi - size) + 1))
+        out += words[a : a + size]
+    return out
+
+
 def fit_langid(docs: DataFrame, p: LangParams | None = None, train=None) -> LangModel:
     """Fit on a bounded sample of the rows (doc_id, text, lang) that ``train`` (on doc_id) allows."""
     p = p or LangParams()
@@ -279,7 +293,7 @@ def fit_langid(docs: DataFrame, p: LangParams | None = None, train=None) -> Lang
 
     def read(batches):
         for b in batches:
-            words = [WORD.findall((t or "").lower().replace("\n", " "))[: p.words_each] for t in b["text"]]
+            words = [word_runs(WORD.findall((t or "").lower().replace("\n", " ")), int(i) & (1 << 64) - 1, p) for i, t in zip(b["doc_id"], b["text"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "words": [" ".join(w) for w in words]})
 
     rows = known.where(drawn).select("doc_id", "lang", "text").mapInPandas(read, "doc_id long, lang string, words string").collect()

@@ -273,6 +273,17 @@ def test_code_switched_words_are_told_apart(spark):
     assert best[:8].count("en") >= 7 and best[-8:].count("de") >= 7
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    rng = random.Random(9)
+    header = " ".join(words(rng, 150))
+    own = {lang: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(80)] for lang, letters in (("aa", "abcdefg"), ("bb", "tuvwxyz"))}
+    rows = [(2 * i + k, f"{header} {' '.join(rng.choices(own[lang], k=600))}", lang) for i in range(30) for k, lang in enumerate(own)]
+    model = langid.fit_langid(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict([" ".join(own["aa"][:40]), " ".join(own["bb"][:40])])[0] == ["aa", "bb"]
+    long = "a" * 60
+    assert langid.word_features(f"{long}xyz{long}", {}) != langid.word_features(long + "abc" + long, {})
+
+
 def test_nnpu_separates():
     rng = np.random.default_rng(0)
     doc = lambda bad: np.unique(np.concatenate([rng.integers(100, 400, 20), rng.integers(0, 5, 2) if bad else np.zeros(0, int)]))
