@@ -19,9 +19,11 @@ CACHE_WORDS = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="meshlake-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = f"file://{base}"
@@ -83,11 +85,25 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
-def below_fraction(column: str, fraction: float, seed: int):
-    """A repeatable choice of about ``fraction`` of the keys, by hash."""
+def below_fraction(columns: list[str], fraction: float, seed: int):
+    """A repeatable choice of about ``fraction`` of the rows, by a 63-bit hash of some columns.
+
+    The threshold has 63 bits, so that a fraction far below one in a million still draws.
+    """
     if fraction >= 1:
         return F.lit(True)
-    return F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000)), F.lit(False))
+    hashed = F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit((1 << 63) - 1).cast("long"))
+    return hashed < F.lit(int(max(0.0, fraction) * (1 << 63))).cast("long")
+
+
+def bounded_rows(rows: DataFrame, limit: int, seed: int) -> DataFrame:
+    """About ``limit`` of the distinct rows (doc_id, text, ...) at most.
+
+    Rows are drawn by id and text, so the many rows of one repeated id are drawn like
+    any others, and equal rows count once.
+    """
+    n = rows.select("doc_id").count()
+    return rows.where(below_fraction(["doc_id", "text"], limit / max(1, n), seed)).dropDuplicates(["doc_id", "text"])
 
 
 class WordIds(dict):
@@ -120,9 +136,10 @@ class Remembers:
 
 
 def add_counts(parts: DataFrame, size: int, column: str = "counts") -> np.ndarray:
-    """Sum of int64 vectors, one from each partition, by way of a few combining tasks.
+    """Sum of int64 vectors, one from each partition, by way of combining tasks.
 
-    ``parts`` has one binary row for each input partition; the driver gets at most
+    ``parts`` has one binary row for each input partition. They meet in as many tasks
+    as the square root of their number, and then in eight, so the driver gets at most
     eight rows of ``8 * size`` bytes, whatever the input.
     """
 
@@ -135,8 +152,13 @@ def add_counts(parts: DataFrame, size: int, column: str = "counts") -> np.ndarra
 
         yield pd.DataFrame({column: [total.tobytes()]})
 
-    rows = parts.repartition(8).mapInPandas(combine, f"{column} binary").collect()
-    return sum((np.frombuffer(r[0], np.int64) for r in rows), np.zeros(size, np.int64))
+    first = int(parts.rdd.getNumPartitions() ** 0.5)
+    if first > 8:
+        parts = parts.repartition(first).mapInPandas(combine, f"{column} binary")
+    total = np.zeros(size, np.int64)
+    for r in parts.repartition(8).mapInPandas(combine, f"{column} binary").toLocalIterator():
+        total += np.frombuffer(r[0], np.int64)
+    return total
 
 
 def csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, Remembers, crc_mod, csr, sum_rows
+from .common import CACHE_WORDS, Remembers, below_fraction, crc_mod, csr, sum_rows
 
 BITS = 17
-WORD = re.compile(r"[^\W\d_]+|\n")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,7 @@ class LangParams:
     max_documents: int = 3_000  #: labelled documents in training, about
     words_each: int = 120  #: words taken of a training document, in runs from all over it
     run_words: int = 20  #: words of such a run
+    max_languages: int = 500  #: languages learned, those with most documents
     lexicon: int = 20_000  #: words of the lexicon at most
     epochs: int = 4
     batch: int = 128
@@ -154,12 +155,18 @@ class LangModel(Remembers):
         return names, scores
 
 
+def letter_words(text: str) -> list[str]:
+    """The words of a text: runs of letters, or of letters and marks like them that hold a letter."""
+    found = WORD.findall(text)
+    # \w also has numbers such as fractions, which are no letters
+    return found if "".join(found).isalpha() else [w for w in found if any(map(str.isalpha, w))]
+
+
 def sequences(text: str | None, longest: int) -> tuple[list[str], list[int]]:
     """Lower-case words of a text and the offsets of its sequences."""
     words, at = [], [0]
     for line in (text or "").lower().split("\n"):
-        found = WORD.findall(line)
-        words += found
+        words += letter_words(line)
         while len(words) - at[-1] > longest:
             at.append(at[-1] + longest)
         if len(words) > at[-1]:
@@ -283,20 +290,23 @@ def fit_langid(docs: DataFrame, p: LangParams | None = None, train=None) -> Lang
     p = p or LangParams()
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     known = known.where(F.lit(True) if train is None else train)
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    top = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(p.max_languages)
+    sizes = {r["lang"]: r["count"] for r in top.collect()}
     if not sizes:
         return train_crf([], p)
     # as many of each language, as far as there are
     each = p.max_documents / len(sizes)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(1_000_000 * min(1.0, each / n)))])
-    drawn = F.pmod(F.xxhash64(F.lit(p.seed), F.col("doc_id")), F.lit(1_000_000)) < share[F.col("lang")]
+    drawn = F.lit(False)
+    for lang, n in sorted(sizes.items()):
+        drawn |= (F.col("lang") == lang) & below_fraction(["doc_id", "text"], each / n, p.seed)
+    chosen = known.where(drawn).select("doc_id", "lang", "text").dropDuplicates()
 
     def read(batches):
         for b in batches:
-            words = [word_runs(WORD.findall((t or "").lower().replace("\n", " ")), int(i) & (1 << 64) - 1, p) for i, t in zip(b["doc_id"], b["text"], strict=True)]
+            words = [word_runs(letter_words((t or "").lower()), int(i) & (1 << 64) - 1, p) for i, t in zip(b["doc_id"], b["text"], strict=True)]
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang": b["lang"], "words": [" ".join(w) for w in words]})
 
-    rows = known.where(drawn).select("doc_id", "lang", "text").mapInPandas(read, "doc_id long, lang string, words string").collect()
+    rows = chosen.mapInPandas(read, "doc_id long, lang string, words string").collect()
     return train_crf([(r[1], r[2].split()) for r in sorted(tuple(r) for r in rows) if r[2]], p)
 
 

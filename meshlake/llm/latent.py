@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
-from .common import sum_rows
+from .common import csr, sum_rows
 
-BLOCK = 200_000  #: entries multiplied at once
+BLOCK = 100_000  #: entries multiplied at once
 
 
 def times(flat: np.ndarray, weight: np.ndarray, at: np.ndarray, dense: np.ndarray) -> np.ndarray:
@@ -53,14 +55,38 @@ def orthonormal(y: np.ndarray) -> np.ndarray:
     return y
 
 
-def randomised_basis(flat, weight, at, n_features: int, rank: int, seed: int, rounds: int = 3) -> np.ndarray:
-    """The leading right singular vectors (n_features, rank) of sparse rows held here."""
-    q = orthonormal(probe(n_features, rank + 8, seed))
+def randomised_basis(rows: DataFrame, size: int, rank: int, rounds: int, seed: int) -> np.ndarray:
+    """The leading right singular vectors (size, rank) of the sparse rows of a table.
+
+    ``rows`` has feature numbers ``f`` (int32) and weights ``w`` (float32) as binary. Each
+    round sends the current basis to the tasks, which add up their rows' share of
+    A'(A Q); the driver adds the tasks' shares one at a time and orthonormalises the sum.
+    """
+    spark, width = rows.sparkSession, rank + 8
+    q = orthonormal(probe(size, width, seed))
+
+    def step(q, gram):
+        shared = spark.sparkContext.broadcast(q)
+
+        def run(batches):
+            y = np.zeros((width, width) if gram else (size, width), np.float32)
+            for b in batches:
+                flat, at = csr([np.frombuffer(x, np.int32).astype(np.int64) for x in b["f"]])
+                weight = np.frombuffer(b"".join(b["w"]), np.float32)
+                aq = times(flat, weight, at, shared.value)
+                y += aq.T @ aq if gram else times_transposed(flat, weight, at, aq, size)
+            yield pd.DataFrame({"y": [y.tobytes()]})
+
+        total = np.zeros((width, width) if gram else (size, width), np.float32)
+        for r in rows.mapInPandas(run, "y binary").toLocalIterator():
+            total += np.frombuffer(r[0], np.float32).reshape(total.shape)
+        shared.destroy()
+        return total
+
     for _ in range(rounds):
-        q = orthonormal(times_transposed(flat, weight, at, times(flat, weight, at, q), n_features))
-    b = times(flat, weight, at, q)
-    _, s, vt = np.linalg.svd((b.T @ b).astype(np.float64))
-    return (q @ vt.T.astype(np.float32))[:, :rank] if len(s) else q[:, :rank]
+        q = orthonormal(step(q, False))
+    _, vectors = np.linalg.eigh(step(q, True).astype(np.float64))
+    return (q @ vectors[:, ::-1][:, :rank].astype(np.float32)).astype(np.float32)
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

@@ -44,14 +44,15 @@ class PackParams:
 
 
 _ENCODER: dict = {}
-PROBE = "It's  a 1st\n\n trial: \u00e9\u4e2d\U0001f600 <|endoftext|>\t don't "
+PROBE = "It's  a 1st\n\n trial: \u00e9\u4e2d\U0001f600 <|end|>\t don't "
 
 
 def encoder(path: str):
     """A function from a text to its ids by the tokenizer file, once a process.
 
-    For a byte-level BPE without further steps, ids are those of its ranks under the
-    file's own split pattern, which ``tiktoken`` finds several times as fast; a probe
+    Added tokens of the file (such as its end of text) are recognised in texts, as the
+    tokenizer does by default. For a byte-level BPE without further steps, other texts'
+    ids are those of its ranks under the file's own split pattern, which ``tiktoken`` finds several times as fast; a probe
     is encoded both ways, and where they differ the tokenizer itself is used.
     """
     if path not in _ENCODER:
@@ -60,7 +61,6 @@ def encoder(path: str):
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         plain = lambda text: slow.encode(text, add_special_tokens=False).ids
         _ENCODER[path] = plain
         with open(path, encoding="utf-8") as f:
@@ -76,7 +76,8 @@ def encoder(path: str):
             ranks = {bytes(letter[x] for x in k): v for k, v in spec["model"]["vocab"].items() if k not in added}
             fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             if fast(PROBE) == plain(PROBE):
-                _ENCODER[path] = fast
+                # a text with one of the file's added tokens in it goes to the tokenizer itself
+                _ENCODER[path] = lambda text: plain(text) if any(t in text for t in added) else fast(text)
     return _ENCODER[path]
 
 
@@ -170,13 +171,17 @@ def plan_windows(totals: np.ndarray, targets: np.ndarray, length: int, cycle: in
     return phases
 
 
-def cut(start: int, n: int, source: int, phases: list[Phase]) -> list[tuple[int, int, int, int]]:
+class Plan:
+    """Phases, with the tokens of each source that come before them."""
+
+    def __init__(self, phases: list[Phase]):
+        self.phases, self.bases = phases, np.array([p.base for p in phases])
+
+
+def cut(start: int, n: int, source: int, plan: Plan) -> list[tuple[int, int, int, int]]:
     """(start in the document, length, sequence, offset) of the pieces of tokens start..start+n of a queue."""
     out, x, end = [], start, start + n
-    bases = _BASES.get(id(phases))
-    if bases is None:
-        _BASES.clear()
-        bases = _BASES[id(phases)] = np.array([p.base for p in phases])
+    phases, bases = plan.phases, plan.bases
     k = int(np.searchsorted(bases[:, source], x, "right")) - 1
     while x < end:
         p = phases[k]
@@ -197,9 +202,6 @@ def cut(start: int, n: int, source: int, phases: list[Phase]) -> list[tuple[int,
     return out
 
 
-_BASES: dict = {}
-
-
 def pack(docs: DataFrame, p: PackParams) -> DataFrame:
     """Pieces of all documents (doc_id, text, source): see ``op6_packing`` for the columns."""
     spark = docs.sparkSession
@@ -255,7 +257,7 @@ def pack(docs: DataFrame, p: PackParams) -> DataFrame:
             targets = [*targets, sum(p.targets[s] for s in here)]
     else:
         offsets = chunks.select("source", "part", base)
-    shared = spark.sparkContext.broadcast((plan_windows(np.array(totals, np.int64), np.array(targets, float), p.length, p.cycle), {s: i for i, s in enumerate(names)}))
+    shared = spark.sparkContext.broadcast((Plan(plan_windows(np.array(totals, np.int64), np.array(targets, float), p.length, p.cycle)), {s: i for i, s in enumerate(names)}))
     offsets = materialise(offsets, "offsets")
     offsets = offsets.withColumnsRenamed({"source": "s", "part": "q"})
     if offsets.count() <= p.broadcast_rows:
@@ -264,12 +266,12 @@ def pack(docs: DataFrame, p: PackParams) -> DataFrame:
     placed = placed.select("doc_id", "source", (F.col("base") + F.col("before")).alias("at"), "n", "small", "ids")
 
     def place(batches):
-        phases, number = shared.value
+        plan, number = shared.value
         for b in batches:
             cols = [[] for _ in range(7)]
             for doc, source, at, n, small, ids in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "at", "n", "small", "ids")), strict=True):
                 raw = memoryview(np.frombuffer(ids, np.uint16 if small else np.uint32).astype("<u4").tobytes())
-                for start, size, window, offset in cut(at, n, number.get(source, len(number)), phases):
+                for start, size, window, offset in cut(at, n, number.get(source, len(number)), plan):
                     for c, v in zip(cols, (doc, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), n, window, offset), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])

@@ -1,20 +1,24 @@
 """Quality scores by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Hashed words and marks of style (symbols, capitals, repeats, lengths; in steps) are
-weighted by TF-IDF with document frequencies of the whole table, and projected on
-the leading singular vectors of the labelled sample. The labelled vectors, at most
-``max_labelled``, go to every task, which takes exact cosine products of its
-documents with all of them, in blocks, and lets the nearest vote by similarity.
-
-Defined results: null and empty texts have the marks of an empty text and are scored
-like any other. Repeated rows and ties are scored alike: equal similarities take the
-labelled rows in order of their ids. With no labelled row the score is 0.5. Of several
-labels of an id the least quality counts. Other columns of the input are not read.
+The terms of a text are its words as written, its runs of other characters and, where at
+least a quarter of its words repeat the word before, one term for each such repeat. Hashed
+terms are weighted by TF-IDF with document frequencies of the whole table, and projected
+on the leading singular vectors of the labelled sample, found by a distributed
+randomised SVD. The labelled vectors, at most about ``max_labelled``, go to every task,
+which takes exact cosine products of its documents with all of them, in blocks, and lets
+the nearest vote, weighted by similarity.
+
+Defined results: null and empty texts, and texts of blanks, have one term of their own
+and are scored by it like any other. Repeated rows are scored alike. Equal similarities
+take the labelled rows in order of their ids, then of their terms. With no labelled row
+the score is 0.5. Of several labels of an id the least quality counts. Other columns of
+the input are not read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordIds, add_counts, below_fraction, crc_mod, csr
+from .common import WordIds, add_counts, below_fraction, bounded_rows, crc_mod, csr, materialise
 from .latent import randomised_basis, times, unit
 
 BITS = 15
-MARKS = 256  #: features kept for marks of style, after the words
-SIZE = (1 << BITS) + MARKS
-SYMBOL, UPPER, DIGIT = re.compile(r"[^\w\s.,;:'\"()?!-]"), re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[0-9]")
+SIZE = 1 << BITS
+SYMBOLS = 1 << 10  #: the first numbers are those of runs of other characters, the last that of repeats
+AGAIN = SIZE - 1
+TERM = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\s]+")
 
 
 @dataclass(frozen=True)
@@ -39,53 +44,41 @@ class QualityParams:
 
     max_labelled: int = 6_000
     rank: int = 48
+    rounds: int = 3  #: power iterations
     neighbours: int = 25
-    mark_weight: float = 6.0
-    power: float = 4.0
+    power: float = 4.0  #: of the similarity, as the weight of a vote
     block: int = 512
     seed: int = 11
 
 
-_words = WordIds(BITS)
-
-
-def marks(text: str, words: list[bytes]) -> list[int]:
-    """Numbers of the marks of style that a text has; neighbouring steps are shared."""
-    n, k = max(1, len(text)), max(1, len(words))
-    lines = [x for x in text.split("\n") if x.strip()]
-    pairs = list(zip(words, words[1:], strict=False))
-    values = (
-        min(1, 4 * len(SYMBOL.findall(text)) / n),
-        min(1, len(UPPER.findall(text)) / n * 2),
-        min(1, 4 * len(DIGIT.findall(text)) / n),
-        min(1, 3 * text.count("!") / k),
-        1 - len(set(lines)) / max(1, len(lines)),
-        1 - len(set(pairs)) / max(1, len(pairs)),
-        sum(a == b for a, b in pairs) / k,
-        min(1, len(text) / k / 16),
-        min(1, np.log1p(len(words)) / 10),
-        min(1, len(lines) / k * 3),
-    )
-    out = []
-    for i, v in enumerate(values):
-        step = int(round(v * 16))
-        out += [i * 24 + s + 2 for s in range(step - 2, step + 3)]
-    return out
-
-
-def document_rows(texts, mark_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows of texts: feature numbers, raw weights, offsets."""
-    flats, weights = [], []
-    for t in texts:
-        t = t or ""
-        words = t.encode().lower().split()
-        ids, n = np.unique(_words(words), return_counts=True)
-        m = np.array(marks(t, words)) + (1 << BITS)
-        flats.append(np.concatenate([ids, m]))
-        share = (1 + np.log(n)) / np.sqrt(max(1, len(ids)))
-        weights.append(np.concatenate([share, np.full(len(m), mark_weight)]))
-    flat, at = csr(flats)
-    return flat, np.concatenate(weights) if weights else np.zeros(0), at
+class TermIds(WordIds):
+    """Words are numbered from SYMBOLS on, runs of other characters below."""
+
+    def __missing__(self, term: bytes) -> int:
+        h = zlib.crc32(term)
+        number = self[term] = SYMBOLS + h % (AGAIN - SYMBOLS) if term[:1].isalnum() or term[:1] >= b"\x80" else h % SYMBOLS
+        return number
+
+
+_terms = TermIds(BITS)
+
+
+def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct term numbers of a whole text and how often each occurs."""
+    ids = _terms(TERM.findall((text or "").encode()) or [b""])
+    found, n = np.unique(ids, return_counts=True)
+    words = ids[ids >= SYMBOLS]
+    again = int((words[1:] == words[:-1]).sum())
+    if again and 4 * again >= len(words):
+        found, n = np.append(found, AGAIN), np.append(n, again)
+    return found, n
+
+
+def weighted_row(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers and weights of a text, of unit length."""
+    ids, n = term_counts(text)
+    w = (1 + np.log(n)) * idf[ids]
+    return ids, (w / max(1e-9, float(np.sqrt((w * w).sum())))).astype(np.float32)
 
 
 @dataclass
@@ -97,8 +90,9 @@ class QualityModel:
     params: QualityParams
 
     def project(self, texts) -> np.ndarray:
-        flat, w, at = document_rows(texts, self.params.mark_weight)
-        return unit(times(flat, (w * self.idf[flat]).astype(np.float32), at, self.basis))
+        rows = [weighted_row(t, self.idf) for t in texts]
+        flat, at = csr([r[0] for r in rows])
+        return unit(times(flat, np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.float32), at, self.basis))
 
     def score(self, texts) -> np.ndarray:
         if not len(self.label):
@@ -106,36 +100,43 @@ class QualityModel:
         x, out, k = self.project(texts), np.empty(len(texts)), min(self.params.neighbours, len(self.label))
         for a in range(0, len(x), self.params.block):
             sim = x[a : a + self.params.block] @ self.vectors.T
-            if k < sim.shape[1]:
-                near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            else:
-                near = np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
+            near = nearest(sim, k)
             s = np.maximum(np.take_along_axis(sim, near, 1), 1e-3).astype(float) ** self.params.power
             out[a : a + len(sim)] = (s * self.label[near]).sum(1) / s.sum(1)
         return np.clip(out, 0, 1)
 
 
+def nearest(sim: np.ndarray, k: int) -> np.ndarray:
+    """The k columns of each row with the largest values; of equal values the first columns."""
+    if k >= sim.shape[1]:
+        return np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
+    near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(sim, near, 1).min(1)
+    for i in np.flatnonzero((sim >= least[:, None]).sum(1) > k):  # equal values on both sides of the cut
+        above = np.flatnonzero(sim[i] > least[i])
+        near[i] = np.concatenate([above, np.flatnonzero(sim[i] == least[i])[: k - len(above)]])
+    return near
+
+
 def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of documents and, for each feature, of documents that have it: over all rows."""
+    """Number of documents and, for each term number, of documents that have it: over all rows."""
 
     def count(batches):
         total = np.zeros(SIZE + 1, np.int64)
         for b in batches:
-            for t in b["text"]:
-                t = t or ""
-                words = t.encode().lower().split()
-                total[np.unique(_words(words))] += 1
-                total[np.array(marks(t, words)) + (1 << BITS)] += 1
-            total[SIZE] += len(b)
-        yield pd.DataFrame({"counts": [total.tobytes()]})
-
-    total = add_counts(docs.select("text").mapInPandas(count, "counts binary"), SIZE + 1)
+            for t in b.column("text").to_pylist():
+                total[term_counts(t)[0]] += 1
+            total[SIZE] += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
+
+    total = add_counts(docs.select("text").mapInArrow(count, "counts binary"), SIZE + 1)
     return int(total[SIZE]), total[:SIZE]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, p: QualityParams | None = None, train=None) -> QualityModel:
     """Fit on a bounded sample of the labelled rows that ``train`` (on doc_id) allows."""
     p = p or QualityParams()
+    spark = docs.sparkSession
     train = F.lit(True) if train is None else train
     n, df = document_frequencies(docs)
     idf = (np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
@@ -144,21 +145,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, p: QualityParams | None = No
     empty = QualityModel(idf, np.zeros((SIZE, p.rank), np.float32), np.zeros((0, p.rank), np.float32), np.zeros(0), p)
     if not n_labels:
         return empty
-    chosen = known.where(below_fraction("doc_id", p.max_labelled / n_labels, p.seed))  # about max_labelled ids at most
+    chosen = known.where(below_fraction(["doc_id"], p.max_labelled / n_labels, p.seed))  # about max_labelled ids at most
+    rows = bounded_rows(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), p.max_labelled, p.seed)
 
     def read(batches):
         for b in batches:
-            rows = [document_rows([t], p.mark_weight) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "f": [r[0].astype(np.int32).tobytes() for r in rows], "w": [r[1].astype(np.float32).tobytes() for r in rows]})
+            found = [weighted_row(t, idf) for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "f": [f.astype(np.int32).tobytes() for f, _ in found], "w": [w.tobytes() for _, w in found]})
+
+    sample = materialise(rows.mapInPandas(read, "doc_id long, quality int, f binary, w binary").repartition(4), "labelled")
+    basis = randomised_basis(sample.select("f", "w"), SIZE, p.rank, p.rounds, p.seed)
+    shared = spark.sparkContext.broadcast(basis)
+
+    def project(batches):
+        for b in batches:
+            flat, at = csr([np.frombuffer(x, np.int32).astype(np.int64) for x in b["f"]])
+            vectors = unit(times(flat, np.frombuffer(b"".join(b["w"]), np.float32), at, shared.value))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "terms": b["f"], "v": [v.tobytes() for v in vectors]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(read, "doc_id long, quality int, f binary, w binary").collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[2])))
-    if not rows:
+    found = sample.mapInPandas(project, "doc_id long, quality int, terms binary, v binary").orderBy("doc_id", "terms").select("quality", "v").toPandas()
+    shared.destroy()
+    if not len(found):
         return empty
-    flat, at = csr([np.frombuffer(r[2], np.int32).astype(np.int64) for r in rows])
-    weight = np.concatenate([np.frombuffer(r[3], np.float32) for r in rows]) * idf[flat]
-    basis = randomised_basis(flat, weight, at, SIZE, p.rank, p.seed)
-    return QualityModel(idf, basis, unit(times(flat, weight, at, basis)), np.array([float(r[1] == 1) for r in rows]), p)
+    vectors = np.frombuffer(b"".join(found["v"]), np.float32).reshape(-1, p.rank)
+    return QualityModel(idf, basis, vectors, (found["quality"].to_numpy() == 1).astype(float), p)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], threshold: float = 0.7, names: tuple[str, str] = ("quality_score", "quality_predicted")) -> DataFrame:

@@ -7,9 +7,9 @@ falls below zero, the step goes against it.
 
 Defined results: a null or empty text has no features, so its score is that of the
 intercept. Repeated rows and ties are scored alike, row by row. An empty table gives
-an empty result. With no confirmed toxic document the score is 0 everywhere. Label
+an empty result. With no confirmed toxic document the score is exactly 0 everywhere. Label
 rows with a null id or label are ignored; of several labels of one id, the largest
-counts. Other columns of the input are not read.
+counts. Equal rows of an id count once in training. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, Remembers, below_fraction, crc_mod, csr, sum_rows
+from .common import CACHE_WORDS, Remembers, below_fraction, bounded_rows, crc_mod, csr, materialise, sum_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 20
@@ -37,8 +37,9 @@ class ToxicityParams:
 
     max_positive: int = 6_000  #: confirmed toxic documents in training, about
     max_unlabelled: int = 12_000  #: unlabelled documents in training, about
-    features: int = 6_000
+    features: int = 6_000  #: 65,536 at most
     min_documents: int = 3
+    least_difference: float = 0.5  #: of a feature's shares in P and U, in units of its spread
     steps: int = 300
     rate: float = 0.05
     l2: float = 2e-4
@@ -65,10 +66,12 @@ def document_features(text: str | None) -> np.ndarray:
 class ToxicityModel(Remembers):
     feature: np.ndarray  #: sorted feature numbers
     weight: np.ndarray
-    bias: float
+    bias: float | None  #: none where nothing could be learned: all scores are 0
 
     def score(self, texts) -> np.ndarray:
         """Probability of toxicity for each text, by a lookup of each distinct word."""
+        if self.bias is None:
+            return np.zeros(len(texts))
         of, known = self.cache(lambda: (dict(zip(self.feature.tolist(), range(len(self.feature)), strict=True)), {}))
         out = np.empty(len(texts))
         for i, text in enumerate(texts):
@@ -85,27 +88,17 @@ class ToxicityModel(Remembers):
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: ToxicityParams) -> ToxicityModel:
-    """Fit on documents given as feature numbers, by the non-negative risk estimator."""
+def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: ToxicityParams, feature: np.ndarray) -> ToxicityModel:
+    """Fit on documents given as places in ``feature``, by the non-negative risk estimator."""
     if not positive or not unlabelled or prior <= 0:
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -30.0)
-    size = 1 << BITS
-    in_p = np.bincount(np.concatenate(positive), minlength=size).astype(float)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=size).astype(float)
-    rate_p, rate_u = (in_p + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
-    spread = np.sqrt(rate_u * (1 - np.minimum(rate_u, 0.999)) / len(positive) + rate_p / len(positive))
-    z = np.where(in_p + in_u >= p.min_documents, (rate_p - rate_u) / spread, 0)
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[: p.features])
-    chosen = chosen[np.abs(z[chosen]) > 0.5]
-    number = np.full(size, -1, np.int64)
-    number[chosen] = np.arange(len(chosen))
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), None)
 
     def matrix(rows):
-        flat, at = csr([x[x >= 0] for x in (number[r] for r in rows)])
-        return flat, at, np.repeat(np.arange(len(rows)), np.diff(at))
+        flat, at = csr(rows)
+        return flat, at, np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(at))
 
     (fp, ap, rp), (fu, au, ru) = matrix(positive), matrix(unlabelled)
-    w, b = np.zeros(len(chosen)), np.log(prior / (1 - prior))
+    w, b = np.zeros(len(feature)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for step in range(1, p.steps + 1):
@@ -120,7 +113,18 @@ def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return ToxicityModel(chosen, w, float(b))
+    return ToxicityModel(feature, w, float(b))
+
+
+def choose_features(sample: DataFrame, n_positive: int, n_unlabelled: int, p: ToxicityParams) -> np.ndarray:
+    """The features (sorted) whose shares in P and U differ most, in units of their spread; counted in tasks."""
+    each = sample.select("confirmed", "drawn", F.explode("features").alias("f"))
+    counts = each.groupBy("f").agg(F.sum(F.col("confirmed").cast("int")).alias("in_p"), F.sum(F.col("drawn").cast("int")).alias("in_u"))
+    rate_p, rate_u = (F.col("in_p") + 0.5) / (n_positive + 1), (F.col("in_u") + 0.5) / (n_unlabelled + 1)
+    spread = F.sqrt(rate_u * (1 - F.least(rate_u, F.lit(0.999))) / n_positive + rate_p / n_positive)
+    z = F.abs((rate_p - rate_u) / spread).alias("z")
+    found = counts.where(F.col("in_p") + F.col("in_u") >= p.min_documents).select("f", z).where(F.col("z") > p.least_difference)
+    return np.sort(np.array([r["f"] for r in found.orderBy(F.col("z").desc(), "f").limit(p.features).select("f").collect()], np.int64))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None = None, train=None) -> ToxicityModel:
@@ -128,29 +132,47 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
 
     ``train`` is a predicate on doc_id. P is a bounded sample of the documents that
     it allows and labels confirm as toxic; U is a bounded sample of the documents
-    that it allows, whatever their labels.
+    that it allows, whatever their labels. Features are counted and chosen in tasks;
+    the driver gets at most ``features`` numbers of two bytes for each document.
     """
     p = p or ToxicityParams()
+    spark = docs.sparkSession
+    nothing = nnpu_fit([], [], 0, p, np.zeros(0, np.int64))
     train = F.lit(True) if train is None else train
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(train)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_labels, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).where(train)
-    n_docs = texts.select("doc_id").count()
-    if not n_toxic or not n_docs:
-        return nnpu_fit([], [], 0, p)
-    confirmed = known.where("toxic = 1").where(below_fraction("doc_id", p.max_positive / n_toxic, p.seed)).select("doc_id", F.lit(True).alias("confirmed"))
+    if not n_toxic:
+        return nothing
     # at most about max_positive ids: small enough to send to every task
-    chosen = texts.join(F.broadcast(confirmed), "doc_id", "left").withColumn("drawn", below_fraction("doc_id", p.max_unlabelled / n_docs, p.seed + 1)).where("confirmed or drawn")
+    confirmed = known.where("toxic = 1").where(below_fraction(["doc_id"], p.max_positive / n_toxic, p.seed)).select("doc_id")
+    positive = bounded_rows(texts.join(F.broadcast(confirmed), "doc_id", "left_semi"), p.max_positive, p.seed)
+    unlabelled = bounded_rows(texts, p.max_unlabelled, p.seed + 1)
+    both = positive.select("text", F.lit(True).alias("confirmed"), F.lit(False).alias("drawn")).unionByName(unlabelled.select("text", F.lit(False).alias("confirmed"), F.lit(True).alias("drawn")))
 
     def read(batches):
         for b in batches:
-            yield pd.DataFrame({"confirmed": b["confirmed"].eq(True), "drawn": b["drawn"].astype(bool), "features": [document_features(t).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"confirmed": b["confirmed"], "drawn": b["drawn"], "features": [document_features(t) for t in b["text"]]})
 
-    rows = chosen.select("confirmed", "drawn", "text").mapInPandas(read, "confirmed boolean, drawn boolean, features binary").collect()
-    rows = sorted(((r[0], r[1], bytes(r[2])) for r in rows))
-    of = lambda k: [np.frombuffer(r[2], np.int32).astype(np.int64) for r in rows if r[k]]
-    return nnpu_fit(of(0), of(1), min(0.9, n_toxic / n_labels), p)
+    sample = materialise(both.mapInPandas(read, "confirmed boolean, drawn boolean, features array<int>"), "toxic-sample")
+    sizes = {r["confirmed"]: r["count"] for r in sample.groupBy("confirmed").count().collect()}
+    if len(sizes) < 2:
+        return nothing
+    feature = choose_features(sample, sizes[True], sizes[False], p)
+
+    def places(batches):
+        for b in batches:
+            kept = []
+            for x in b["features"]:
+                at = np.searchsorted(feature, x)
+                at = at[feature[np.minimum(at, len(feature) - 1)] == x] if len(feature) else at[:0]
+                kept.append(at.astype(np.uint16).tobytes())
+            yield pd.DataFrame({"confirmed": b["confirmed"], "at": kept})
+
+    rows = sample.select("confirmed", "features").mapInPandas(places, "confirmed boolean, at binary").toPandas().sort_values(["confirmed", "at"])
+    of = lambda k: [np.frombuffer(x, np.uint16).astype(np.int32) for x in rows["at"][rows["confirmed"] == k]]
+    return nnpu_fit(of(True), of(False), min(0.9, n_toxic / n_labels), p, feature)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: float = 0.5, names: tuple[str, str] = ("toxicity_score", "toxicity_predicted")) -> DataFrame:

@@ -125,13 +125,11 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(decontaminate.places(a), len(a), b) == plain(a, b)
 
 
-def test_randomised_basis_spans_the_leading_vectors():
+def test_randomised_basis_spans_the_leading_vectors(spark):
     rng = np.random.default_rng(0)
-    dense = (rng.random((60, 40)) < 0.2) * rng.random((60, 40))
-    rows = [np.flatnonzero(r) for r in dense]
-    flat, at = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    weight = np.concatenate([d[r] for d, r in zip(dense, rows, strict=True)]).astype(np.float32)
-    v = latent.randomised_basis(flat, weight, at, 40, 10, 1, 6)
+    dense = ((rng.random((60, 40)) < 0.2) * rng.random((60, 40))).astype(np.float32)
+    rows = [(np.flatnonzero(r).astype(np.int32).tobytes(), r[r > 0].tobytes()) for r in dense]
+    v = latent.randomised_basis(spark.createDataFrame(rows, "f binary, w binary"), 40, 10, 6, 1)
     exact = np.linalg.svd(dense)[2][:10].T
     assert np.linalg.norm(dense @ v) == pytest.approx(np.linalg.norm(dense @ exact), rel=0.02)
 
@@ -191,7 +189,7 @@ def test_windows_are_full_and_in_proportion():
         tail = [s for s in full if s != 64]
         assert all(s & (s - 1) == 0 for s in tail) and sum(tail) < 64
         for s in range(len(totals)):
-            pieces = packing.cut(0, int(totals[s]), s, phases)
+            pieces = packing.cut(0, int(totals[s]), s, packing.Plan(phases))
             assert [x[0] for x in pieces] == np.cumsum([0, *[x[1] for x in pieces]])[:-1].tolist() and sum(x[1] for x in pieces) == totals[s]
 
 
@@ -205,8 +203,7 @@ def test_every_token_is_packed_once(spark, docs):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    texts = [r["text"] for r in docs.limit(40).collect()] + ["<|endoftext|> x", "a\r\n\tb  ", "日本語 🙂"]
+    texts = [r["text"] for r in docs.limit(40).collect()] + ["hello <|endoftext|> world", "<|endoftext|> x", "a\r\n\tb  ", "日本語 🙂"]
     assert [x.tolist() for x in packing.encode(texts, path, 1)] == [[*slow.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
@@ -284,11 +281,15 @@ def test_language_is_learned_from_whole_texts(spark):
     assert langid.word_features(f"{long}xyz{long}", {}) != langid.word_features(long + "abc" + long, {})
 
 
-def test_nnpu_separates():
+def test_nnpu_separates(spark):
     rng = np.random.default_rng(0)
     doc = lambda bad: np.unique(np.concatenate([rng.integers(100, 400, 20), rng.integers(0, 5, 2) if bad else np.zeros(0, int)]))
     positive, mixed = [doc(True) for _ in range(200)], [doc(rng.random() < 0.15) for _ in range(600)]
-    model = toxicity.nnpu_fit(positive, mixed, 0.15, toxicity.ToxicityParams())
+    rows = [(True, False, x.tolist()) for x in positive] + [(False, True, x.tolist()) for x in mixed]
+    p = toxicity.ToxicityParams()
+    feature = toxicity.choose_features(spark.createDataFrame(rows, "confirmed boolean, drawn boolean, features array<int>"), 200, 600, p)
+    places = lambda docs: [np.searchsorted(feature, np.intersect1d(x, feature)) for x in docs]
+    model = toxicity.nnpu_fit(places(positive), places(mixed), 0.15, p, feature)
     weight = dict(zip(model.feature, model.weight, strict=True))
     score = lambda d: model.bias + sum(weight.get(x, 0) for x in d)
     assert np.mean([score(doc(True)) > 0 for _ in range(100)]) > 0.8 and np.mean([score(doc(False)) > 0 for _ in range(100)]) < 0.1
