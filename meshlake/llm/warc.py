@@ -43,6 +43,8 @@ class WarcParams:
     roll_bytes: int = 32 << 20  #: uncompressed bytes of an archive file, about
     min_revisit: int = 0
     level: int = 3  #: compression level
+    broadcast_digests: int = 500_000  #: digests of several rows sent to every task at most, else a shuffled join
+    read_tasks: int = 20_000  #: tasks that read archives at most
 
 
 def payload_digest(payload: bytes) -> str:
@@ -158,6 +160,7 @@ def salvage(data: bytes):
 def _filesystem(path: str):
     from pyarrow import fs
 
+    path = re.sub(r"^s3[an]://", "s3://", path)
     return fs.FileSystem.from_uri(path if "://" in path else re.sub(r"^file:/+", "file:///", path) if path.startswith("file:") else f"file://{path}")
 
 
@@ -168,9 +171,10 @@ def write_archives(pages: DataFrame, p: WarcParams | None = None, folder: str |
     folder = folder or scratch(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.length("payload"))
-    first = rows.select("digest", "page_id").groupBy("digest").agg(F.max("page_id").alias("original"))
-    first = materialise(first.withColumnRenamed("digest", "d"), "payloads")
-    rows = rows.join(first, rows["digest"] == first["d"])
+    # digests that several rows have: a narrow table; no payload is shuffled for it
+    several = rows.groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    several = materialise(several.select(F.col("digest").alias("d"), "original"), "payloads")
+    rows = rows.join(F.broadcast(several) if several.count() <= p.broadcast_digests else several, F.col("digest") == F.col("d"), "left")
     rows = rows.withColumn("revisit", (F.col("bytes") >= p.min_revisit) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")))
     # a revisit is written without its payload, so it does not travel further
     rows = rows.select("page_id", "url", F.when(F.col("revisit"), None).otherwise(F.col("payload")).alias("payload"), "bytes", "digest", "original", "revisit")
@@ -217,7 +221,7 @@ class _Sized(bytes):
         return self.n
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
+def read_archives(archives: DataFrame, p: WarcParams | None = None) -> DataFrame:
     """Records and gaps of the listed archives.
 
     Columns: path, start, end, kind (record or gap), reason (of a gap), record_id,
@@ -249,7 +253,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return archives.select("path", "folder").repartition(max(1, archives.count())).mapInArrow(read, schema)
+    return archives.select("path", "folder").repartition(max(1, min(archives.count(), (p or WarcParams()).read_tasks))).mapInArrow(read, schema)
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
