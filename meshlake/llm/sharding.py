@@ -7,11 +7,11 @@ all key bits; if they alone exceed the limit, their buckets go on to split on th
 bits of the row numbers.
 
 Bytes are summed for prefixes of ``step`` bits at a time, for oversized buckets
-only, so the driver holds the directory (about 2 * bytes / limit entries in all) and
-never rows.
+only. The directory is a table, written down round by round; the driver holds none of it.
 
 Defined results: a bucket of one row is never split, so a row larger than the limit
-is a shard of its own. A null key hashes like the text ``null``. Null and empty texts
+is a shard of its own; a bucket of several rows that is too large at 120 bits still stays
+whole (rows whose hashes agree in all bits). A null key hashes like the text ``null``. Null and empty texts
 count ``overhead`` bytes. Repeated rows are rows of their own. An empty table gives an
 empty result. Other columns of the input are not read. While no bucket is too large,
 all rows are in the shard of the empty prefix.
@@ -20,6 +20,7 @@ all rows are in the shard of the empty prefix.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,53 +52,34 @@ def hashed(docs: DataFrame, p: ShardParams) -> DataFrame:
     return materialise(rows.select("doc_id", "bytes", F.concat(digest(key), digest(F.col("row").cast("string").cast("binary"))).alias("bits")), "hashed")
 
 
-def directory(rows: DataFrame, p: ShardParams) -> list[tuple[str, int, int]]:
-    """The buckets (prefix, bytes, rows): together they hold each row once."""
-    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
-    if total[1] == 0:
-        return []
-    done, open_, depth = [], {"": (total[0], total[1])}, 0
-    fits = lambda b: b[0] <= p.limit or b[1] == 1 or depth >= 2 * KEY_BITS
-    while open_:
-        large = {k: v for k, v in open_.items() if not fits(v)}
-        done += [(k, *v) for k, v in open_.items() if k not in large]
-        if not large:
-            break
-        deeper = min(depth + p.step, 2 * KEY_BITS)
-        spark = rows.sparkSession
-        heads = spark.createDataFrame([(k,) for k in large], "head string")
-        some = rows if depth == 0 else rows.join(F.broadcast(heads) if len(large) <= p.broadcast_entries else heads, prefix(depth) == F.col("head"), "left_semi")
-        leaves = some.groupBy(prefix(deeper).alias("k")).agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).collect()
-        tree: dict[str, tuple[int, int]] = {}
-        for r in leaves:
-            for d in range(depth, deeper + 1):
-                b, n = tree.get(r["k"][:d], (0, 0))
-                tree[r["k"][:d]] = (b + r["b"], n + r["n"])
-        level = large
-        for d in range(depth, deeper):
-            depth, below = d, {}
-            for k, v in level.items():
-                if fits(v):
-                    done.append((k, *v))
-                else:
-                    below |= {k + x: tree[k + x] for x in "01" if k + x in tree}
-            level = below
-        open_, depth = level, deeper
-    return sorted(done)
-
-
 def assign_shards(docs: DataFrame, p: ShardParams | None = None) -> DataFrame:
-    """(doc_id, bytes, shard, depth, shard_bytes) of every row of ``docs`` (doc_id, text)."""
+    """(doc_id, bytes, shard, depth, shard_bytes) of every row of ``docs`` (doc_id, text).
+
+    A round counts the leaves ``step`` bits below its open buckets (the first round as
+    many bits as the mean bucket needs), sums them for the buckets between, and gives
+    each leaf the shallowest bucket that fits; leaves without one are open for the next.
+    """
     p = p or ShardParams()
-    spark = docs.sparkSession
     rows = hashed(docs, p)
-    found = directory(rows, p)
-    entries = spark.createDataFrame([(k, len(k), b) for k, b, _ in found], "shard string, depth int, shard_bytes long")
-    entries = F.broadcast(entries) if len(found) <= p.broadcast_entries else entries
-    depths = sorted({len(k) for k, _, _ in found})
-    # a row meets the one entry that is a prefix of its bits: it is tried at each depth in use
-    tried = rows.select("doc_id", "bytes", F.explode(F.array(*[prefix(d) if d else F.lit("") for d in depths]) if depths else F.array(F.lit(""))).alias("shard"))
-    return tried.join(entries, "shard").select("doc_id", "bytes", "shard", "depth", "shard_bytes")
+    total, n = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    if total <= p.limit or n <= 1:
+        return rows.select("doc_id", "bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(total).cast("long").alias("shard_bytes"))
+    depth, step, some, out = 0, max(p.step, min(30, (total // p.limit).bit_length() + 1)), rows, []
+    small = lambda t: F.broadcast(t) if t.count() <= p.broadcast_entries else t
+    while True:
+        deeper = min(depth + step, 2 * KEY_BITS)
+        leaves = materialise(some.groupBy(prefix(deeper).alias("leaf")).agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")), "leaves")
+        above = leaves.withColumn("depth", F.explode(F.sequence(F.lit(depth + 1), F.lit(deeper)))).withColumn("shard", F.expr("substring(leaf, 1, depth)"))
+        buckets = above.groupBy("shard", "depth").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("rows"))
+        fits = (F.col("shard_bytes") <= p.limit) | (F.col("rows") == 1) | (F.col("depth") >= 2 * KEY_BITS)
+        own = above.select("leaf", "shard").join(buckets.where(fits), "shard").groupBy("leaf").agg(F.min(F.struct("depth", "shard", "shard_bytes")).alias("s"))
+        entries = materialise(leaves.select("leaf").join(own, "leaf", "left").select("leaf", "s.shard", "s.depth", "s.shard_bytes"), "directory")
+        found = small(entries.where("shard is not null"))
+        out.append(some.join(found, prefix(deeper) == F.col("leaf")).select("doc_id", "bytes", "shard", "depth", "shard_bytes"))
+        heads = entries.where("shard is null").select("leaf")
+        if heads.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        some, depth, step = rows.join(small(heads), prefix(deeper) == F.col("leaf"), "left_semi"), deeper, p.step
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
