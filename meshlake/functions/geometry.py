@@ -57,8 +57,8 @@ def spherical2cart(r: Column, phi: Column, theta: Column) -> Vec:
 
 
 def rotation(theta: Column, axis: int) -> list[list[Column]]:
-    """Rotation about an axis (0, 1, 2): with (d1, d2) the other two in order, entry (d1, d2) is +sin."""
-    d1, d2 = (d for d in range(3) if d != axis)
+    """Rotation about an axis (0, 1, 2): with d1, d2 the two that follow it in the cycle 0, 1, 2, entry (d1, d2) is +sin."""
+    d1, d2 = (axis + 1) % 3, (axis + 2) % 3
     m = [[F.lit(1.0) if i == j else F.lit(0.0) for j in range(3)] for i in range(3)]
     m[d1][d1] = m[d2][d2] = F.cos(theta)
     m[d1][d2], m[d2][d1] = F.sin(theta), -F.sin(theta)
@@ -70,7 +70,10 @@ def matmul(a, b) -> list[list[Column]]:
 
 
 def euler2mat(phi: Column, theta: Column, psi: Column) -> list[list[Column]]:
-    """Rotation matrix of Euler angles: turns about the axes 2, 1 and 2 by -phi, -theta and psi."""
+    """Rotation matrix of Euler angles: turns about the axes 2, 1 and 2 by -phi, -theta and psi.
+
+    Its last column, the image of z, is (cos phi sin theta, sin phi sin theta, cos theta).
+    """
     return matmul(matmul(rotation(-phi, 2), rotation(-theta, 1)), rotation(psi, 2))
 
 
@@ -78,7 +81,7 @@ def mat2euler(m) -> tuple[Column, Column, Column]:
     """Angles (phi, theta, psi) of a rotation matrix, theta in 0..pi."""
     theta = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m[2][2])))
     flat = F.abs(m[2][2]) > 1 - 1e-12
-    phi = F.when(flat, F.lit(0.0)).otherwise(F.atan2(-m[1][2], -m[0][2]))
+    phi = F.when(flat, F.lit(0.0)).otherwise(F.atan2(m[1][2], m[0][2]))
     t = euler2mat(phi, theta, F.lit(0.0))
     col = lambda a, j: [a[i][j] for i in range(3)]
     along = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.operators.binning import running
+
 KEYS = ("structure", "kind", "vertex", "i", "j", "k")
 
 
@@ -78,8 +80,9 @@ def combine_parcels(a: DataFrame, b: DataFrame, labels_a: DataFrame, labels_b: D
     span = both.agg(F.min("lb").alias("low"), F.greatest(F.max("lb") - F.min("lb"), F.lit(1)).alias("span"))
     factor = F.pow(F.lit(10.0), F.ceil(F.log10(F.col("span").cast("double")))).cast("long")
     pairs = both.select("la", "lb").distinct().join(F.broadcast(span)).withColumn("legacy", F.col("la") * factor + F.col("lb") - F.col("low"))
-    pairs = pairs.withColumn("parcel", F.dense_rank().over(Window.orderBy("la", "lb"))).drop("low", "span")
-    parcels = both.join(F.broadcast(pairs), ["la", "lb"]).select("vertex", "parcel", "legacy")
+    # ranked by ranges of the pairs; the span is one row
+    pairs = running(pairs.withColumn("n", F.lit(1)), order=("la", "lb")).withColumn("parcel", (F.col("before") + 1).cast("int")).drop("low", "span", "n", "before")
+    parcels = both.join(pairs, ["la", "lb"]).select("vertex", "parcel", "legacy")
     rename = lambda t, s: t.select(*[F.col(c).alias(f"{c}_{s}") for c in ("label", "name", "r", "g", "b", "alpha")])
     named = pairs.join(rename(labels_a, "1"), F.col("la") == F.col("label_1")).join(rename(labels_b, "2"), F.col("lb") == F.col("label_2"))
     table = named.select("parcel", F.concat_ws(" & ", "name_1", "name_2").alias("name"), *[((F.col(f"{c}_1") + F.col(f"{c}_2")) / 2).alias(c) for c in ("r", "g", "b", "alpha")])

@@ -13,16 +13,16 @@ def distinct_counts(df: DataFrame, value: str) -> DataFrame:
     return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def running(df: DataFrame, partitions: int | None = None, weight: str = "n") -> DataFrame:
-    """(v, …, before): with the sum of ``weight`` over smaller values, by ranges.
+def running(df: DataFrame, partitions: int | None = None, weight: str = "n", order: tuple[str, ...] = ("v",)) -> DataFrame:
+    """(v, …, before): with the sum of ``weight`` over the rows before, in the order of some columns, by ranges.
 
     Values are dealt out by range; sums run within ranges, and one row for each range
     carries the sums before it, so that no task sorts all values.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written down: the bounds of ranges are drawn anew each time they are computed
-    ranged = settle(df.repartitionByRange(n, "v").withColumn("p", F.spark_partition_id()))
-    inner = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = settle(df.repartitionByRange(n, *order).withColumn("p", F.spark_partition_id()))
+    inner = Window.partitionBy("p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("p").agg(F.sum(weight).alias("s"))
     outer = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     base = sums.select("p", F.coalesce(F.sum("s").over(outer), F.lit(0)).alias("base"))
@@ -45,7 +45,13 @@ def shells(df: DataFrame, value: str, delta: float, keep_type: bool = False) ->
     opens = gaps.select("v", F.when(F.col("prev").isNotNull() & (F.col("v") - F.col("prev") >= delta), 1).otherwise(0).alias("opens"))
     numbered = running(opens, weight="opens").select("v", (F.col("before") + F.col("opens")).alias("shell"))
     rows = df.join(numbered, F.col(value).cast("double") == F.col("v"), "left").drop("v")
-    median = rows.where("shell is not null").groupBy("shell").agg(F.median(F.col(value).cast("double")).alias("rounded"))
+    # the middle one or two rows of a shell, by running counts of distinct values
+    placed = running(v.join(numbered, "v").select("v", "n", "shell")).withColumn("upto", F.col("before") + F.col("n"))
+    span = placed.groupBy("shell").agg(F.min("before").alias("first"), F.max("upto").alias("last")).withColumnRenamed("shell", "s")
+    low, high = F.floor((F.col("first") + F.col("last") - 1) / 2), F.ceil((F.col("first") + F.col("last") - 1) / 2)
+    holds = lambda r: (F.col("before") <= r) & (r < F.col("upto"))
+    middle = placed.join(span, placed["shell"] == span["s"]).where(holds(low) | holds(high))
+    median = middle.groupBy("shell").agg(((F.max(F.when(holds(low), F.col("v"))) + F.max(F.when(holds(high), F.col("v")))) / 2).alias("rounded"))
     out = rows.join(median, "shell", "left")
     return out.withColumn("rounded", F.col("rounded").cast(df.schema[value].dataType)) if keep_type else out
 
@@ -55,8 +61,9 @@ def regular_edges(df: DataFrame, value: str, nbins: int) -> list[float]:
     return [low + k * (high - low) / nbins for k in range(nbins)] + [high + 1e-8]
 
 
-def number_edges(df: DataFrame, value: str, nbins: int) -> list[float]:
-    """Edges at the ranks rint(k (n - 1) / nbins): as many rows in each bin."""
+def number_edges(df: DataFrame, value: str, nbins: int, include_zeros: bool = False) -> list[float]:
+    """Edges at the ranks rint(k (n - 1) / nbins): as many rows in each bin. Zeros count only if included."""
+    df = df if include_zeros else df.where(F.col(value) != 0)
     counts = running(distinct_counts(df, value)).withColumn("upto", F.col("before") + F.col("n"))
     n = counts.agg(F.sum("n")).first()[0]
     ranks = [int(round(k * (n - 1) / nbins)) for k in range(nbins + 1)]
@@ -66,8 +73,9 @@ def number_edges(df: DataFrame, value: str, nbins: int) -> list[float]:
     return edges[:-1] + [edges[-1] + 1e-8]
 
 
-def weight_edges(df: DataFrame, value: str, weight: str, nbins: int) -> list[float]:
+def weight_edges(df: DataFrame, value: str, weight: str, nbins: int, include_zeros: bool = False) -> list[float]:
     """Inner edges at the least value whose running weight is more than k / nbins of all; outer edges are infinite."""
+    df = df if include_zeros else df.where(F.col(value) != 0)
     w = df.groupBy(F.col(value).cast("double").alias("v")).agg(F.sum(F.col(weight).cast("double")).alias("w"))
     upto = running(w, weight="w").withColumn("upto", F.col("before") + F.col("w"))
     total = upto.agg(F.sum("w")).first()[0]
@@ -76,7 +84,7 @@ def weight_edges(df: DataFrame, value: str, weight: str, nbins: int) -> list[flo
     return [float("-inf"), *[v for _, v in sorted((r["k"], r["v"]) for r in found)], float("inf")]
 
 
-def discretise(df: DataFrame, value: str, edges: list[float], include_zeros: bool = True) -> DataFrame:
+def discretise(df: DataFrame, value: str, edges: list[float], include_zeros: bool = False) -> DataFrame:
     """Rows with ``bin``: the edges at or below the value (0: below the first, or masked)."""
     v = F.col(value).cast("double")
     inside = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= v))

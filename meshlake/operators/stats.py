@@ -14,26 +14,106 @@ def guarded_corr(x: Column, y: Column) -> Column:
     xy, xx, yy = F.covar_pop(x, y), F.var_pop(x), F.var_pop(y)
     return F.try_divide(xy, F.nullif(F.sqrt(xx * yy), F.lit(0.0)))
 
-def correlate_columns(a: DataFrame, b: DataFrame, collapse: bool = False) -> DataFrame:
-    """Pearson correlation of the columns of two long arrays (row, col, value): all pairs, or equal columns."""
+def correlate_columns(a: DataFrame, b: DataFrame, collapse: bool = False, max_columns: int = 4096) -> DataFrame:
+    """(c1, c2, r): Pearson correlation of the columns of two long arrays (row, col, value): all pairs, or equal columns.
+
+    For all pairs each task adds up the products of its rows as matrices of columns by
+    columns (at most ``max_columns`` each), whose entries are then summed; a row that
+    lacks either column counts for no pair of it.
+    """
     left = a.select("row", F.col("col").alias("c1"), F.col("value").cast("double").alias("x"))
     right = b.select("row", F.col("col").alias("c2"), F.col("value").cast("double").alias("y"))
-    both = left.join(right, "row")
-    both = both.where("c1 = c2") if collapse else both
-    return both.groupBy("c1", "c2").agg(guarded_corr(F.col("x"), F.col("y")).alias("r"))
+    if collapse:
+        both = left.join(right, (left["row"] == right["row"]) & (F.col("c1") == F.col("c2")))
+        return both.groupBy("c1", "c2").agg(guarded_corr(F.col("x"), F.col("y")).alias("r"))
+    names = []
+    for df, c in ((left, "c1"), (right, "c2")):
+        found = sorted(r[0] for r in df.select(c).distinct().limit(max_columns + 1).collect())
+        if len(found) > max_columns:
+            raise ValueError(f"more than {max_columns} columns")
+        names.append(np.array(found))
+    pack = lambda df, c, v: df.where(f"{v} is not null").groupBy("row").agg(F.collect_list(c).alias(c), F.collect_list(v).alias(v))
+    rows = pack(left, "c1", "x").join(pack(right, "c2", "y"), "row").drop("row")
+    shape = (len(names[0]), len(names[1]))
+
+    def dense(cols, values, known):
+        out = np.full((len(cols), len(known)), np.nan)
+        for i, (c, v) in enumerate(zip(cols, values, strict=True)):
+            out[i, np.searchsorted(known, c)] = v
+        return out
+
+    def sums(batches):
+        total = np.zeros((6, *shape))
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.iloc[lo : lo + 1024]
+                x, y = dense(part["c1"], part["x"], names[0]), dense(part["c2"], part["y"], names[1])
+                here, there = (~np.isnan(m) * 1.0 for m in (x, y))
+                x, y = np.nan_to_num(x), np.nan_to_num(y)
+                total += [here.T @ there, x.T @ there, here.T @ y, (x * x).T @ there, here.T @ (y * y), x.T @ y]
+        i, j = np.indices(shape)
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{k: t.ravel() for k, t in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), total, strict=True)}})
+
+    parts = rows.mapInPandas(sums, "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
+    t = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]).where("n > 0")
+    spread = lambda s, ss: F.greatest(F.lit(0.0), F.col("n") * F.col(ss) - F.col(s) * F.col(s))
+    r = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.nullif(F.sqrt(spread("sx", "sxx") * spread("sy", "syy")), F.lit(0.0)))
+    spark = a.sparkSession
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((left, "c1"), (right, "c2"))]
+    c1, c2 = (spark.createDataFrame([(k, v.item()) for k, v in enumerate(names[n])], f"{k} long, c{n + 1} {kinds[n]}") for n, k in enumerate("ij"))
+    # at most max_columns rows each
+    return t.select("i", "j", r.alias("r")).join(F.broadcast(c1), "i").join(F.broadcast(c2), "j").select("c1", "c2", "r")
+
+class VirtualConnectome:
+    """The correlations of all columns of a long array (row, col, value), computed for the slice that is asked for."""
+
+    def __init__(self, series: DataFrame):
+        self.series = series
+
+    def columns(self, which) -> DataFrame:
+        """The series of some columns: a slice, or a list of numbers."""
+        if isinstance(which, slice):
+            keep = F.lit(True)
+            if which.start is not None:
+                keep &= F.col("col") >= which.start
+            if which.stop is not None:
+                keep &= F.col("col") < which.stop
+            if which.step not in (None, 1):
+                keep &= F.pmod(F.col("col") - (which.start or 0), F.lit(which.step)) == 0
+            return self.series.where(keep)
+        return self.series.where(F.col("col").isin(list(which)))
+
+    def __getitem__(self, item) -> DataFrame:
+        first, second = item
+        return correlate_columns(self.columns(first), self.columns(second))
 
 def average_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Ranks within groups; ties share their mean rank."""
-    order = Window.partitionBy(*by).orderBy(value)
-    tie = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(tie) - 1) / 2)
+    """Ranks within groups; ties share their mean rank.
+
+    Distinct values are counted and summed by ranges, so that no task sorts a group.
+    """
+    from meshlake.operators.binning import running
+
+    counts = df.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = running(counts, order=(*by, "v"))
+    start = placed.groupBy(*by).agg(F.min("before").alias("start"))
+    ranks = placed.join(start, by).select(*by, "v", (F.col("before") - F.col("start") + (F.col("n") + 1) / 2).alias(name))
+    return df.withColumn("v", F.col(value).cast("double")).join(ranks, [*by, "v"]).drop("v")
 
-def spearman(a: DataFrame, b: DataFrame, by: list[str], feature: str = "feature") -> DataFrame:
-    """Rank correlation over features of two long arrays (…by, feature, value) for each group."""
+def spearman(a: DataFrame, b: DataFrame, by: list[str], feature: str = "feature", select: DataFrame | None = None) -> DataFrame:
+    """Rank correlation over features of two long arrays (…by, feature, value) for each group; over the features of ``select`` if given."""
     both = a.select(*by, feature, F.col("value").alias("x")).join(b.select(*by, feature, F.col("value").alias("y")), [*by, feature])
+    if select is not None:
+        both = both.join(select.select(feature).distinct(), feature, "left_semi")
     ranked = average_ranks(average_ranks(both, "x", by, "rx"), "y", by, "ry")
     return ranked.groupBy(*by).agg(guarded_corr(F.col("rx"), F.col("ry")).alias("rho"))
 
+def grouped_spearman(a: DataFrame, b: DataFrame, by: list[str], structures: DataFrame, feature: str = "feature") -> DataFrame:
+    """(…by, group, rho): rank correlations over all features and over those of each structure group (feature, structure)."""
+    groups = structure_groups(structures.select(feature, "structure")).select(feature, "group")
+    tag = lambda df: df.select(*by, feature, "value").join(groups, feature)
+    return spearman(tag(a), tag(b), [*by, "group"], feature)
+
 def structure_groups(df: DataFrame, structure: str = "structure") -> DataFrame:
     """Rows repeated for each group they count in: full, their own cortical structure, cortex, sub_cortical, left, right."""
     s = F.upper(structure)
@@ -115,6 +195,30 @@ def normalise(df: DataFrame, rank_threshold: float = 2.3, demean: bool = True, m
     out = rows.mapInPandas(scaled, f"element {kind}, times array<{time}>, values array<double>")
     return out.select("element", F.explode(F.arrays_zip("times", "values")).alias("z")).select("element", F.col("z.times").alias("time"), F.col("z.values").alias("value"))
 
+def close_pairs(features: DataFrame, max_rows: int = 20_000, block: int = 256) -> DataFrame:
+    """(src, dst, d): Euclidean distances of all pairs of ``features`` (vertex, features), for operators that take a full matrix.
+
+    The checked number of rows goes to every task, which takes its own rows against
+    them in blocks; more than ``max_rows`` are refused.
+    """
+    n = features.count()
+    if n > max_rows:
+        raise ValueError(f"{n} rows; a full matrix takes {max_rows} at most")
+    every = features.orderBy("vertex").toPandas()
+    ids, x = every["vertex"].to_numpy(), np.array(every["features"].tolist(), float).reshape(n, -1)
+    shared = features.sparkSession.sparkContext.broadcast((ids, x))
+
+    def run(batches):
+        ids, x = shared.value
+        for b in batches:
+            for lo in range(0, len(b), block):
+                part = b.iloc[lo : lo + block]
+                y = np.array(part["features"].tolist(), float)
+                d = np.sqrt(np.maximum(((y[:, None, :] - x[None]) ** 2).sum(2), 0)) if len(y) * x.size < 4e7 else np.sqrt(np.maximum((y * y).sum(1)[:, None] + (x * x).sum(1) - 2 * y @ x.T, 0))
+                yield pd.DataFrame({"src": np.repeat(part["vertex"].to_numpy(), len(ids)), "dst": np.tile(ids, len(part)), "d": d.ravel()})
+
+    return features.select("vertex", "features").mapInPandas(run, "src long, dst long, d double")
+
 def dbscan(near: DataFrame, vertices: DataFrame, min_samples: int = 5) -> DataFrame:
     """(vertex, cluster) of a table (src, dst) of pairs within eps, both ways, each with itself; -1 is noise.
 
@@ -197,6 +301,46 @@ def fit_sigmoid(points: DataFrame, rounds: int = 60, rate: float = 0.5) -> tuple
             break
     return float(d0), float(np.exp(log_sigma))
 
+def two_parts(weight: np.ndarray) -> np.ndarray:
+    """0 or 1 for each row of a symmetric matrix of similarities: the sign of the second vector of its normalised Laplacian."""
+    degree = weight.sum(1)
+    if len(weight) < 2 or not (degree > 0).all():
+        return np.zeros(len(weight), int)
+    root = 1 / np.sqrt(degree)
+    _, vectors = np.linalg.eigh(np.eye(len(weight)) - weight * root[:, None] * root)
+    second = vectors[:, 1] * root
+    return (second > 0).astype(int) if second[0] <= 0 else (second <= 0).astype(int)
+
+def searchlight(edges: DataFrame, features: DataFrame, parcels: DataFrame, max_rows: int = 5000) -> DataFrame:
+    """(vertex, border): the share of parcellations (vertex, run, parcel) in which a vertex is on the border of its parcel's two clusters.
+
+    In each parcel, neighbours' similarity exp(-distance) splits it in two; a vertex is
+    on the border where a neighbour in the parcel is in the other part. A parcel is one
+    task; one of more than ``max_rows`` vertices is refused.
+    """
+    from meshlake.operators.graph import edge_dissimilarity
+
+    largest = parcels.groupBy("run", "parcel").count().agg(F.max("count")).first()[0] or 0
+    if largest > max_rows:
+        raise ValueError(f"a parcel has {largest} vertices; at most {max_rows} can be split")
+    near = settle(edge_dissimilarity(edges, features).select("src", "dst", F.exp(-F.col("value")).alias("w")))
+    a, b = (parcels.select(F.col("vertex").alias(k), "run", "parcel") for k in ("src", "dst"))
+    inner = near.join(a, "src").join(b, ["dst", "run", "parcel"]).select("run", "parcel", "src", "dst", "w")
+    alone = parcels.select("run", "parcel", F.col("vertex").alias("src"), F.col("vertex").alias("dst"), F.lit(1e-9).alias("w"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf["src"])
+        at, to = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"])
+        w = np.zeros((len(ids), len(ids)))
+        w[at, to] = pdf["w"]
+        part = two_parts((w + w.T) / 2)
+        out = np.zeros(len(ids))
+        np.maximum.at(out, at, (part[at] != part[to]) * 1.0)
+        return pd.DataFrame({"run": pdf["run"].iloc[0], "vertex": ids, "b": out})
+
+    found = inner.unionByName(alone).groupBy("run", "parcel").applyInPandas(run, "run int, vertex long, b double")
+    return found.groupBy("vertex").agg(F.avg("b").alias("border"))
+
 def boundary_frequency(labelings: DataFrame, edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(vertex, border): the share of labelings (run, vertex, label) in which a neighbour has another label."""
     mine = edges.join(labelings.withColumnRenamed("vertex", "src"), "src").join(labelings.select(F.col("vertex").alias("dst"), F.col("label").alias("other"), "run"), ["dst", "run"])
