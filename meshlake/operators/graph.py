@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.functions.metrics import dissimilarity
@@ -24,13 +24,24 @@ def settle(df: DataFrame) -> DataFrame:
         import shutil
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="meshlake-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     path, schema = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def unsettle(df: DataFrame) -> None:
+    """Delete what ``settle`` wrote down for a table that nothing reads any more."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def edge_dissimilarity(edges: DataFrame, features: DataFrame, metric: str = "euclidean") -> DataFrame:
@@ -54,6 +65,29 @@ def gradient(vertices: DataFrame, edges: DataFrame, features: DataFrame, metric:
     return reduce_edges(vertices, edge_dissimilarity(edges, features, metric), method)
 
 
+def partial_gradient(mesh, values: DataFrame, structure: str | None = None, exclude_same_region: bool = False, metric: str = "euclidean", method: str = "median") -> DataFrame:
+    """(vertex, value) on the part of a mesh that has ``values`` (vertex, feature, value[, feature_structure]).
+
+    Faces need all corners in that part. ``exclude_same_region`` leaves features of
+    ``structure`` itself out, as in a connectome.
+    """
+    from meshlake.operators.mesh import Mesh, edges
+
+    part = values.select("vertex").distinct()
+    faces = mesh.faces
+    for k in "abc":
+        faces = faces.join(part.withColumnRenamed("vertex", k), k, "left_semi")
+    kept = values.where(F.col("feature_structure") != structure) if exclude_same_region else values
+    features = kept.groupBy("vertex").agg(F.sort_array(F.collect_list(F.struct("feature", F.col("value").cast("double").alias("value")))).alias("s"))
+    features = features.select("vertex", F.transform("s", lambda x: x["value"]).alias("features"))
+    return gradient(part, edges(Mesh(mesh.vertices, faces)), features, metric, method)
+
+
+def transposed(entries: DataFrame) -> DataFrame:
+    """(src, dst, value) of a connectome turned round."""
+    return entries.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "value")
+
+
 def sparse_min(entries: DataFrame, key: str | None = None) -> DataFrame:
     """Least stored entry of (row, col, value), with its place, over all or for each ``row`` or ``col``; ties take the first place."""
     best = F.min(F.struct("value", "row", "col")).alias("m")
@@ -69,13 +103,15 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_00
     then the lower predecessor.
     """
     best = settle(sources.select("vertex", F.lit(0.0).alias("dist"), F.col("vertex").alias("root"), F.lit(None).cast("bigint").alias("pred")).distinct())
-    moved = best
+    moved = whole = best
     for _ in range(max_rounds):
         step = moved.join(edges, moved["vertex"] == edges["src"]).select(F.col("dst").alias("vertex"), (F.col("dist") + F.col("w")).alias("dist"), "root", F.col("src").alias("pred"))
         step = step.groupBy("vertex").agg(F.min(F.struct("dist", "root", "pred")).alias("n"))
         both = best.join(step, "vertex", "full")
         better = F.col("n").isNotNull() & (F.col("dist").isNull() | (F.col("n.dist") < F.col("dist") - 1e-12))
         merged = settle(both.select("vertex", better.alias("moved"), *[F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("dist", "root", "pred")]))
+        unsettle(whole)
+        whole = merged
         best, moved = merged.drop("moved"), merged.where("moved").drop("moved")
         if moved.isEmpty():
             return best
@@ -98,14 +134,16 @@ def components(vertices: DataFrame, edges: DataFrame, mask: DataFrame | None = N
     if mask is not None:
         edges = edges.join(nodes.withColumnRenamed("vertex", "src"), "src", "left_semi").join(nodes.withColumnRenamed("vertex", "dst"), "dst", "left_semi")
     edges = settle(edges.select("src", "dst"))
-    label = settle(nodes.select("vertex", F.col("vertex").alias("component")))
+    label = whole = settle(nodes.select("vertex", F.col("vertex").alias("component")))
     for _ in range(max_rounds):
         near = edges.join(label.withColumnRenamed("vertex", "dst"), "dst").groupBy(F.col("src").alias("vertex")).agg(F.min("component").alias("n"))
         step = label.join(near, "vertex", "left").select("vertex", "component", F.least("component", F.coalesce("n", "component")).alias("n"))
         jump = label.select(F.col("vertex").alias("n"), F.col("component").alias("far"))
         now = settle(step.join(jump, "n").select("vertex", F.col("component").alias("old"), F.least("n", "far").alias("component")))
-        label = now.drop("old")
+        unsettle(whole)
+        label, whole = now.drop("old"), now
         if now.where("old <> component").isEmpty():
+            unsettle(edges)
             return label
     raise RuntimeError("components did not settle")
 
@@ -188,6 +226,31 @@ def smooth_values(edges: DataFrame, values: DataFrame, width: float, doubled_dia
     return values
 
 
+def smooth_structures(values: DataFrame, meshes: dict, width: float, doubled_diagonal: bool = True) -> DataFrame:
+    """(structure, vertex, feature, value): values smoothed on the surfaces given by structure, others as they are.
+
+    A surface is smoothed on the part of it that has values; that none of the surfaces
+    is among the values is an error.
+    """
+    from functools import reduce
+
+    from meshlake.operators.mesh import edges as mesh_edges
+
+    here = {r["structure"] for r in values.select("structure").distinct().collect()} & set(meshes)
+    if not here:
+        raise ValueError("no values on the surfaces given")
+    out = [values.where(~F.col("structure").isin(list(here))).select("structure", "vertex", "feature", "value")]
+    for name in sorted(here):
+        part = values.where(F.col("structure") == name)
+        inside = part.select("vertex").distinct()
+        near = mesh_edges(meshes[name], weight="distance")
+        near = settle(near.join(inside.withColumnRenamed("vertex", "src"), "src", "left_semi").join(inside.withColumnRenamed("vertex", "dst"), "dst", "left_semi"))
+        for r in part.select("feature").distinct().orderBy("feature").collect():
+            one = smooth_values(near, part.where(F.col("feature") == r["feature"]).select("vertex", "value"), width, doubled_diagonal)
+            out.append(one.select(F.lit(name).alias("structure"), "vertex", F.lit(r["feature"]).alias("feature"), "value"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def flood(depth: np.ndarray, neighbours: list[np.ndarray], size: np.ndarray, min_depth: float = 0.0, min_size: float = 0.0, fill_ridge: bool = False) -> np.ndarray:
     """Watershed labels of the vertices of one component: 1.. in order of flooding, -1 on ridges.
 
@@ -276,19 +339,3 @@ def watershed_parcels(vertices: DataFrame, edges: DataFrame, nparcels: int, min_
         else:
             high, best = mid, found
     return best if best is not None else found
-
-
-def track_to_maximum(spark: SparkSession, faces: DataFrame, start: DataFrame, max_steps: int = 1000) -> DataFrame:
-    """(start, face): the face at which walking uphill ends, for ``start`` (start, face) and ``faces`` (face, best).
-
-    ``best`` is the neighbouring face to go to, or the face itself at a maximum; paths
-    halve by pointer jumping, so a walk of n faces takes log n rounds.
-    """
-    jump = settle(faces.select("face", "best"))
-    for _ in range(max(1, max_steps.bit_length())):
-        far = jump.select(F.col("face").alias("best"), F.col("best").alias("next"))
-        new = settle(jump.join(far, "best").select("face", "best", "next"))
-        jump = new.select("face", F.col("next").alias("best"))
-        if new.where("best <> next").isEmpty():
-            break
-    return start.join(jump, "face").select("start", F.col("best").alias("face"))

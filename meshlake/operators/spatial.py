@@ -15,9 +15,12 @@ def cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
 
 
-def nearest_vertex(points: DataFrame, vertices: DataFrame, max_dist: float, cell_size: float | None = None) -> DataFrame:
+def nearest_vertex(points: DataFrame, vertices: DataFrame, max_dist: float, cell_size: float | None = None, facing: int = 0) -> DataFrame:
     """(point, vertex, dist) of the nearest vertex within ``max_dist`` (strictly); null beyond. Ties take the lowest vertex.
 
+    ``facing`` 1 or -1 takes only vertices (with n_x, n_y, n_z) whose normal points along
+    or against the way from the point to them.
+
     Both sides meet by cells: a point looks into the cells that its reach overlaps.
     """
     size = float(cell_size or max_dist)
@@ -26,9 +29,13 @@ def nearest_vertex(points: DataFrame, vertices: DataFrame, max_dist: float, cell
     p = points.select("point", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
     for c, name in (("px", "ci"), ("py", "cj"), ("pz", "ck")):
         p = p.withColumn("o", F.explode(near)).withColumn(name, cell(c, size) + F.col("o")).drop("o")
-    v = vertices.select("vertex", *[F.col(c) for c in "xyz"], *[cell(c, size).alias(n) for c, n in zip("xyz", ("ci", "cj", "ck"), strict=True)])
+    normals = [f"n_{c}" for c in "xyz"] if facing else []
+    v = vertices.select("vertex", *[F.col(c) for c in "xyz"], *normals, *[cell(c, size).alias(n) for c, n in zip("xyz", ("ci", "cj", "ck"), strict=True)])
     d2 = F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2) + F.pow(F.col("pz") - F.col("z"), 2)
-    best = p.join(v, ["ci", "cj", "ck"]).select("point", "vertex", d2.alias("d2")).where(F.col("d2") < max_dist * max_dist)
+    met = p.join(v, ["ci", "cj", "ck"])
+    if facing:
+        met = met.where(sum(((F.col(c) - F.col(f"p{c}")) * F.col(f"n_{c}") for c in "xyz"), F.lit(0.0)) * facing > 0)
+    best = met.select("point", "vertex", d2.alias("d2")).where(F.col("d2") < max_dist * max_dist)
     best = best.groupBy("point").agg(F.min(F.struct("d2", "vertex")).alias("m"))
     return points.select("point").join(best, "point", "left").select("point", F.col("m.vertex").alias("vertex"), F.sqrt("m.d2").alias("dist"))
 
@@ -80,12 +87,14 @@ def _separated(corners: list[g.Vec], normal: g.Vec) -> Column:
     return out | plane
 
 
-def voxel_triangles(mesh: ms.Mesh) -> DataFrame:
-    """(i, j, k, face): the unit voxels, centred on whole numbers, that each triangle meets.
+def voxel_triangles(mesh: ms.Mesh, resolution: float = 1.0) -> DataFrame:
+    """(i, j, k, face): the voxels of a size, centred on whole multiples of it, that each triangle meets.
 
     Candidates are the voxels of a triangle's bounding box; nine edge axes and the
     normal separate the others.
     """
+    if resolution != 1.0:
+        mesh = ms.Mesh(mesh.vertices.select("vertex", *[(F.col(c) / float(resolution)).alias(c) for c in "xyz"]), mesh.faces, mesh.flip)
     rows = ms.corners(mesh)
     for c, name in zip("xyz", "ijk", strict=True):
         low, high = F.least(f"a_{c}", f"b_{c}", f"c_{c}"), F.greatest(f"a_{c}", f"b_{c}", f"c_{c}")

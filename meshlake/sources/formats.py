@@ -162,6 +162,15 @@ def read_cifti(data: bytes) -> tuple[np.ndarray, dict[int, dict]]:
     return matrix.T, {1 - d if matrix.ndim == 2 else d: a for d, a in axes.items()}
 
 
+def _cifti_volume(node) -> dict:
+    """Shape and affine of the voxel space that a map names."""
+    volume = node.find("Volume")
+    if volume is None:
+        return {}
+    matrix = [float(x) for x in volume.findtext("TransformationMatrixVoxelIndicesIJKtoXYZ").split()]
+    return {"shape": [int(x) for x in volume.get("VolumeDimensions").split(",")], "affine": [matrix[k : k + 4] for k in range(0, 16, 4)]}
+
+
 def _cifti_axis(node) -> dict:
     kind = node.get("IndicesMapToDataType").rsplit("_", 1)[-1].lower()
     numbers = lambda n: [int(x) for x in (n.text or "").split()] if n is not None else []
@@ -171,7 +180,8 @@ def _cifti_axis(node) -> dict:
             name = m.get("BrainStructure")
             vertices, voxels = numbers(m.find("VertexIndices")), numbers(m.find("VoxelIndicesIJK"))
             elements += [(name, v, None, None, None) for v in vertices] or [(name, None, *voxels[k : k + 3]) for k in range(0, len(voxels), 3)]
-        return {"kind": "brain", "elements": elements}
+        sizes = {m.get("BrainStructure"): int(m.get("SurfaceNumberOfVertices")) for m in node.findall("BrainModel") if m.get("SurfaceNumberOfVertices")}
+        return {"kind": "brain", "elements": elements, **({"nvertices": sizes} if sizes else {}), **_cifti_volume(node)}
     if kind == "series":
         return {"kind": "series", "start": float(node.get("SeriesStart")), "step": float(node.get("SeriesStep")), "unit": node.get("SeriesUnit"), "size": int(node.get("NumberOfSeriesPoints"))}
     if kind == "parcels":
@@ -180,3 +190,93 @@ def _cifti_axis(node) -> dict:
     maps = node.findall("NamedMap")
     tables = [{int(t.get("Key")): t.text or "" for t in m.iter("Label")} for m in maps]
     return {"kind": "label" if kind == "labels" else "scalar", "names": [m.findtext("MapName") for m in maps], "tables": tables}
+
+
+def _axis_xml(axis: dict, dimensions: str) -> ET.Element:
+    """The description of an axis (see ``read_cifti``) as XML."""
+    kinds = {"brain": "BRAIN_MODELS", "series": "SERIES", "parcels": "PARCELS", "label": "LABELS", "scalar": "SCALARS"}
+    node = ET.Element("MatrixIndicesMap", AppliesToMatrixDimension=dimensions, IndicesMapToDataType=f"CIFTI_INDEX_TYPE_{kinds[axis['kind']]}")
+    text = lambda numbers: " ".join(str(int(x)) for x in numbers)
+    if axis["kind"] == "brain":
+        _volume_xml(node, axis)
+        at, elements = 0, [tuple(e) for e in axis["elements"]]
+        while at < len(elements):
+            name, on_surface = elements[at][0], elements[at][1] is not None
+            end = at
+            while end < len(elements) and elements[end][0] == name and (elements[end][1] is not None) == on_surface:
+                end += 1
+            some = elements[at:end]
+            kind = "CIFTI_MODEL_TYPE_SURFACE" if on_surface else "CIFTI_MODEL_TYPE_VOXELS"
+            model = ET.SubElement(node, "BrainModel", IndexOffset=str(at), IndexCount=str(end - at), ModelType=kind, BrainStructure=name)
+            if on_surface:
+                model.set("SurfaceNumberOfVertices", str(axis.get("nvertices", {}).get(name, max(e[1] for e in some) + 1)))
+                ET.SubElement(model, "VertexIndices").text = text(e[1] for e in some)
+            else:
+                ET.SubElement(model, "VoxelIndicesIJK").text = text(x for e in some for x in e[2:])
+            at = end
+    elif axis["kind"] == "series":
+        node.attrib |= {"SeriesStart": str(axis["start"]), "SeriesStep": str(axis["step"]), "SeriesUnit": axis["unit"], "NumberOfSeriesPoints": str(axis["size"]), "SeriesExponent": "0"}
+    elif axis["kind"] == "parcels":
+        _volume_xml(node, axis)
+        for name, members in zip(axis["names"], axis["members"], strict=True):
+            parcel = ET.SubElement(node, "Parcel", Name=name)
+            for structure, vertices in members.items():
+                ET.SubElement(parcel, "Vertices", BrainStructure=structure).text = text(vertices)
+    else:
+        for name, table in zip(axis["names"], axis["tables"], strict=True):
+            one = ET.SubElement(node, "NamedMap")
+            ET.SubElement(one, "MapName").text = name
+            if axis["kind"] == "label":
+                labels = ET.SubElement(one, "LabelTable")
+                for key, label in table.items():
+                    ET.SubElement(labels, "Label", Key=str(key), Red="0", Green="0", Blue="0", Alpha="1").text = label
+    return node
+
+
+def _volume_xml(node: ET.Element, axis: dict) -> None:
+    """The voxel space of an axis: shape and affine, if it has one."""
+    if axis.get("shape") is not None:
+        volume = ET.SubElement(node, "Volume", VolumeDimensions=",".join(map(str, axis["shape"])))
+        affine = np.asarray(axis.get("affine", np.eye(4)), float)
+        ET.SubElement(volume, "TransformationMatrixVoxelIndicesIJKtoXYZ", MeterExponent="-3").text = " ".join(map(str, affine.ravel()))
+
+
+def write_cifti(matrix: np.ndarray, axes: dict[int, dict]) -> bytes:
+    """A CIFTI-2 file of a matrix (rows, columns) and the descriptions of its axes."""
+    matrix = np.asarray(matrix)
+    root = ET.Element("CIFTI", Version="2")
+    inner = ET.SubElement(root, "Matrix")
+    if axes[0] == axes[1]:
+        inner.append(_axis_xml(axes[0], "0,1"))
+    else:
+        inner.append(_axis_xml(axes[1], "0"))
+        inner.append(_axis_xml(axes[0], "1"))
+    xml = ET.tostring(root)
+    size = -(-(len(xml) + 8) // 16) * 16
+    extension = b"\1\0\0\0" + struct.pack("<2i", size, 32) + xml.ljust(size - 8, b"\0")
+    values = matrix.T.astype("<f4" if matrix.dtype.kind == "f" and matrix.dtype.itemsize == 4 else "<f8" if matrix.dtype.kind == "f" else "<i4")
+    head = bytearray(540)
+    struct.pack_into("<i", head, 0, 540)
+    head[4:12] = b"n+2\0\r\n\x1a\n"
+    code = next(c for c, t in NIFTI_TYPES.items() if np.dtype(t) == values.dtype.newbyteorder("="))
+    struct.pack_into("<2h", head, 12, code, values.dtype.itemsize * 8)
+    struct.pack_into("<8q", head, 16, 6, 1, 1, 1, 1, *values.shape, 1)
+    struct.pack_into("<8d", head, 104, *[1.0] * 8)
+    struct.pack_into("<q", head, 168, 540 + len(extension))
+    struct.pack_into("<2d", head, 176, 1.0, 0.0)
+    return bytes(head) + extension + values.tobytes(order="F")
+
+
+def read_freesurfer(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices and triangles of a binary FreeSurfer surface."""
+    if data[:3] != b"\xff\xff\xfe":
+        raise ValueError("not a FreeSurfer triangle file")
+    at = data.index(b"\n\n") + 2
+    n, m = struct.unpack_from(">2i", data, at)
+    points = np.frombuffer(data, ">f4", 3 * n, at + 8).reshape(n, 3)
+    return points.astype(float), np.frombuffer(data, ">i4", 3 * m, at + 8 + 12 * n).reshape(m, 3).astype("i4")
+
+
+def write_freesurfer(points: np.ndarray, triangles: np.ndarray, comment: str = "created by a program") -> bytes:
+    head = b"\xff\xff\xfe" + comment.encode() + b"\n\n" + struct.pack(">2i", len(points), len(triangles))
+    return head + np.asarray(points, ">f4").tobytes() + np.asarray(triangles, ">i4").tobytes()

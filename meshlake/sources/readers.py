@@ -90,28 +90,102 @@ def read_greyordinates(spark: SparkSession, paths: str, **options) -> DataFrame:
     """Files joined by ``@``, each by its extension, one after another."""
     found = None
     for p in paths.split("@"):
+        if p.rstrip("/").endswith(".zarr"):
+            from meshlake.greyordinates import GreyOrdinates
+
+            one = GreyOrdinates.from_zarr(spark, p).long()
+            found = one if found is None else found.unionByName(one)
+            continue
         kind = read_cifti if re.search(r"\.d\w+\.nii$", p) else read_gifti if re.search(r"\.gii(\.gz)?$", p) else read_nifti if re.search(r"\.nii(\.gz)?$", p) else None
         one = spark.read.parquet(p) if kind is None else kind(spark, p) if kind is read_cifti else kind(spark, p, **options)
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def _surface(data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+    """Structure, points and triangles of a GIFTI or FreeSurfer surface."""
+    if data[:3] == b"\xff\xff\xfe":
+        return ("unknown", *formats.read_freesurfer(data))
+    g = formats.read_gifti(data)
+    return (g.structure(), *g.mesh())
+
+
 def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Vertices (path, structure, vertex, x, y, z) and faces (path, structure, face, a, b, c) of surface files."""
 
     def vertices(_, data):
-        g = formats.read_gifti(data)
-        p = g.mesh()[0].astype(float)
-        yield pd.DataFrame({"structure": g.structure(), "vertex": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+        structure, p, _t = _surface(data)
+        p = p.astype(float)
+        yield pd.DataFrame({"structure": structure, "vertex": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
 
     def faces(_, data):
-        g = formats.read_gifti(data)
-        t = g.mesh()[1]
-        yield pd.DataFrame({"structure": g.structure(), "face": np.arange(len(t)), "a": t[:, 0], "b": t[:, 1], "c": t[:, 2]})
+        structure, _p, t = _surface(data)
+        yield pd.DataFrame({"structure": structure, "face": np.arange(len(t)), "a": t[:, 0], "b": t[:, 1], "c": t[:, 2]})
 
     return _per_file(spark, path, vertices, "path string, structure string, vertex long, x double, y double, z double"), _per_file(spark, path, faces, "path string, structure string, face long, a long, b long, c long")
 
 
+def read_surfaces(spark: SparkSession, paths: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Vertices and faces by structure, from one or two surface files joined by ``@``; twice the same structure is an error."""
+    out = {}
+    for p in paths.split("@"):
+        vertices, faces = read_mesh(spark, p)
+        for r in vertices.select("structure").distinct().collect():
+            if r["structure"] in out:
+                raise ValueError(f"two surfaces are {r['structure']}")
+            one = F.col("structure") == r["structure"]
+            out[r["structure"]] = (vertices.where(one), faces.where(one))
+    return out
+
+
+def read_hcp(spark: SparkSession, folder: str) -> dict[str, list[tuple[str, DataFrame, DataFrame]]]:
+    """For R and L the (name, vertices, faces) of the white, midthickness (where there is one) and pial surfaces of a folder."""
+    vertices, faces = read_mesh(spark, f"{folder.rstrip('/')}/*.surf.gii")
+    parts = F.split(F.element_at(F.split("path", "/"), -1), r"\.")
+    files = {(r["side"], r["name"]): r["path"] for r in vertices.select("path", parts[1].alias("side"), parts[2].alias("name")).distinct().orderBy(F.desc("path")).collect()}
+    out = {}
+    for side in "RL":
+        out[side] = []
+        for name in ("white", "midthickness", "pial"):
+            path = files.get((side, name))
+            if path is None:
+                if name == "midthickness":
+                    continue
+                raise OSError(f"no {name} surface of {side} in {folder}")
+            out[side].append((name, vertices.where(F.col("path") == path), faces.where(F.col("path") == path)))
+    return out
+
+
+def read_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Surface labels: rows (path, structure, vertex, feature, label) and the label table (path, structure, key, name, rgba)."""
+
+    def rows(_, data):
+        g = formats.read_gifti(data)
+        for n, a in enumerate(g.arrays):
+            yield pd.DataFrame({"structure": g.structure(), "vertex": np.arange(len(a)), "feature": n, "label": a.astype("i8")})
+
+    def table(_, data):
+        g = formats.read_gifti(data)
+        yield pd.DataFrame({"structure": g.structure(), "key": list(g.labels), "name": [v[0] for v in g.labels.values()], "rgba": [list(v[1]) for v in g.labels.values()]})
+
+    return _per_file(spark, path, rows, "path string, structure string, vertex int, feature int, label long"), _per_file(spark, path, table, "path string, structure string, key int, name string, rgba array<double>")
+
+
+def brain_model(elements: DataFrame) -> DataFrame:
+    """Elements (structure, kind, vertex, i, j, k) with their number ``grey_id``: surfaces by vertex, then voxels in z-major order."""
+    from meshlake.operators.binning import running
+
+    keyed = elements.select("structure", "kind", "vertex", "i", "j", "k").distinct().withColumn("n", F.lit(1))
+    return running(keyed, order=("kind", "structure", "vertex", "k", "j", "i")).withColumnRenamed("before", "grey_id").drop("n")
+
+
+def dense_connectome(triples: DataFrame, rows: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """(src, dst, value) with the elements of numbered triples (row, col, value); ``rows`` and ``columns`` are (grey_id, …) tables."""
+    columns = rows if columns is None else columns
+    side = lambda t, k: t.select(F.col("grey_id").alias(k), F.struct(*[c for c in t.columns if c != "grey_id"]).alias(f"{k}_element"))
+    return triples.join(side(rows, "row"), "row").join(side(columns, "col"), "col").select(F.col("row").alias("src"), F.col("col").alias("dst"), "row_element", "col_element", "value")
+
+
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """Sparse matrices in text (row col value, from 1; the last row may hold the shape with value 0) as (row, col, value) from 0."""
     parts = F.split(F.trim("value"), r"\s+")
