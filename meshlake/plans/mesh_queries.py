@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshlake.operators import graph, mesh
+from meshlake.operators import curves, graph, mesh, spatial, stats, tracking
 from meshlake.plans.catalog import register
 
 W = 25
@@ -23,6 +23,31 @@ unitn AS (SELECT *, sqrt(nx*nx+ny*ny+nz*nz) AS len FROM nrm)
 """
 
 
+def _apart_sql() -> str:
+    """Whether an axis separates a triangle (pa, pb, pc around a voxel's centre) from the unit cube."""
+    p = {k: [f"p{k}{c}" for c in "xyz"] for k in "abc"}
+    out = []
+    for s, e in ("ab", "bc", "ca"):
+        way = [f"({p[e][n]}-{p[s][n]})" for n in range(3)]
+        for axis in range(3):
+            d1, d2 = (n for n in range(3) if n != axis)
+            across = ", ".join(f"{p[k][d1]}*{way[d2]}-{p[k][d2]}*{way[d1]}" for k in "abc")
+            out += [f"least({across}) > (abs({way[d1]})+abs({way[d2]}))/2", f"greatest({across}) < -(abs({way[d1]})+abs({way[d2]}))/2"]
+    out.append("abs(nx*pax+ny*pay+nz*paz) > (abs(nx)+abs(ny)+abs(nz))/2")
+    return " OR ".join(out)
+
+
+def _voxels_sql() -> str:
+    tri, names = {"x": ("ax", "bx", "cx"), "y": ("ay", "by_", "cy"), "z": ("az", "bz", "cz")}, dict(zip("xyz", "ijk", strict=True))
+    spans = [f"unnest(generate_series(CAST(floor(least({', '.join(t)})+0.5) AS BIGINT), CAST(greatest(floor(least({', '.join(t)})+0.5), ceil(greatest({', '.join(t)})-0.5)) AS BIGINT))) AS {names[c]}" for c, t in tri.items()]
+    shift = ", ".join(f"{t[n]}-{names[c]} AS p{k}{c}" for c, t in tri.items() for n, k in enumerate("abc"))
+    return f"v1 AS (SELECT *, {spans[0]} FROM nrm), v2 AS (SELECT *, {spans[1]} FROM v1), v3 AS (SELECT *, {spans[2]} FROM v2), v4 AS (SELECT *, {shift} FROM v3), hit AS (SELECT i, j, k, face FROM v4 WHERE NOT ({_apart_sql()}))"
+
+
+#: Voxels that triangles meet: hit (i, j, k, face).
+SQL_VOXELS = _voxels_sql()
+
+
 def points(spark, d):
     return spark.read.parquet(f"{d}/embeddings.parquet").withColumnRenamed("vec_id", "vertex")
 
@@ -164,7 +189,19 @@ register(
     on_mesh(lambda m: rounded(mesh.smooth_step(m, 0.5).vertices, "x", "y", "z")),
     f"WITH {SQL_MESH}, nb AS (SELECT src AS vertex, avg(x) x, avg(y) y, avg(z) z FROM edges JOIN verts ON vertex = dst GROUP BY 1) SELECT v.vertex, round(coalesce((nb.x + v.x)/2, v.x), 6) AS x, round(coalesce((nb.y + v.y)/2, v.y), 6) AS y, round(coalesce((nb.z + v.z)/2, v.z), 6) AS z FROM verts v LEFT JOIN nb USING (vertex)",
 )
-register("mesh_smooth", on_mesh(lambda m: rounded(mesh.smooth(m, 2, 0.5, settle=graph.settle).vertices, "x", "y", "z")))
+
+
+def _smooth_sql(steps: list[float]) -> str:
+    """Smoothing steps, one after another, as common table expressions s1, s2, ..."""
+    out, before = [], "verts"
+    for n, k in enumerate(steps, 1):
+        out.append(f"n{n} AS (SELECT src AS vertex, avg(x) x, avg(y) y, avg(z) z FROM edges JOIN {before} ON vertex = dst GROUP BY 1), s{n} AS (SELECT v.vertex, " + ", ".join(f"coalesce({k} * n.{c} + (1 - {k}) * v.{c}, v.{c}) AS {c}" for c in "xyz") + f" FROM {before} v LEFT JOIN n{n} n USING (vertex))")
+        before = f"s{n}"
+    return ", ".join(out)
+
+
+register("mesh_smooth", on_mesh(lambda m: rounded(mesh.smooth(m, 2, 0.5, expand=-0.4, settle=graph.settle).vertices, "x", "y", "z")), f"WITH {SQL_MESH}, {_smooth_sql([0.5, -0.4, 0.5, -0.4])} SELECT vertex, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s4 WHERE vertex IN (SELECT vertex FROM inc)")
+register("mesh_smooth_adaptive", on_mesh(lambda m: rounded(mesh.smooth(m, 2, 0.5, settle=graph.settle).vertices, "x", "y", "z")))
 register("mesh_inflate", on_mesh(lambda m: rounded(mesh.inflate(m, shift=0.5).vertices, "x", "y", "z")), f"WITH {SQL_MESH}, {_VN} SELECT v.vertex, round(x + coalesce(0.5*sx/sqrt(sx*sx+sy*sy+sz*sz), 0), 6) AS x, round(y + coalesce(0.5*sy/sqrt(sx*sx+sy*sy+sz*sz), 0), 6) AS y, round(z + coalesce(0.5*sz/sqrt(sx*sx+sy*sy+sz*sz), 0), 6) AS z FROM verts v LEFT JOIN vn USING (vertex)")
 register("mesh_plane_crossings", on_mesh(lambda m: rounded(mesh.plane_crossings(m, (0.0, 3.5, 0.0), (0.0, 1.0, 0.0)), "x", "y", "z")), f"WITH {SQL_MESH}, de AS (SELECT face, least(i.vertex, j.vertex) u, greatest(i.vertex, j.vertex) v FROM inc i JOIN inc j USING (face) WHERE i.vertex < j.vertex) SELECT face, u, v, round(p.x+(q.x-p.x)*(p.y-3.5)/((p.y-3.5)-(q.y-3.5)), 6) AS x, round(p.y+(q.y-p.y)*(p.y-3.5)/((p.y-3.5)-(q.y-3.5)), 6) AS y, round(p.z+(q.z-p.z)*(p.y-3.5)/((p.y-3.5)-(q.y-3.5)), 6) AS z FROM de JOIN verts p ON p.vertex = u JOIN verts q ON q.vertex = v WHERE (p.y < 3.5) <> (q.y < 3.5)")
 
@@ -220,7 +257,18 @@ def _project(spark, d):
     return graph.project_nearest(near, points(spark, d).select("vertex", (F.col("vertex") * F.col("vertex")).cast("double").alias("value")))
 
 
-register("roi_projection", _project)
+register(
+    "roi_projection",
+    _project,
+    f"""WITH RECURSIVE {SQL_MESH}, {_EW},
+walk(vertex, root, dist, step) AS (
+  SELECT vec_id, vec_id, CAST(0 AS DOUBLE), 0 FROM embeddings WHERE label = 0
+  UNION ALL
+  SELECT vertex, root, dist, step FROM (
+    SELECT e.dst AS vertex, w.root, min(w.dist + e.w) AS dist, w.step + 1 AS step FROM walk w JOIN ew e ON e.src = w.vertex WHERE w.step < 40 GROUP BY e.dst, w.root, w.step)
+), best AS (SELECT vertex, arg_min(root, (dist, root)) AS root FROM walk GROUP BY 1)
+SELECT v.vertex, CAST(root * root AS DOUBLE) AS value FROM verts v LEFT JOIN best USING (vertex)""",
+)
 register(
     "mesh_components",
     lambda s, d: graph.components(lattice(s, d).vertices, mesh.edges(lattice(s, d)), points(s, d).where("label in (0, 1, 2, 3)").select("vertex")),
@@ -232,16 +280,7 @@ SELECT vertex, min(component) AS component FROM reach GROUP BY 1""",
 register("voronoi_parcels", lambda s, d: graph.voronoi_parcels(lattice(s, d).vertices, mesh.edges(lattice(s, d), weight="distance"), 2))
 
 
-def _dense(spark, d):
-    """Squared distances of the first 60 vertices' features: a full table, as medoid clustering takes it."""
-    f = features(spark, d).where("vertex < 60")
-    other = f.select(F.col("vertex").alias("dst"), F.col("features").alias("v"))
-    from meshlake.functions.metrics import dissimilarity
-
-    return f.join(F.broadcast(other), F.lit(True)).select(F.col("vertex").alias("src"), "dst", dissimilarity("euclidean", F.col("features"), F.col("v")).alias("d"))
-
-
-register("kmedoids", lambda s, d: graph.kmedoids(_dense(s, d), 4))
+register("kmedoids", lambda s, d: graph.kmedoids(stats.close_pairs(features(s, d)), 4))
 
 
 def _smooth_values(spark, d):
@@ -252,6 +291,16 @@ def _smooth_values(spark, d):
 register(
     "smooth_values",
     _smooth_values,
+    f"""WITH RECURSIVE {SQL_MESH}, {_EW}, sc AS (SELECT vec_id AS vertex, CAST(embedding[2] AS DOUBLE) AS f FROM embeddings),
+lp AS (SELECT src, dst, w FROM ew UNION ALL SELECT vertex, vertex, 0.0 FROM verts),
+p AS (SELECT greatest(1, CAST(round_even(0.25 / power(median(w) / 6, 2), 0) AS BIGINT)) AS steps FROM lp),
+k AS (SELECT src, dst, CASE WHEN src = dst THEN 2.0 ELSE exp(-w * w / (2 * 0.25 / (SELECT steps FROM p))) END AS k FROM lp),
+it(step, vertex, value) AS (
+  SELECT CAST(0 AS BIGINT), vertex, f FROM sc
+  UNION ALL
+  SELECT step, vertex, value FROM (SELECT it.step + 1 AS step, k.src AS vertex, sum(k.k * it.value) / sum(k.k) AS value FROM it JOIN k ON k.dst = it.vertex WHERE it.step < (SELECT steps FROM p) GROUP BY it.step, k.src)
+)
+SELECT vertex, round(value, 6) AS value FROM it WHERE step = (SELECT steps FROM p)""",
 )
 
 
@@ -277,13 +326,96 @@ register(
 )
 
 
+def _directions(m, scalar_):
+    return tracking.flat_directions(m, mesh.face_gradient(m, scalar_))
+
+
+def _centres(m):
+    return m.faces.select(F.col("face").alias("start"), "face", F.lit(1 / 3).alias("u"), F.lit(1 / 3).alias("v"))
+
+
+def _one_step(spark, d):
+    m = lattice(spark, d)
+    return rounded(tracking.surface_step(m, _directions(m, scalar(spark, d)), _centres(m)), "u", "v")
+
+
+_SIDE = "CASE WHEN t1 = t THEN 1 WHEN t2 = t THEN 2 ELSE 3 END"
+register(
+    "surface_step",
+    _one_step,
+    f"""WITH {SQL_MESH}, {_GRAD},
+di AS (SELECT face, al / sqrt(al*al + be*be) AS du, be / sqrt(al*al + be*be) AS dv FROM gg),
+ti AS (SELECT face, du, dv, CASE WHEN abs(dv) >= 1e-8 AND -1/(3*dv) > 1e-8 THEN -1/(3*dv) END t1, CASE WHEN abs(du) >= 1e-8 AND -1/(3*du) > 1e-8 THEN -1/(3*du) END t2, CASE WHEN abs(du+dv) >= 1e-8 AND 1/(3*(du+dv)) > 1e-8 THEN 1/(3*(du+dv)) END t3 FROM di),
+st AS (SELECT *, least(t1, t2, t3) AS t FROM ti),
+hit AS (SELECT st.face, du, dv, t, {_SIDE} AS side, CASE {_SIDE} WHEN 3 THEN b ELSE a END AS p, CASE {_SIDE} WHEN 1 THEN b ELSE c END AS q FROM st JOIN faces USING (face)),
+mv AS (SELECT *, 1.0/3 + du*t AS nu, 1.0/3 + dv*t AS nv FROM hit),
+r AS (SELECT *, greatest(0, least(1, CASE WHEN side = 1 THEN nu ELSE nv END)) AS r FROM mv),
+nx AS (SELECT r.face, min(o.face) AS next FROM r JOIN faces o ON o.face <> r.face AND r.p IN (o.a, o.b, o.c) AND r.q IN (o.a, o.b, o.c) GROUP BY 1)
+SELECT r.face AS start, coalesce(next, r.face) AS face,
+       round(CASE WHEN next IS NULL THEN nu WHEN p = o.b THEN 1 - r WHEN q = o.b THEN r ELSE 0 END, 6) AS u,
+       round(CASE WHEN next IS NULL THEN nv WHEN p = o.c THEN 1 - r WHEN q = o.c THEN r ELSE 0 END, 6) AS v
+FROM r LEFT JOIN nx USING (face) LEFT JOIN faces o ON o.face = next""",
+)
+
+
 def _tracks(spark, d):
-    """From each face to the highest face that can be reached uphill by faces' mean heights."""
+    """Where walks uphill from the middle of every face end."""
     m = lattice(spark, d)
-    height = mesh.corners(m).select("face", ((F.col("a_z") + F.col("b_z") + F.col("c_z")) / 3).alias("h"))
-    near = mesh.face_adjacency(m).where("shared >= 2").join(height.withColumnRenamed("face", "other"), "other")
-    best = near.groupBy("face").agg(F.max_by("other", F.struct("h", "other")).alias("best"))
-    return graph.track_to_maximum(spark, best, best.select(F.col("face").alias("start"), "face"))
+    return rounded(tracking.track_to_maximum(m, _directions(m, scalar(spark, d)), _centres(m)), "u", "v", places=4)
 
 
 register("track_to_maximum", _tracks)
+register("ridge_values", lambda s, d: rounded(tracking.from_ridge(lattice(s, d), scalar(s, d), scalar(s, d).withColumnRenamed("f", "value")), "value", places=4))
+
+
+# curves, clean meshes and sections
+def _curve(spark, d):
+    return curves.curve(points(spark, d).select("vertex", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")))
+
+
+_CV = "cv AS (SELECT vec_id AS vertex, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y FROM embeddings), ln AS (SELECT p.vertex AS face, p.x ax, p.y ay, q.x bx, q.y AS b_y FROM cv p JOIN cv q ON q.vertex = p.vertex + 1)"
+register("curve_lengths", lambda s, d: rounded(curves.line_lengths(_curve(s, d)), "size"), f"WITH {_CV} SELECT face, round(sqrt((ax-bx)*(ax-bx)+(ay-b_y)*(ay-b_y)), 6) AS size FROM ln")
+register("curve_normals", lambda s, d: rounded(curves.line_normals(_curve(s, d)), "n_x", "n_y"), f"WITH {_CV} SELECT face, round((ay-b_y)/sqrt((ax-bx)*(ax-bx)+(ay-b_y)*(ay-b_y)), 6) AS n_x, round((bx-ax)/sqrt((ax-bx)*(ax-bx)+(ay-b_y)*(ay-b_y)), 6) AS n_y FROM ln")
+register("curve_closed", lambda s, d: curves.curve_closed(_curve(s, d)), f"WITH {_CV}, e AS (SELECT face AS v FROM ln UNION ALL SELECT face + 1 FROM ln), n AS (SELECT count(*) c FROM e GROUP BY v) SELECT count(*) FILTER (WHERE c = 1) = 0 AS closed FROM n")
+register("curve_crossings", lambda s, d: rounded(curves.line_crossings(_curve(s, d), (0.01, 0.02), (1.0, 0.5)), "x", "y"), f"WITH {_CV}, o AS (SELECT *, (ax-0.01)*0.5-(ay-0.02) AS sa, (bx-0.01)*0.5-(b_y-0.02) AS sb FROM ln) SELECT face, round(CAST(ax+sa/(sa-sb)*(bx-ax) AS DOUBLE), 6) AS x, round(CAST(ay+sa/(sa-sb)*(b_y-ay) AS DOUBLE), 6) AS y FROM o WHERE sa * sb < 0")
+register("curve_lines", lambda s, d: curves.as_lines(_curve(s, d)), "SELECT min(vec_id) OVER () AS line, row_number() OVER (ORDER BY vec_id) - 1 AS place, vec_id AS vertex, false AS closed FROM embeddings")
+register(
+    "plane_section",
+    on_mesh(lambda m: rounded(curves.plane_section(m, (0.0, 3.5, 0.0), (0.0, 1.0, 0.0)).select("place", "u", "v", "x", "y", "z", "closed"), "x", "y", "z")),
+    f"WITH {SQL_MESH}, de AS (SELECT DISTINCT least(i.vertex, j.vertex) u, greatest(i.vertex, j.vertex) v FROM inc i JOIN inc j USING (face) WHERE i.vertex < j.vertex), c AS (SELECT u, v, p.x+(q.x-p.x)/2 AS x, 3.5::DOUBLE AS y, p.z+(q.z-p.z)/2 AS z FROM de JOIN verts p ON p.vertex = u JOIN verts q ON q.vertex = v WHERE (p.y < 3.5) <> (q.y < 3.5)) SELECT row_number() OVER (ORDER BY x) - 1 AS place, u, v, round(x, 6) AS x, y, round(z, 6) AS z, false AS closed FROM c",
+)
+
+
+def _soup(m):
+    """Every face with corners of its own."""
+    c = mesh.corners(m)
+    rows = c.select("face", F.explode(F.array(*[F.struct((F.col("face") * 3 + n).alias("vertex"), *[F.col(f"{k}_{x}").alias(x) for x in "xyz"]) for n, k in enumerate("abc")])).alias("p")).select("p.*")
+    return mesh.Mesh(rows, m.faces.select("face", *[(F.col("face") * 3 + n).alias(k) for n, k in enumerate("abc")]))
+
+
+register("mesh_clean", on_mesh(lambda m: curves.clean(_soup(m)).faces), f"WITH {SQL_MESH}, o AS (SELECT face, a, b, c FROM faces), own AS (SELECT face * 3 AS k, a AS v FROM o UNION ALL SELECT face * 3 + 1, b FROM o UNION ALL SELECT face * 3 + 2, c FROM o), kept AS (SELECT v, min(k) AS k FROM own GROUP BY 1) SELECT face, x.k AS a, y.k AS b, z.k AS c FROM o JOIN kept x ON x.v = a JOIN kept y ON y.v = b JOIN kept z ON z.v = c")
+
+
+def _mask_surface(spark, d):
+    hull = curves.mask_surface(spatial.voxel_triangles(lattice(spark, d)))
+    hull = mesh.Mesh(graph.settle(hull.vertices), graph.settle(hull.faces))
+    return mesh.volume(hull).join(mesh.closed(hull)).join(hull.faces.agg(F.count(F.lit(1)).alias("faces"))).select(F.round("volume", 4).alias("volume"), "closed", "faces")  # one row each
+
+
+register("mask_surface", _mask_surface, f"WITH {SQL_MESH}, {SQL_VOXELS}, b AS (SELECT DISTINCT i, j, k FROM hit), s AS (SELECT i + di AS i, j + dj AS j, k + dk AS k FROM b, (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(di, dj, dk)), e AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.i = s.i AND b.j = s.j AND b.k = s.k)) SELECT round(CAST((SELECT count(*) FROM b) AS DOUBLE), 4) AS volume, true AS closed, 2 * (SELECT count(*) FROM e) AS faces")
+
+
+def _partial_gradient(spark, d):
+    """On a part of a surface, over the features of other structures alone."""
+    m, p = lattice(spark, d), points(spark, d)
+    values = p.where("label <> 2").select("vertex", F.posexplode("embedding").alias("feature", "value"))
+    sides = F.when(F.col("feature") % 2 == 0, "CORTEX_LEFT").otherwise("CORTEX_RIGHT")
+    return rounded(graph.partial_gradient(m, values.withColumn("feature_structure", sides), "CORTEX_LEFT", exclude_same_region=True), "value")
+
+
+register(
+    "gradient_partial",
+    _partial_gradient,
+    f"WITH {SQL_MESH}, f AS (SELECT vec_id AS vertex, unnest(generate_series(0, 63)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE label <> 2), inner_faces AS (SELECT * FROM inc WHERE face NOT IN (SELECT face FROM inc JOIN embeddings ON vec_id = vertex WHERE label = 2)), e AS (SELECT DISTINCT i.vertex AS src, j.vertex AS dst FROM inner_faces i JOIN inner_faces j USING (face) WHERE i.vertex <> j.vertex), "
+    "d AS (SELECT src, dst, sqrt(sum((a.x-b.x)*(a.x-b.x))) AS v FROM e JOIN f a ON a.vertex = src JOIN f b ON b.vertex = dst AND b.i = a.i WHERE a.i % 2 = 1 GROUP BY 1, 2) SELECT v.vec_id AS vertex, round(median(d.v), 6) AS value FROM embeddings v LEFT JOIN d ON src = v.vec_id WHERE label <> 2 GROUP BY 1",
+)

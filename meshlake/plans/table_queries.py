@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from meshlake.functions import geometry as g
 from meshlake.functions import structures
-from meshlake.operators import align, binning, mesh, spatial, stats
+from meshlake.operators import align, binning, cortex, graph, mesh, orientation, spatial, stats
 from meshlake.plans.catalog import register
-from meshlake.plans.mesh_queries import SQL_MESH, features, lattice, points, rounded
+from meshlake.plans.mesh_queries import SQL_MESH, SQL_VOXELS, features, lattice, points, rounded
 
 
 def table(spark, d, name):
@@ -34,7 +34,7 @@ register(
     "SELECT n_nationkey AS nation, n_regionkey AS region, n_name, r_name, c_custkey FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey",
 )
 register("natural_join_outer", lambda s, d: align.natural_join([table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_acctbal"), table(s, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")], how="outer"), "SELECT coalesce(c_custkey, o_custkey) AS k, c_acctbal, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey")
-register("anti_join", lambda s, d: align.missing(table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_name"), table(s, d, "orders").select(F.col("o_custkey").alias("k")), ["k"]), "SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+register("anti_join", lambda s, d: align.missing(table(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_name"), table(s, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("k")), ["k"]), "SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 400000)")
 register("merge_parts", lambda s, d: align.merge_parts([table(s, d, "orders").select(F.col("o_orderkey").alias("vertex"), F.when(F.col("o_orderkey") % 3 == n, F.col("o_totalprice")).otherwise(0.0).alias("value")) for n in range(2)], ["vertex"], 0.0), "SELECT o_orderkey AS vertex, CASE WHEN o_orderkey % 3 IN (0, 1) THEN o_totalprice ELSE 0.0 END AS value FROM orders")
 
 
@@ -74,6 +74,11 @@ register("discretise_regular", _bins(lambda df: binning.regular_edges(df, "l_ext
 register("discretise_number", _bins(lambda df: binning.number_edges(df, "l_extendedprice", 10)), "WITH o AS (SELECT l_extendedprice v, row_number() OVER (ORDER BY l_extendedprice) - 1 AS r, count(*) OVER () AS n FROM lineitem), e AS (SELECT CASE WHEN k = 10 THEN v + 1e-8 ELSE v END AS v FROM o, range(11) t(k) WHERE r = round_even(k * (n - 1) / 10.0, 0)) " + _ED)
 register("discretise_weight", _bins(lambda df: binning.weight_edges(df, "l_extendedprice", "l_quantity", 10)), "WITH w AS (SELECT l_extendedprice v, sum(l_quantity) w FROM lineitem GROUP BY 1), c AS (SELECT v, sum(w) OVER (ORDER BY v) AS upto, sum(w) OVER () AS total FROM w), e AS (SELECT '-infinity'::DOUBLE AS v UNION ALL SELECT min(v) FROM c, range(1, 10) t(k) WHERE upto > k * total / 10 GROUP BY k) " + _ED)
 register("discretise_explicit", _bins(lambda df: [1000.0, 20000.0, 50000.0]), "WITH e AS (SELECT unnest([1000.0, 20000.0, 50000.0]) AS v) " + _ED)
+register(
+    "discretise_zeros",
+    lambda s, d: binning.discretise(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_tax"), "l_tax", binning.weight_edges(table(s, d, "lineitem"), "l_tax", "l_quantity", 4)).select("l_orderkey", "l_linenumber", "bin"),
+    "WITH w AS (SELECT l_tax v, sum(l_quantity) w FROM lineitem WHERE l_tax <> 0 GROUP BY 1), c AS (SELECT v, sum(w) OVER (ORDER BY v) AS upto, sum(w) OVER () AS total FROM w), e AS (SELECT '-infinity'::DOUBLE AS v UNION ALL SELECT min(v) FROM c, range(1, 4) t(k) WHERE upto > k * total / 4 GROUP BY k) SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_tax = 0 THEN 0 ELSE (SELECT count(*) FROM e WHERE e.v <= l_tax) END AS INTEGER) AS bin FROM lineitem",
+)
 register("even_slices", lambda s, d: binning.even_slices(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 7).select("o_orderkey", "slice"), "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CAST((SELECT count(*) FROM range(1, 7) t(k) WHERE round_even(k * n / 7.0, 0) <= r) AS INTEGER) AS slice FROM r")
 
 
@@ -83,7 +88,8 @@ def _long(spark, d):
 
 
 _LONG = "WITH l AS (SELECT vec_id AS r, unnest(range(64)) AS c, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) "
-register("pearson", lambda s, d: rounded(stats.correlate_columns(_long(s, d).where("col < 8"), _long(s, d).where("col >= 50")), "r"), _LONG + "SELECT CAST(a.c AS INTEGER) AS c1, CAST(b.c AS INTEGER) AS c2, round(corr(a.v, b.v), 6) AS r FROM l a JOIN l b USING (r) WHERE a.c < 8 AND b.c >= 50 GROUP BY 1, 2")
+register("pearson", lambda s, d: rounded(stats.correlate_columns(_long(s, d), _long(s, d)), "r"), _LONG + "SELECT CAST(a.c AS INTEGER) AS c1, CAST(b.c AS INTEGER) AS c2, round(corr(a.v, b.v), 6) AS r FROM l a JOIN l b USING (r) GROUP BY 1, 2")
+register("connectome_slice", lambda s, d: rounded(stats.VirtualConnectome(_long(s, d))[0:9, 32:], "r"), _LONG + "SELECT CAST(a.c AS INTEGER) AS c1, CAST(b.c AS INTEGER) AS c2, round(corr(a.v, b.v), 6) AS r FROM l a JOIN l b USING (r) WHERE a.c < 9 AND b.c >= 32 GROUP BY 1, 2")
 register("pearson_paired", lambda s, d: rounded(stats.correlate_columns(_long(s, d), _long(s, d).withColumn("value", F.col("value") * F.col("value")), collapse=True), "r", places=4), _LONG + "SELECT CAST(c AS INTEGER) AS c1, CAST(c AS INTEGER) AS c2, round(corr(v, v * v), 4) AS r FROM l GROUP BY c")
 
 
@@ -106,21 +112,47 @@ register(
     lambda s, d: rounded(stats.structure_groups(_structures(s, d)).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("mean")), "mean", places=4),
     "WITH s AS (SELECT c_acctbal v, ['CORTEX_LEFT','CORTEX_RIGHT','THALAMUS_LEFT','BRAIN_STEM'][c_nationkey % 4 + 1] AS s FROM customer), t AS (SELECT 'full' g, v FROM s UNION ALL SELECT s, v FROM s WHERE s LIKE '%CORTEX%' UNION ALL SELECT 'cortex', v FROM s WHERE s LIKE '%CORTEX%' UNION ALL SELECT 'sub_cortical', v FROM s WHERE s NOT LIKE '%CORTEX%' UNION ALL SELECT 'left', v FROM s WHERE s LIKE '%LEFT' UNION ALL SELECT 'right', v FROM s WHERE s LIKE '%RIGHT') SELECT g AS \"group\", count(*) AS n, round(avg(v), 4) AS mean FROM t GROUP BY 1",
 )
-register("normalise", lambda s, d: rounded(stats.normalise(_long(s, d).where("col < 12").select(F.col("row").alias("element"), F.col("col").alias("time"), "value")), "value", places=4))
+register("normalise", lambda s, d: rounded(stats.normalise(_long(s, d).select(F.col("row").alias("element"), F.col("col").alias("time"), "value")), "value", places=4))
 
 
 def _close(spark, d):
-    f = features(spark, d).where("vertex < 200")
-    other = F.broadcast(f.select(F.col("vertex").alias("dst"), F.col("features").alias("v")))  # 200 rows
-    from meshlake.functions.metrics import dissimilarity
+    return stats.close_pairs(features(spark, d))
+
+
+register(
+    "dbscan",
+    lambda s, d: stats.dbscan(_close(s, d).where("d <= 1.25"), points(s, d).select("vertex"), 4),
+    """WITH RECURSIVE f AS (SELECT vec_id AS v, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT a.v AS src, b.v AS dst FROM f a, f b WHERE list_distance(a.e, b.e) <= 1.25),
+core AS (SELECT src AS v FROM n GROUP BY 1 HAVING count(*) >= 4), ce AS (SELECT src, dst FROM n JOIN core p ON p.v = src JOIN core q ON q.v = dst),
+reach(v, c) AS (SELECT v, v FROM core UNION SELECT ce.dst, r.c FROM reach r JOIN ce ON ce.src = r.v), lab AS (SELECT v, min(c) AS c FROM reach GROUP BY 1),
+bord AS (SELECT src AS v, min(c) AS c FROM n JOIN lab ON lab.v = dst GROUP BY 1)
+SELECT f.v AS vertex, coalesce(lab.c, bord.c, -1) AS cluster FROM f LEFT JOIN lab USING (v) LEFT JOIN bord USING (v)""",
+)
+
+
+def _neighbours(spark, d):
+    """Similarities of the features of neighbouring vertices."""
+    return graph.edge_dissimilarity(mesh.edges(lattice(spark, d)), features(spark, d)).select("src", "dst", F.exp(-F.col("value")).alias("weight"))
+
+
+register("spectral_clusters", lambda s, d: stats.spectral(_neighbours(s, d), 3))
+register("affinity_clusters", lambda s, d: stats.affinity_groups(_close(s, d).join(points(s, d).select(F.col("vertex").alias("src"), F.col("label").cast("long").alias("group")), "src").join(points(s, d).select(F.col("vertex").alias("dst"), F.col("label").cast("long").alias("other")), "dst").where("group = other").select("group", "src", "dst", (-F.col("d")).alias("weight"))))
+
 
-    return f.join(other, F.lit(True)).select(F.col("vertex").alias("src"), "dst", dissimilarity("euclidean", F.col("features"), F.col("v")).alias("d"))
+def axis_sql(key: str) -> str:
+    """Common table expressions from moments mom (key, m00, m01, m02, m11, m12, m22) to main axes ax (key, axis_x, axis_y, axis_z, value), by repeated squaring."""
+    tr = "(a*a+b*b+c*c+b*b+d*d+e*e+c*c+e*e+f*f)"
+    return f"""sq({key}, it, a, b, c, d, e, f) AS (
+  SELECT {key}, 0, m00/(m00+m11+m22), m01/(m00+m11+m22), m02/(m00+m11+m22), m11/(m00+m11+m22), m12/(m00+m11+m22), m22/(m00+m11+m22) FROM mom WHERE m00+m11+m22 > 0
+  UNION ALL
+  SELECT {key}, it + 1, (a*a+b*b+c*c)/{tr}, (a*b+b*d+c*e)/{tr}, (a*c+b*e+c*f)/{tr}, (b*b+d*d+e*e)/{tr}, (b*c+d*e+e*f)/{tr}, (c*c+e*e+f*f)/{tr} FROM sq WHERE it < 16
+), col AS (SELECT {key}, CASE WHEN a >= d AND a >= f THEN a WHEN d >= f THEN b ELSE c END vx, CASE WHEN a >= d AND a >= f THEN b WHEN d >= f THEN d ELSE e END vy, CASE WHEN a >= d AND a >= f THEN c WHEN d >= f THEN e ELSE f END vz FROM sq WHERE it = 16),
+un AS (SELECT {key}, vx/sqrt(vx*vx+vy*vy+vz*vz) axis_x, vy/sqrt(vx*vx+vy*vy+vz*vz) axis_y, vz/sqrt(vx*vx+vy*vy+vz*vz) axis_z FROM col),
+ax AS (SELECT un.*, axis_x*(m00*axis_x+m01*axis_y+m02*axis_z)+axis_y*(m01*axis_x+m11*axis_y+m12*axis_z)+axis_z*(m02*axis_x+m12*axis_y+m22*axis_z) AS value FROM un JOIN mom USING ({key}))"""
 
 
-register("dbscan", lambda s, d: stats.dbscan(_close(s, d).where("d <= 1.25"), points(s, d).where("vertex < 200").select("vertex"), 4))
-register("spectral_clusters", lambda s, d: stats.spectral(_close(s, d).select("src", "dst", F.exp(-F.col("d")).alias("weight")), 3))
-register("affinity_clusters", lambda s, d: stats.affinity_groups(_close(s, d).where("src % 4 = dst % 4").select((F.col("src") % 4).alias("group"), "src", "dst", (-F.col("d")).alias("weight"))))
-register("principal_axis", lambda s, d: rounded(stats.principal_axis(points(s, d).select("label", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("xyz")]), ["label"], ("x", "y", "z")), "axis_x", "axis_y", "axis_z", "value", places=5))
+_MOM = ", ".join(f"sum({p}*{q}) AS m{i}{j}" for i, p in enumerate("xyz") for j, q in enumerate("xyz") if i <= j)
+register("principal_axis", lambda s, d: rounded(stats.principal_axis(points(s, d).select("label", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("xyz")]), ["label"], ("x", "y", "z")), "axis_x", "axis_y", "axis_z", "value", places=5), f"WITH RECURSIVE v AS (SELECT label, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z FROM embeddings), mom AS (SELECT label, {_MOM} FROM v GROUP BY 1), {axis_sql('label')} SELECT label, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("axis_x", "axis_y", "axis_z", "value")) + " FROM ax")
 
 
 def _border(spark, d):
@@ -154,6 +186,37 @@ def _euler(spark, d):
 register("euler_round_trip", _euler, "SELECT vec_id AS vertex, true AS same, true AS within FROM embeddings")
 
 
+def _euler_matrix(spark, d):
+    m = g.euler2mat(*[F.col(c) for c in "xyz"])
+    return rounded(_xyz(spark, d).select("vertex", *[m[i][j].alias(f"m{i}{j}") for i in range(3) for j in range(3)]), *[f"m{i}{j}" for i in range(3) for j in range(3)])
+
+
+_EUL = _XYZ + ", e AS (SELECT vertex, cos(x)*cos(y)*cos(z)-sin(x)*(-sin(z))*(-1) AS m00, cos(x)*cos(y)*sin(z)-sin(x)*cos(z) AS m01, cos(x)*sin(y) AS m02, sin(x)*cos(y)*cos(z)-cos(x)*sin(z) AS m10, sin(x)*cos(y)*sin(z)+cos(x)*cos(z) AS m11, sin(x)*sin(y) AS m12, -sin(y)*cos(z) AS m20, -sin(y)*sin(z) AS m21, cos(y) AS m22 FROM s) "
+_EUL = _EUL.replace("cos(x)*cos(y)*cos(z)-sin(x)*(-sin(z))*(-1)", "cos(x)*cos(y)*cos(z)+sin(x)*sin(z)")
+register("euler_matrix", _euler_matrix, _EUL + "SELECT vertex, " + ", ".join(f"round(m{i}{j}, 6) AS m{i}{j}" for i in range(3) for j in range(3)) + " FROM e")
+
+
+def _clean_euler(spark, d):
+    angles = g.clean_euler(*[F.col(c) * 3 for c in "xyz"])
+    return rounded(_xyz(spark, d).select("vertex", *[a.alias(n) for a, n in zip(angles, ("phi", "theta", "psi"), strict=True)]), "phi", "theta", "psi", places=5)
+
+
+register(
+    "clean_euler",
+    _clean_euler,
+    _EUL.replace("FROM s) ", "FROM (SELECT vertex, 3*x AS x, 3*y AS y, 3*z AS z FROM s)) ") + "SELECT vertex, round(atan2(m12, m02), 5) AS phi, round(acos(greatest(-1, least(1, m22))), 5) AS theta, round(atan2(-m21, -m20), 5) AS psi FROM e",
+)
+
+
+def _coalesced(spark, d):
+    p = points(spark, d)
+    one = lambda k, gone: p.select("vertex", *[F.when(F.col("label") == gone, F.lit(0.0)).otherwise(F.col("embedding")[k + n].cast("double")).alias(c) for n, c in enumerate("xyz")])
+    return rounded(align.coalesce_frames([one(0, 3).where("vertex % 2 = 0"), one(3, 4)], ["vertex"], ["x", "y", "z"]), "x", "y", "z")
+
+
+register("coalesce_frames", _coalesced, "SELECT vec_id AS vertex, " + ", ".join(f"round(CASE WHEN vec_id % 2 = 0 AND label <> 3 THEN CAST(embedding[{n}] AS DOUBLE) WHEN label <> 4 THEN CAST(embedding[{n + 3}] AS DOUBLE) ELSE 0.0 END, 6) AS {c}" for n, c in enumerate("xyz", 1)) + " FROM embeddings")
+
+
 def _frame(spark, d):
     df = points(spark, d).select("vertex", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(("a_x", "a_y", "a_z", "b_x", "b_y", "b_z"))])
     r, t, s = g.make_perpendicular(g.vec("a"), g.vec("b"))
@@ -180,12 +243,12 @@ def _named(spark, d):
 register("structure_names", _named, "SELECT c_custkey, ['cortex','cortex','thalamus','brain_stem'][c_nationkey % 4 + 1] AS \"primary\", ['left','right','left','both'][c_nationkey % 4 + 1] AS hemisphere, ['CortexLeft','CortexRight','ThalamusLeft','BrainStem'][c_nationkey % 4 + 1] AS gifti, 'CIFTI_STRUCTURE_' || ['CORTEX_LEFT','CORTEX_RIGHT','THALAMUS_LEFT','BRAIN_STEM'][c_nationkey % 4 + 1] AS cifti FROM customer")
 
 # spatial joins
-_PT = "pt AS (SELECT p_partkey AS point, (p_partkey % 97) / 4.0 AS x, (p_partkey % 71) / 4.0 AS y, (p_size - 25) / 10.0 AS z FROM part WHERE p_partkey < 400)"
+_PT = "pt AS (SELECT p_partkey AS point, (p_partkey % 97) / 4.0 AS x, (p_partkey % 71) / 4.0 AS y, (p_size - 25) / 10.0 AS z FROM part)"
 
 
 def _points(spark, d):
     k = F.col("p_partkey")
-    return table(spark, d, "part").where("p_partkey < 400").select(k.alias("point"), ((k % 97) / 4.0).alias("x"), ((k % 71) / 4.0).alias("y"), ((F.col("p_size") - 25) / 10.0).alias("z"))
+    return table(spark, d, "part").select(k.alias("point"), ((k % 97) / 4.0).alias("x"), ((k % 71) / 4.0).alias("y"), ((F.col("p_size") - 25) / 10.0).alias("z"))
 
 
 register(
@@ -206,8 +269,9 @@ register(
     f"WITH {SQL_MESH}, {_PT}, c AS (SELECT point, vertex, sqrt((pt.x-v.x)*(pt.x-v.x)+(pt.y-v.y)*(pt.y-v.y)+power(pt.z-v.z-least(1, greatest(0, pt.z-v.z)), 2)) AS d FROM pt, verts v), b AS (SELECT point, arg_min(vertex, (d, vertex)) AS vertex, min(d) AS d FROM c WHERE d <= 1.5 GROUP BY 1) SELECT point, b.vertex, round(b.d, 6) AS dist FROM pt LEFT JOIN b USING (point)",
 )
 register("bounding", lambda s, d: rounded(spatial.bounding(lattice(s, d), 0.5), "low_x", "low_y", "low_z"), f"WITH {SQL_MESH} SELECT " + ", ".join(f"round(min({c}), 6) AS low_{c}, CAST(greatest(1, ceil((max({c}) - min({c})) / 0.5)) AS BIGINT) AS n_{c}" for c in "xyz") + " FROM verts")
-register("voxel_triangles", lambda s, d: spatial.voxel_triangles(lattice(s, d)))
-register("voxel_hits", lambda s, d: spatial.hits_per_voxel(spatial.voxel_triangles(lattice(s, d))))
+register("voxel_triangles", lambda s, d: spatial.voxel_triangles(lattice(s, d)), f"WITH {SQL_MESH}, {SQL_VOXELS} SELECT i, j, k, face FROM hit")
+register("voxel_hits", lambda s, d: spatial.hits_per_voxel(spatial.voxel_triangles(lattice(s, d))), f"WITH {SQL_MESH}, {SQL_VOXELS} SELECT i, j, k, count(*) AS nhit FROM hit GROUP BY ALL")
+register("voxel_triangles_fine", lambda s, d: spatial.hits_per_voxel(spatial.voxel_triangles(lattice(s, d), 2.0)), f"WITH {SQL_MESH.replace('verts AS (SELECT', 'verts AS (SELECT vertex, x / 2 AS x, y / 2 AS y, z / 2 AS z FROM (SELECT', 1).replace('FROM embeddings),', 'FROM embeddings)),', 1)}, {SQL_VOXELS} SELECT i, j, k, count(*) AS nhit FROM hit GROUP BY ALL")
 
 
 def _down(spark, d):
@@ -220,8 +284,49 @@ register(
     f"WITH {SQL_MESH}, {_PT}, h AS (SELECT point, 5.0 - (az + ((pt.x-ax)*(cy-ay)-(pt.y-ay)*(cx-ax))/((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax))*(bz-az) + ((bx-ax)*(pt.y-ay)-(by_-ay)*(pt.x-ax))/((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax))*(cz-az)) AS t, ((pt.x-ax)*(cy-ay)-(pt.y-ay)*(cx-ax))/((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax)) AS u, ((bx-ax)*(pt.y-ay)-(by_-ay)*(pt.x-ax))/((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax)) AS v FROM pt, tri) "
     "SELECT pt.point AS ray, round(min(CASE WHEN u >= -1e-5 AND v >= -1e-5 AND u + v <= 1 + 2e-5 AND t >= 0 AND t <= 10 THEN t END), 4) AS t FROM pt LEFT JOIN h USING (point) GROUP BY 1",
 )
-register("inside", lambda s, d: spatial.inside(_points(s, d), lattice(s, d)))
-register("signed_distance", lambda s, d: rounded(spatial.signed_distance(_points(s, d), lattice(s, d), 2.0), "dist", places=5))
-register("enclosing_surfaces", lambda s, d: spatial.enclosing_surfaces(_points(s, d), [lattice(s, d), mesh.Mesh(_raised(lattice(s, d), 1.0), lattice(s, d).faces)]))
-register("voxel_edge_crossings", lambda s, d: spatial.voxel_edge_crossings(lattice(s, d)))
-register("point_orientation", lambda s, d: rounded(spatial.point_orientation(_points(s, d), lattice(s, d).vertices, mesh.vertex_normals(lattice(s, d))), "axis_x", "axis_y", "axis_z", "value", places=4))
+#: boxes that points are inside of or not: lower corner and size
+BOX, SMALL = ((2.1, 1.3, -1.05), (15.2, 12.4, 2.2)), ((4.1, 3.3, -0.55), (9.2, 7.4, 1.2))
+
+
+def _box(spark, box):
+    return cortex.cuboid(spark, box[1], box[0])
+
+
+def _within(box) -> str:
+    return " AND ".join(f"{c} > {lo} AND {c} < {lo + size}" for c, lo, size in zip("xyz", *box, strict=True))
+
+
+_OUT = "sqrt(" + "+".join(f"power(greatest(({lo})-{c}, 0, {c}-({lo + size})), 2)" for c, lo, size in zip("xyz", *BOX, strict=True)) + ")"
+_DEEP = "least(" + ", ".join(f"{c}-({lo}), ({lo + size})-{c}" for c, lo, size in zip("xyz", *BOX, strict=True)) + ")"
+register("inside", lambda s, d: spatial.inside(_points(s, d), _box(s, BOX)), f"WITH {_PT} SELECT point, {_within(BOX)} AS inside FROM pt")
+register("signed_distance", lambda s, d: rounded(spatial.signed_distance(_points(s, d), _box(s, BOX), 2.0), "dist", places=5), f"WITH {_PT}, d AS (SELECT point, CAST(CASE WHEN {_within(BOX)} THEN -({_DEEP}) ELSE {_OUT} END AS DOUBLE) AS dist FROM pt) SELECT point, round(CASE WHEN abs(dist) <= 2 THEN dist END, 5) AS dist FROM d")
+register("enclosing_surfaces", lambda s, d: spatial.enclosing_surfaces(_points(s, d), [_box(s, BOX), _box(s, SMALL)]), f"WITH {_PT} SELECT point, CAST({_within(BOX)} AS INTEGER) + CAST({_within(SMALL)} AS INTEGER) AS n FROM pt")
+register(
+    "voxel_edge_crossings",
+    lambda s, d: spatial.voxel_edge_crossings(lattice(s, d)),
+    f"""WITH {SQL_MESH}, {SQL_VOXELS},
+l0 AS (SELECT i, j, k, n AS dim, dx, dy, dz, i-ax sx, j-ay sy, k-az sz, bx-ax e1x, by_-ay e1y, bz-az e1z, cx-ax e2x, cy-ay e2y, cz-az e2z FROM hit JOIN tri USING (face), (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)) t(n, dx, dy, dz)),
+l1 AS (SELECT *, dy*e2z-dz*e2y hx, dz*e2x-dx*e2z hy, dx*e2y-dy*e2x hz, sy*e1z-sz*e1y qx, sz*e1x-sx*e1z qy, sx*e1y-sy*e1x qz FROM l0),
+l2 AS (SELECT *, e1x*hx+e1y*hy+e1z*hz AS det FROM l1),
+l3 AS (SELECT i, j, k, dim, (sx*hx+sy*hy+sz*hz)/det u, (dx*qx+dy*qy+dz*qz)/det v, (e2x*qx+e2y*qy+e2z*qz)/det t FROM l2 WHERE abs(det) > 1e-12)
+SELECT DISTINCT i, j, k, CAST(dim AS INTEGER) AS dim FROM l3 WHERE u >= -1e-5 AND v >= -1e-5 AND u + v <= 1 + 2e-5 AND t >= 0 AND t <= 1""",
+)
+_VN = "vn AS (SELECT vertex, sum(nx/len) sx, sum(ny/len) sy, sum(nz/len) sz FROM inc JOIN unitn USING (face) GROUP BY 1), vu AS (SELECT vertex, sx/sqrt(sx*sx+sy*sy+sz*sz) ux, sy/sqrt(sx*sx+sy*sy+sz*sz) uy, sz/sqrt(sx*sx+sy*sy+sz*sz) uz FROM vn)"
+register(
+    "point_orientation",
+    lambda s, d: rounded(spatial.point_orientation(_points(s, d), lattice(s, d).vertices, mesh.vertex_normals(lattice(s, d))), "axis_x", "axis_y", "axis_z", "value", places=4),
+    f"WITH RECURSIVE {SQL_MESH}, {_PT}, {_VN}, w AS (SELECT point, (pt.x-v.x)*(pt.x-v.x)+(pt.y-v.y)*(pt.y-v.y)+(pt.z-v.z)*(pt.z-v.z) AS d2, ux, uy, uz FROM pt, verts v JOIN vu USING (vertex)), v AS (SELECT point, ux/sqrt(d2) AS x, uy/sqrt(d2) AS y, uz/sqrt(d2) AS z FROM w WHERE d2 > 0 AND d2 <= 9), mom AS (SELECT point, {_MOM} FROM v GROUP BY 1), {axis_sql('point')} SELECT point, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("axis_x", "axis_y", "axis_z", "value")) + " FROM ax",
+)
+
+
+def _between(spark, d):
+    """Two surfaces, the outer one above the inner one, and a depth on them."""
+    m = lattice(spark, d)
+    depth = points(spark, d).select("vertex", F.col("embedding")[1].cast("double").alias("f"))
+    return m, mesh.Mesh(_raised(m, 2.0), m.faces), depth
+
+
+_FRAME = [f"{k}_{c}" for k in ("radial", "sulcal", "gyral") for c in "xyz"]
+register("orientation_closest", lambda s, d: rounded(orientation.gyral_coordinates(_points(s, d), *_between(s, d), algorithm="closest", max_dist=3.0, outside_pial=True), *_FRAME, places=4))
+register("orientation_interp", lambda s, d: rounded(orientation.gyral_coordinates(_points(s, d), *_between(s, d), algorithm="interp", max_dist=3.0, outside_pial=True), *_FRAME, places=4))
+register("orientation_line", lambda s, d: rounded(orientation.gyral_coordinates(_points(s, d), *_between(s, d), algorithm="line", max_dist=4.0, outside_pial=True, norient=12), *_FRAME, places=4))
