@@ -50,8 +50,7 @@ def temporary(spark: SparkSession):
         yield
     finally:
         for path in _scopes.pop():
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            delete(spark, path)
         free_shuffles(spark)
 
 
@@ -67,7 +66,20 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, name, keep)
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialise`` wrote down for these frames: nothing reads them any more."""
+    for df in frames:
+        delete(df.sparkSession, df.written_to)
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -106,6 +118,57 @@ def bounded_rows(rows: DataFrame, limit: int, seed: int) -> DataFrame:
     return rows.where(below_fraction(["doc_id", "text"], limit / max(1, n), seed)).dropDuplicates(["doc_id", "text"])
 
 
+BASE = 0x9E3779B97F4A7C15  #: odd, so that it has an inverse modulo 2 ** 64
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2 ** 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(x), np.uint64)]), dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(texts: list, table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts (bytes, str or None), one after another, and the offsets of the texts.
+
+    ``table`` translates bytes; what it makes a blank separates words. A word's hash is
+    a polynomial of its bytes, from running sums over all bytes at once.
+    """
+    plain = [((t.encode() if isinstance(t, str) else t) or b"").translate(table) if t else b"" for t in texts]
+    letters = np.frombuffer(b" ".join(plain) + b" ", np.uint8)
+    sizes = np.array([len(t) + 1 for t in plain], np.int64)
+    border = np.flatnonzero(np.diff(letters != 32, prepend=False, append=False))
+    start, end = border[::2], border[1::2]
+    up, down = powers(len(letters) + 1)
+    run = np.concatenate([[np.uint64(0)], np.cumsum((letters.astype(np.uint64) + np.uint64(1)) * up[: len(letters)], dtype=np.uint64)])
+    h = (run[end] - run[start]) * down[start]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h, np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
+
+
+def texts_of(batch) -> list:
+    """The texts of an Arrow batch, as bytes."""
+    import pyarrow as pa
+
+    column = batch.column("text")
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def portions(texts: list, size: int):
+    """Runs (first, last) of texts of about ``size`` bytes."""
+    first, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t or b"")
+        if total >= size:
+            yield first, i + 1
+            first, total = i + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 class WordIds(dict):
     """Bytes of a word to a feature number below ``1 << bits``, kept in a bounded cache."""
 
@@ -138,9 +201,9 @@ class Remembers:
 def add_counts(parts: DataFrame, size: int, column: str = "counts") -> np.ndarray:
     """Sum of int64 vectors, one from each partition, by way of combining tasks.
 
-    ``parts`` has one binary row for each input partition. They meet in as many tasks
-    as the square root of their number, and then in eight, so the driver gets at most
-    eight rows of ``8 * size`` bytes, whatever the input.
+    ``parts`` has one binary row for each input partition. Where there are many shuffle
+    partitions they meet in as many tasks first; then in eight, so the driver gets at
+    most eight rows of ``8 * size`` bytes, whatever the input.
     """
 
     def combine(batches):
@@ -152,8 +215,8 @@ def add_counts(parts: DataFrame, size: int, column: str = "counts") -> np.ndarra
 
         yield pd.DataFrame({column: [total.tobytes()]})
 
-    first = int(parts.rdd.getNumPartitions() ** 0.5)
-    if first > 8:
+    first = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if first > 64:
         parts = parts.repartition(first).mapInPandas(combine, f"{column} binary")
     total = np.zeros(size, np.int64)
     for r in parts.repartition(8).mapInPandas(combine, f"{column} binary").toLocalIterator():

@@ -1,19 +1,25 @@
 """Exact n-gram Jaccard self-join by vertical partitioning of the global n-gram order.
 
-The n-grams of a document are 64-bit hashes in ascending order, the global order.
-That order is cut into fragments of equal width, as many as the size class of the
-pair may differ in plus a few: similar sets then agree wholly on some fragment (in
-small classes on two), so documents that share the content of such a fragment are
-the only candidates. For a candidate pair, overlaps are counted fragment by fragment
-and summed per pair, and the sum decides.
-
-Equal sets are one class with one representative. In a large candidate group no pairs
-are formed of all with all: each member is counted against one pivot, the member with
-most common keys. Where that leaves a group in several components, members are told
-apart by what they differ from the pivot in: |x ^ y| = |(x ^ p) ^ (y ^ p)|, so two sets
-of which one is not similar to the pivot can only be similar if they share enough of
-their differences, and a prefix of the rarest differences finds those pairs. Components
-are exact; links inside a component need not all be enumerated.
+The n-grams of a document are 64-bit hashes. In the global order those come first that
+are not known to be frequent, by hash, and then the frequent ones, the rarest first.
+Of their first n-grams in that order (as many as they may lack, one, and some spare
+ones) two similar sets have one more in common than there are spare ones, so documents
+that share so many are the candidates; of n-grams that make large groups a set may leave
+out as many as are spare. A sketch of each set, of which every difference of two sets turns one bit, rules
+candidates out that differ in more bits than a similar pair may. For the pairs left,
+the order is cut into fragments, overlaps are counted fragment by fragment and summed
+per pair, and the sum decides.
+
+Which n-grams are frequent is counted within tasks; that only orders them, and any order
+gives the same links. Equal sets are one class with one representative. Pairs whose ends
+are already connected by verified ones need no count. In a group of many sets that share
+a first n-gram no pairs are formed of all with all: each member is counted against one
+pivot, the member with most such n-grams. Where that leaves a group in several
+components, members are told apart by what they differ from the pivot in:
+|x ^ y| = |(x ^ p) ^ (y ^ p)|, so two sets of which one is not similar to the pivot can
+only be similar if they share enough of their differences, and a prefix of the rarest
+differences finds those pairs. Components are exact; links inside a component need not
+all be enumerated.
 
 Defined results: null and empty texts, or texts without words, have an empty set and
 are linked with nothing, their component being their own id. With fewer words than
@@ -26,18 +32,21 @@ the input are not read.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, free_shuffles, materialise
+from .common import discard, free_shuffles, materialise, portions, texts_of, word_hashes
 from .components import component_labels
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+#: lower-cases A-Z and makes tab, line ends and the like a blank
+LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+SKETCH = 8  #: words of 64 bits of a sketch
 
 
 @dataclass(frozen=True)
@@ -46,11 +55,23 @@ class JoinParams:
 
     words: int = 5
     percent: int = 80
-    pair_keys_up_to: int = 13  #: fragments up to which keys take two of them instead of one
-    spare: int = 3  #: further fragments, and one more for every eight, of which agreement is not needed
-    common_key: int = 32  #: sets from which on a key is common
+    common_key: int = 32  #: sets from which on an n-gram is frequent, and its group large
+    spare: int = 3  #: first n-grams beyond those needed, and one more for every eight of these
+    frequent: int = 1 << 20  #: frequent n-grams known by name at most, the most frequent; others are ordered by hash
+    count_rows: int = 4_000_000  #: n-grams counted at once in a task
     count_fragments: int = 4  #: fragments in which overlaps of a pair are counted
     broadcast_ids: int = 1_000_000  #: ids sent to every task at most, else a shuffled join
+    batch_bytes: int = 1_000_000
+
+
+def needed(n: int, p: JoinParams) -> int:
+    """First n-grams of a set of n of which a similar set has one at least: as many as it may lack, and one."""
+    return n + 1 + (-p.percent * n) // 100
+
+
+def spared(n: int, p: JoinParams) -> int:
+    """First n-grams taken beyond those; no more for smaller sets."""
+    return min(p.spare + needed(n, p) // 8, n - needed(n, p))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,139 +80,133 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_known: dict[bytes, int] = {}
-
-
-def ngrams(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a whole text."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-    for w in set(words):
-        if w not in _known:
-            _known[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    k = min(k, len(h))
+def chain(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words."""
     out = np.full(len(h) - k + 1, np.uint64(k), np.uint64)
     for j in range(k):
         out = mix(out * M1 + h[j : len(h) - k + 1 + j])
-    return np.unique(out)
+    return out
 
 
-class SizeClasses:
-    """Classes of set sizes such that the sizes of a similar pair are in one class or in neighbours."""
+def ngram_sets(texts: list, k: int, batch_bytes: int = 1_000_000):
+    """Sorted distinct 64-bit hashes of the word n-grams of each whole text (bytes, str or None)."""
+    for lo, hi in portions(texts, batch_bytes):
+        h, at = word_hashes(texts[lo:hi], LOWER)
+        every = chain(h, k) if len(h) >= k else h[:0]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            g = np.sort(every[a : b - k + 1] if b - a >= k else chain(h[a:b], b - a) if b > a else h[:0])
+            yield g[np.append(True, g[1:] != g[:-1])] if len(g) > 1 else g
 
-    def __init__(self, p: JoinParams):
-        self.p, self.first = p, [1]
-        self.shape: dict[int, tuple[int, bool]] = {}
 
-    def of(self, n: int) -> int:
-        t = self.p.percent
-        while self.first[-1] <= n:
-            self.first.append(self.first[-1] * 100 // t + 1)
-        return int(np.searchsorted(self.first, n, "right")) - 1
+def ngrams(text: str | None, k: int) -> np.ndarray:
+    """The set of one text."""
+    return next(iter(ngram_sets([text], k)))
 
-    def fragments(self, c: int) -> tuple[int, int, bool]:
-        """For pairs whose larger set is of class c: number of fragments, how many more than one must agree, whether keys take two.
 
-        Such sets differ by ``differ`` n-grams at most, so they agree wholly on all
-        fragments but as many. No fragments if they must be equal.
-        """
-        if c not in self.shape:
-            t = self.p.percent
-            while len(self.first) <= c:
-                self.of(self.first[-1])
-            differ = 2 * (self.first[c] * 100 // t) * (100 - t) // (100 + t)
-            two = differ + 3 <= self.p.pair_keys_up_to
-            spare = 2 if two else self.p.spare + differ // 8
-            self.shape[c] = (differ + 1 + spare if differ else 0, spare, two)
-        return self.shape[c]
+def signature(grams: np.ndarray) -> int:
+    """64 bits that stand for a set."""
+    return int(mix(np.bitwise_xor.reduce(grams * M1)[None] + np.uint64(len(grams)))[0].astype(np.int64))
 
 
-_PAIRS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def second_signature(grams: np.ndarray) -> int:
+    return int(mix(np.add.reduce(mix(grams), dtype=np.uint64)[None])[0].astype(np.int64))
 
 
-def fragment_keys(grams: np.ndarray, classes: SizeClasses) -> list[tuple[np.ndarray, int]]:
-    """Keys in the scheme of the set's own size class and in that of the next, each with its slack.
+def sketch(grams: np.ndarray) -> list[int]:
+    """For each of some numbers of bits whether an odd number of n-grams falls on it: two sets differ in no more bits than n-grams."""
+    bits = np.bincount((mix(grams ^ M3) >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
-    Two different similar sets have in one scheme more keys in common than the slack
-    of either: so many of its keys a set may leave out, if both leave out the same.
+
+def frequent_ngrams(docs: DataFrame, p: JoinParams) -> np.ndarray:
+    """The n-grams that many texts have, as far as tasks see them repeated: the rarest first.
+
+    A task counts ``count_rows`` n-grams at a time and tells of those it meets twice;
+    their sums are n-grams of that many texts at least.
     """
-    out, c = [], classes.of(len(grams))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(grams ^ M3), dtype=np.uint64)])
-    for cls in (c, c + 1):
-        m, spare, two = classes.fragments(cls)
-        if not m:
-            out.append((np.zeros(0, np.uint64), 0))
-            continue
-        edge = (np.arange(1, m, dtype=np.uint64) << np.uint64(32)) // np.uint64(m) << np.uint64(32)
-        at = np.concatenate([[0], np.searchsorted(grams, edge), [len(grams)]])
-        number = np.arange(m, dtype=np.uint64)
-        content = mix((total[at[1:]] - total[at[:-1]]) + (number + np.uint64(m) * np.uint64(65536) + np.uint64(cls << 40)) * M1)
-        if two:  # three fragments agree, hence three pairs of fragments
-            if m not in _PAIRS:
-                ij = np.array(list(combinations(range(m), 2)))
-                _PAIRS[m] = (ij[:, 0], ij[:, 1])
-            i, j = _PAIRS[m]
-            out.append((mix(content[i] * M1 + content[j]), 2))
-        else:  # spare + 1 agree; empty ones are left out while that leaves one
-            full = at[1:] > at[:-1]
-            empty = m - int(full.sum())
-            out.append((content[full], spare - empty) if empty <= spare else (content, 0))
-    return out
 
+    def run(batches):
+        seen, held, size = set(), [], 0
 
-def read_sets(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """(doc_id, n, sig, sig2, keys0, slack0, keys1, slack1) of every row; keys once a task for each set."""
+        def told():
+            grams, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(grams[n > 1].view(np.int64)), pa.array(n[n > 1])], ["g", "n"])
+
+        for b in batches:
+            for g in ngram_sets(texts_of(b), p.words, p.batch_bytes):
+                if len(g) and (sig := signature(g)) not in seen:
+                    seen.add(sig)
+                    held.append(g)
+                    size += len(g)
+                    if size >= p.count_rows:
+                        yield told()
+                        seen, held, size = set(), [], 0
+        if held:
+            yield told()
+
+    counts = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= p.common_key).orderBy(F.col("n").desc(), "g").limit(p.frequent)
+    return top.select("g").toPandas()["g"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+
+
+def read_sets(docs: DataFrame, frequent: np.ndarray, p: JoinParams) -> DataFrame:
+    """(doc_id, bytes, n, sig, sig2, first, light, slack, sketch) of every row; the last four once a task for each set.
+
+    ``first`` has the first n-grams in the global order, of which ``light`` are not
+    frequent; ``slack`` is the least number of spare ones that it or a similar set has.
+    """
+    spark = docs.sparkSession
+    order = np.argsort(frequent)
+    shared = spark.sparkContext.broadcast((frequent[order], order))
 
     def run(batches):
-        classes, seen = SizeClasses(p), set()
+        known, rank = shared.value
+        seen = set()
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                g = ngrams(text, p.words)
+            rows, texts = [], texts_of(b)
+            for g in ngram_sets(texts, p.words, p.batch_bytes):
                 if not len(g):
-                    rows.append((0, 0, 0, None, 0, None, 0))
+                    rows.append((0, 0, 0, None, 0, 0, None))
                     continue
-                sig = signature(g)
-                sig2 = int(mix(np.add.reduce(mix(g), dtype=np.uint64)[None])[0].astype(np.int64))
-                keys = [None, 0, None, 0]
+                sig, rest = signature(g), (None, 0, 0, None)
                 if sig not in seen:
                     seen.add(sig)
-                    keys = [x for k, slack in fragment_keys(g, classes) for x in (k.astype(np.int64), slack)]
-                rows.append((len(g), sig, sig2, *keys))
-            out = pd.DataFrame(rows, columns=["n", "sig", "sig2", "keys0", "slack0", "keys1", "slack1"])
-            out.insert(0, "doc_id", b["doc_id"].values)
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, sig long, sig2 long, keys0 array<long>, slack0 int, keys1 array<long>, slack1 int")
-
-
-def signature(grams: np.ndarray) -> int:
-    """64 bits that stand for a set."""
-    return int(mix(np.bitwise_xor.reduce(grams * M1)[None] + np.uint64(len(grams)))[0].astype(np.int64))
+                    size = needed(len(g), p) + spared(len(g), p)
+                    at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
+                    heavy = known[at] == g if len(known) else np.zeros(len(g), bool)
+                    light = g[~heavy][:size]
+                    if len(light) < size:
+                        light_n, own = len(light), rank[at[heavy]]
+                        first = np.concatenate([light, g[heavy][np.argsort(own)][: size - light_n]])
+                    else:
+                        light_n, first = size, light
+                    rest = (first.view(np.int64), light_n, spared(-(-p.percent * len(g) // 100), p), sketch(g))
+                rows.append((len(g), sig, second_signature(g), *rest))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "bytes", "n", "sig", "sig2", "first", "light", "slack", "sketch"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, bytes long, n int, sig long, sig2 long, first array<long>, light int, slack int, sketch array<long>")
 
 
 def cut_fragments(docs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
-    """(sig, fragment, grams) of the sets of ``nodes`` (sig, doc_id), read again from their texts."""
-    wanted = nodes.select("doc_id", F.col("sig").alias("want"))
+    """(sig, fragment, grams) of the sets of ``nodes`` (sig, doc_id, bytes), read again from their texts."""
+    wanted = nodes.select("doc_id", "bytes", F.col("sig").alias("want"))
     if wanted.count() <= p.broadcast_ids:
         wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "want")
+    texts = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (F.octet_length(docs["text"]) == wanted["bytes"])).select("text", "want")
 
     def cut(batches):
         edges = (np.arange(1, p.count_fragments, dtype=np.uint64) << np.uint64(32)) // np.uint64(p.count_fragments) << np.uint64(32)
         for b in batches:
             rows = []
-            for text, want in zip(b["text"], b["want"], strict=True):
-                g = ngrams(text, p.words)
+            for g, want in zip(ngram_sets(texts_of(b), p.words, p.batch_bytes), b.column("want").to_pylist(), strict=True):
                 if len(g) and signature(g) == want:
-                    rows += [(want, i, part.astype(np.int64)) for i, part in enumerate(np.split(g, np.searchsorted(g, edges)))]
-            yield pd.DataFrame(rows, columns=["sig", "fragment", "grams"])
+                    rows += [(want, i, part.view(np.int64)) for i, part in enumerate(np.split(g, np.searchsorted(g, edges)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["sig", "fragment", "grams"])
 
-    return materialise(texts.mapInPandas(cut, "sig long, fragment int, grams array<long>"), "fragments")
+    return materialise(texts.mapInArrow(cut, "sig long, fragment int, grams array<long>"), "fragments")
 
 
 def as_pairs(rows: DataFrame, p: JoinParams, x: str = "x", y: str = "y", nx: str = "nx", ny: str = "ny") -> DataFrame:
@@ -218,35 +233,68 @@ def similar_pairs(pairs: DataFrame, fragments: DataFrame, p: JoinParams) -> Data
         counted = both.select("a", "b", "na", "nb", (F.col("shared") + here).alias("shared"), (F.col("differ") + F.size("ga") + F.size("gb") - 2 * here).alias("differ"))
         # repeated rows of one text give equal counts
         counted = counted.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("na", "nb", "shared", "differ")])
-        left = materialise(counted.where(F.col("differ") * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb"))), "counted")
+        before, left = left, materialise(counted.where(F.col("differ") * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb"))), "counted")
+        discard(before)
         free_shuffles(pairs.sparkSession)
     return left.where(F.col("shared") * 100 >= t * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
-def candidate_groups(sets: DataFrame, p: JoinParams) -> DataFrame:
-    """(key, sig, n, scheme, free, large) for the keys of two sets or more.
+def shared_ngrams(sets: DataFrame, p: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, sig, n, place, free) of the first n-grams of two sets or more, and (key, sig, n) of those of large groups.
 
-    A common key, one of ``common_key`` sets or more, is mostly made of a passage that
-    many texts share. A set that has no more of them than its slack does without them;
-    those left are marked large. ``free`` is the slack that is left: a similar set has
-    more keys than that in common with it that are not common.
+    Of two similar sets' first n-grams more are common than either's slack. ``free`` is
+    the slack that its n-grams in large groups leave a set: where some is left, the set
+    does without those groups, as more than ``free`` others are common with a similar set.
+    N-grams known as frequent make large groups whatever their count, so that the
+    window below has only such keys as no task met often.
     """
+    laid = sets.where("first is not null").select("sig", "n", "light", "slack", F.posexplode("first").alias("place", "key"))
     key = Window.partitionBy("key")
-    own, following = (sets.where(f"keys{i} is not null").select(F.explode(f"keys{i}").alias("key"), "sig", "n", F.col(f"slack{i}").alias("slack"), F.lit(i).alias("scheme")) for i in (0, 1))
-    rows = own.unionByName(following).withColumn("low", F.min("sig").over(key)).withColumn("high", F.max("sig").over(key)).withColumn("large", F.count(F.lit(1)).over(key) >= p.common_key)
-    rows = materialise(rows.where("low < high").drop("low", "high").distinct(), "shared-keys")
-    common = rows.where("large").groupBy("sig", "scheme").agg(F.count(F.lit(1)).alias("c"))
-    rows = rows.join(common, ["sig", "scheme"], "left").withColumn("free", F.col("slack") - F.coalesce("c", F.lit(0)))
-    return rows.where("not large or free < 0").select("key", "sig", "n", "scheme", "free", "large")
-
-
-def pairs_by_agreement(small: DataFrame, p: JoinParams) -> DataFrame:
-    """Candidates of groups that are not large: those that agree in as many keys as similar sets must."""
-    x, y = (small.select("key", F.col("sig").alias(c), F.col("free").alias(f"free_{c}"), F.col("n").alias(f"n{c}"), *([F.col("scheme")] if c == "x" else [])) for c in "xy")
-    met = x.join(y, "key").where("x > y").groupBy("x", "y", "scheme").agg(F.count(F.lit(1)).alias("keys"), *[F.first(c).alias(c) for c in ("free_x", "free_y", "nx", "ny")])
+    rows = laid.where("place < light").select("key", "sig", "n", "slack", "place")
+    rows = rows.withColumn("low", F.min("sig").over(key)).withColumn("high", F.max("sig").over(key)).withColumn("large", F.count(F.lit(1)).over(key) >= p.common_key)
+    rows = materialise(rows.where("low < high").drop("low", "high").distinct(), "shared-ngrams")
+    large = laid.where("place >= light").select("key", "sig", "n", "slack").distinct().unionByName(rows.where("large").select("key", "sig", "n", "slack"))
+    large = materialise(large, "in-large-groups")
+    taken = large.groupBy("sig").agg(F.count(F.lit(1)).alias("taken"))
+    taken = materialise(taken, "taken")
+    taken = F.broadcast(taken) if taken.count() <= p.broadcast_ids else taken
+    free = F.col("slack") - F.coalesce("taken", F.lit(0))
+    small = rows.where("not large").join(taken, "sig", "left").select("key", "sig", "n", "place", free.alias("free"))
+    return small, large.join(taken, "sig").where(free < 0).select("key", "sig", "n")
+
+
+def pairs_by_ngram(small: DataFrame, p: JoinParams) -> DataFrame:
+    """Candidates of groups that are not large: those that have as many first n-grams in common as similar sets must.
+
+    Of the smaller set fewer first n-grams are looked at, as its overlap is a larger share of it.
+    """
+    t = p.percent
+    x, y = (small.select("key", F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("place").alias(f"p{c}"), F.col("free").alias(f"free_{c}")) for c in "xy")
+    larger = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") > F.col("y")))
+    fit = F.col("ny") * 100 >= t * F.col("nx")
+    most = lambda n: n + 1 - F.ceil(t * n / 100 - 1e-9)
+    spare = F.least(p.spare + F.floor(most(F.col("ny")) / 8), F.col("ny") - most(F.col("ny")))
+    indexed = F.col("py") < F.col("ny") - F.ceil(2 * t * F.col("ny") / (100 + t) - 1e-9) + 1 + spare
+    met = x.join(y, "key").where(larger & fit & indexed).groupBy("x", "y").agg(F.count(F.lit(1)).alias("keys"), *[F.first(c).alias(c) for c in ("nx", "ny", "free_x", "free_y")])
     return as_pairs(met.where(F.col("keys") > F.greatest("free_x", "free_y", F.lit(0))), p)
 
 
+def near_pairs(pairs: DataFrame, nodes: DataFrame, p: JoinParams) -> DataFrame:
+    """Those of ``pairs`` whose sketches differ in no more bits (``bits``) than a similar pair may in n-grams."""
+    t = p.percent
+    a, b = (nodes.select(F.col("sig").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(SKETCH)])
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", bits.alias("bits"))
+    return both.where(F.col("bits") * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb")))
+
+
+def nearest_pairs(pairs: DataFrame) -> DataFrame:
+    """For each set the pair whose sketches differ least."""
+    ends = pairs.select("*", F.explode(F.array("a", "b")).alias("end"))
+    best = ends.groupBy("end").agg(F.min(F.struct("bits", "a", "b", "na", "nb")).alias("m"))
+    return best.select("m.a", "m.b", "m.na", "m.nb").distinct()
+
+
 def links_by_difference(members: DataFrame, fragments: DataFrame, p: JoinParams) -> DataFrame:
     """Similar pairs (a, b) among ``members`` (pivot, np, x, nx, label) of one pivot and different labels.
 
@@ -292,32 +340,43 @@ def ngram_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every row of ``docs`` (doc_id, text)."""
     p = p or JoinParams()
     spark = docs.sparkSession
-    sets = materialise(read_sets(docs, p), "sets")
-    classes = materialise(sets.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    groups = materialise(candidate_groups(sets, p), "groups")
+    sets = materialise(read_sets(docs, frequent_ngrams(docs, p), p), "sets")
+    small, large = shared_ngrams(sets, p)
+    large = materialise(large, "large")
     free_shuffles(spark)
-    large = groups.where("large")
     fame = large.groupBy("sig").agg(F.count(F.lit(1)).alias("fame"))
-    pivots = large.join(fame, "sig").groupBy("key").agg(F.max_by(F.struct("sig", "n"), F.struct("fame", "sig")).alias("p"))
-    stars = large.join(pivots, "key").select(F.col("sig").alias("x"), F.col("n").alias("nx"), F.col("p.sig").alias("pivot"), F.col("p.n").alias("np"))
-    stars = materialise(stars.distinct(), "stars")
-    pairs = pairs_by_agreement(groups.where("not large"), p).unionByName(as_pairs(stars.where("x <> pivot"), p, y="pivot", ny="np")).distinct()
+    pivots = large.join(fame, "sig").groupBy("key").agg(F.max(F.struct("fame", "sig", "n")).alias("p"))
+    pivots = materialise(pivots.select("key", F.col("p.sig").alias("pivot"), F.col("p.n").alias("np")), "pivots")
+    stars = large.join(F.broadcast(pivots) if pivots.count() <= p.broadcast_ids else pivots, "key")
+    stars = materialise(stars.select(F.col("sig").alias("x"), F.col("n").alias("nx"), "pivot", "np").distinct(), "stars")
+    pairs = pairs_by_ngram(small, p).unionByName(as_pairs(stars.where("x <> pivot"), p, y="pivot", ny="np")).distinct()
     pairs = materialise(pairs, "candidates")
     free_shuffles(spark)
     wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(stars.select("x")).distinct()
-    nodes = materialise(classes.select("sig", F.col("class_id").alias("doc_id")).join(wanted, "sig", "left_semi"), "nodes")
-    fragments = cut_fragments(docs, nodes, p)
-    links = materialise(similar_pairs(pairs, fragments, p), "links")
+    nodes = sets.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min(F.struct("doc_id", "bytes")).alias("d"), F.first("sketch", ignorenulls=True).alias("sketch"))
+    nodes = materialise(nodes.select("sig", "d.doc_id", "d.bytes", "sketch"), "nodes")
+    near = materialise(near_pairs(pairs, nodes, p), "near")
+    discard(pairs, large, pivots)
+    members = near.select(F.col("a").alias("sig")).union(near.select("b")).union(stars.select("x")).distinct()
+    fragments = cut_fragments(docs, nodes.join(members, "sig", "left_semi"), p)
+    free_shuffles(spark)
+    # first the nearest pair of each set; what these connect needs no further count
+    links = materialise(similar_pairs(nearest_pairs(near), fragments, p), "links")
     labels = component_labels(links)
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    apart = near.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    links, labels = more_links(links, labels, similar_pairs(apart.select("a", "b", "na", "nb"), fragments, p))
+    discard(near)
     free_shuffles(spark)
     members = stars.join(labels.withColumnRenamed("node", "x"), "x", "left").withColumn("label", F.coalesce("label", "x"))
     mixed = members.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("pivot")
     members = materialise(members.join(mixed, "pivot", "left_semi").select("pivot", "np", "x", "nx", "label"), "members")
     if not members.isEmpty():
-        links = materialise(links.unionByName(links_by_difference(members, fragments, p)), "links")
-        labels = component_labels(links)
-        free_shuffles(spark)
+        links, labels = more_links(links, labels, links_by_difference(members, fragments, p))
+    discard(fragments, stars, members)
+    free_shuffles(spark)
     # two sets of one 64-bit signature stay two classes
+    classes = materialise(sets.where("n > 0").groupBy("sig", "sig2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     least = labels.join(classes, labels.node == classes.sig).groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").join(least, "label", "left")
     named = named.select("sig", "sig2", "n", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
@@ -326,6 +385,15 @@ def ngram_components(docs: DataFrame, p: JoinParams | None = None) -> DataFrame:
     return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), whole("component_id"), whole("class_id"))
 
 
+def more_links(links: DataFrame, labels: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links so far and the components they make."""
+    found = materialise(found, "found")
+    if found.isEmpty():
+        return links, labels
+    links = materialise(links.unionByName(found), "links")
+    return links, component_labels(links)
+
+
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Components of all documents at four-word shingles and a similarity of 0.85."""
     return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), JoinParams(words=4, percent=85))
