@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordIds, add_counts, below_fraction, bounded_rows, crc_mod, csr, materialise
+from .common import WordIds, add_counts, below_fraction, bounded_rows, crc_mod, csr, discard, materialise
 from .latent import randomised_basis, times, unit
 
 BITS = 15
@@ -165,6 +165,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, p: QualityParams | None = No
 
     found = sample.mapInPandas(project, "doc_id long, quality int, terms binary, v binary").orderBy("doc_id", "terms").select("quality", "v").toPandas()
     shared.destroy()
+    discard(sample)
     if not len(found):
         return empty
     vectors = np.frombuffer(b"".join(found["v"]), np.float32).reshape(-1, p.rank)

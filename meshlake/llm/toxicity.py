@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, Remembers, below_fraction, bounded_rows, crc_mod, csr, materialise, sum_rows
+from .common import CACHE_WORDS, Remembers, below_fraction, bounded_rows, crc_mod, csr, discard, materialise, sum_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 20
@@ -171,6 +171,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
             yield pd.DataFrame({"confirmed": b["confirmed"], "at": kept})
 
     rows = sample.select("confirmed", "features").mapInPandas(places, "confirmed boolean, at binary").toPandas().sort_values(["confirmed", "at"])
+    discard(sample)
     of = lambda k: [np.frombuffer(x, np.uint16).astype(np.int32) for x in rows["at"][rows["confirmed"] == k]]
     return nnpu_fit(of(True), of(False), min(0.9, n_toxic / n_labels), p, feature)
 
