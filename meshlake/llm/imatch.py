@@ -1,17 +1,19 @@
 """I-Match fingerprints with randomised lexicons, in DataFrame functions only.
 
 Terms are the lower-case runs of letters and digits of a text. The lexicon holds the
-terms whose document frequency is within a band given as shares of the documents
+terms whose document frequency is within a band given as shares of the distinct texts
 (the band of inverse document frequencies): at most (mean distinct terms of a text)
-/ ``least_share`` terms, whatever the corpus. Of a text, the distinct terms that are
-in the lexicon are sorted, and one hash is taken of those in each of several random
-subsets of the lexicon. Subsets keep from a half to a small part of the lexicon, so
+/ ``least_share`` terms, whatever the corpus. Copies of a text count once, so that they do not push
+their own terms out. Of a text, the distinct terms that are
+in the lexicon are sorted (by their 64-bit hashes), and one hash is taken of those in each of several random
+subsets of the lexicon. A text with fewer than ``few`` terms in the band takes those
+more frequent than the band as well. Subsets keep from a half to a small part of the lexicon, so
 that both short and long texts have subsets that an edit leaves alone.
 
 Two fingerprints are alike by the share of subsets with equal hashes, among the
 subsets in which either text has a term, at the rate where that share is largest.
 
-Defined results: a text without terms of the lexicon is fingerprinted by its very
+Defined results: a text without such terms is fingerprinted by its very
 characters (``e:``); such fingerprints are alike (1) only when equal. A null text is empty. Equal texts have
 equal fingerprints; repeated rows are equal rows. Rows are ordered by doc_id (nulls
 first) and then by a hash of the text; rows equal in both count as one document and
@@ -38,7 +40,9 @@ class IMatchParams:
     least_documents: int = 2
     rates: int = 8
     each: int = 6
+    few: int = 3  #: terms in the band below which the more frequent ones are taken as well
     broadcast_terms: int = 500_000  #: terms of a lexicon sent to every task at most
+    broadcast_texts: int = 500_000  #: hashes of repeated texts sent to every task at most
 
 
 def terms(text: Column) -> Column:
@@ -46,12 +50,23 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def distinct_texts(rows: DataFrame, p: IMatchParams) -> DataFrame:
+    """Rows (doc_id, text), those of one text but for one: by a narrow table of the texts that several ids have."""
+    h = F.xxhash64("text")
+    keys = rows.select(h.alias("t"), F.xxhash64("doc_id").alias("o"))
+    several = keys.groupBy("t").agg(F.min("o").alias("one"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    several = materialise(several.select("t", "one"), "repeated")
+    several = F.broadcast(several) if several.count() <= p.broadcast_texts else several
+    own = rows.select("text", h.alias("h"), F.xxhash64("doc_id").alias("o")).join(several, F.col("h") == F.col("t"), "left")
+    return own.where(F.col("one").isNull() | (F.col("one") == F.col("o"))).select("text")
+
+
 def lexicon(texts: DataFrame, p: IMatchParams) -> DataFrame:
-    """(term, subsets): the terms within the band and the bits of the subsets they are in."""
+    """(term, h, subsets, frequent): terms within the band or more frequent, their hashes and the bits of the subsets they are in."""
     n = texts.count()
     counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     low, high = max(p.least_documents, p.least_share * n), max(p.least_documents, p.most_share * n)
-    inside = counts.where((F.col("df") >= low) & (F.col("df") <= high)).select("term")
+    inside = counts.where(F.col("df") >= low).select("term", F.xxhash64("term").alias("h"), (F.col("df") > high).alias("frequent"))
     bits = F.lit(0).cast("long")
     for k in range(p.rates * p.each):
         rate = 2 ** (k // p.each + 1)
@@ -61,23 +76,27 @@ def lexicon(texts: DataFrame, p: IMatchParams) -> DataFrame:
     return F.broadcast(found) if found.count() <= p.broadcast_terms else found
 
 
-def fingerprint(found: Column, p: IMatchParams) -> Column:
-    """The fingerprint of a text with these terms of the lexicon (sorted array of term, subsets)."""
+#: What ``xxhash64`` gives for an empty array: its fixed seed.
+NONE = 42
 
-    def hashed(some: Column) -> Column:
-        joined = F.concat_ws(" ", F.transform(some, lambda t: t["term"]))
-        return F.when(joined == "", F.lit("-")).otherwise(F.substring(F.md5(joined), 1, 8))
 
-    def of_rate(r: int) -> Column:
+def fingerprint(found: Column, p: IMatchParams) -> Column:
+    """The fingerprint of a text with these terms of the lexicon (sorted array of h, subsets, frequent)."""
+    inside = lambda t, m: t["subsets"].bitwiseAND(m) != F.lit(0).cast("long")
+
+    def of_rate(chosen: Column, r: int) -> Column:
         """Hashes of a rate's subsets, among the terms that are in any of them."""
         bits = [1 << (r * p.each + i) for i in range(p.each)]
-        inside = lambda t, m: t["subsets"].bitwiseAND(m) != F.lit(0).cast("long")
-        some = F.filter(found, lambda t: inside(t, F.lit(sum(bits)).cast("long")))
+        some = F.filter(chosen, lambda t: inside(t, F.lit(sum(bits)).cast("long")))
         masks = F.array(*[F.lit(x).cast("long") for x in bits])
         # the array of one binds the filtered terms, so that they are not filtered anew for each subset
-        return F.flatten(F.transform(F.array(some), lambda s: F.transform(masks, lambda m: hashed(F.filter(s, lambda t: inside(t, m))))))
+        return F.flatten(F.transform(F.array(some), lambda s: F.transform(masks, lambda m: F.xxhash64(F.filter(s, lambda t: inside(t, m))))))
 
-    return F.when(F.size(found) > 0, F.concat(F.lit("i:"), F.concat_ws(".", *[of_rate(r) for r in range(p.rates)])))
+    band = F.filter(found, lambda t: ~t["frequent"])
+    chosen = F.transform(F.array(F.struct(band.alias("band"), found.alias("every"))), lambda x: F.when(F.size(x["band"]) >= p.few, x["band"]).otherwise(x["every"]))
+    hashes = F.flatten(F.transform(chosen, lambda c: F.concat(*[of_rate(c, r) for r in range(p.rates)])))
+    parts = F.transform(hashes, lambda h: F.when(h == NONE, F.lit("-")).otherwise(F.substring(F.lpad(F.lower(F.hex(h)), 16, "0"), 9, 8)))
+    return F.when(F.size(found) > 0, F.concat(F.lit("i:"), F.concat_ws(".", parts)))
 
 
 def fingerprints(texts: DataFrame, words: DataFrame, p: IMatchParams) -> DataFrame:
@@ -89,8 +108,8 @@ def fingerprints(texts: DataFrame, words: DataFrame, p: IMatchParams) -> DataFra
     first = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.concat(F.coalesce("fact", F.lit("")), F.lit("/"), F.md5("text")).alias("fact")))
     rest = F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("fact")))
     laid = texts.select("kid", "h", "kind", F.explode(F.concat(first, rest)).alias("x")).select("kid", "h", "kind", "x.term", "x.fact")
-    met = laid.join(words, "term", "left").where("subsets is not null or fact is not null")
-    entry = F.when(F.col("subsets").isNotNull(), F.struct("term", "subsets"))
+    met = laid.join(words.withColumnRenamed("h", "word"), "term", "left").where("subsets is not null or fact is not null")
+    entry = F.when(F.col("subsets").isNotNull(), F.struct(F.col("word").alias("h"), "subsets", "frequent"))
     out = met.groupBy("kid", "h", "kind").agg(F.sort_array(F.collect_set(entry)).alias("found"), F.max("fact").alias("fact"))
     fact, plain = F.substring_index("fact", "/", 1), F.substring_index("fact", "/", -1)
     return out.select("kid", "h", "kind", fact.alias("fact"), F.coalesce(fingerprint(F.col("found"), p), F.concat(F.lit("e:"), plain)).alias("fingerprint"))
@@ -141,7 +160,7 @@ def edited_fingerprints(docs: DataFrame, p: IMatchParams | None = None) -> DataF
     p = p or IMatchParams()
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = lexicon(rows, p)
+    words = lexicon(distinct_texts(rows, p), p)
     # keys without nulls: whether there is an id is part of the text's hash
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("kid"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
     keys = rows.groupBy("doc_id", "kid", "h").agg(F.first(F.length("text")).cast("long").alias("n"), F.count(F.lit(1)).alias("times"))
