@@ -201,7 +201,27 @@ def _smooth_sql(steps: list[float]) -> str:
 
 
 register("mesh_smooth", on_mesh(lambda m: rounded(mesh.smooth(m, 2, 0.5, expand=-0.4, settle=graph.settle).vertices, "x", "y", "z")), f"WITH {SQL_MESH}, {_smooth_sql([0.5, -0.4, 0.5, -0.4])} SELECT vertex, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s4 WHERE vertex IN (SELECT vertex FROM inc)")
-register("mesh_smooth_adaptive", on_mesh(lambda m: rounded(mesh.smooth(m, 2, 0.5, settle=graph.settle).vertices, "x", "y", "z")))
+
+
+def _adaptive_sql(steps: int, step: float) -> str:
+    """Smoothing steps, each followed by one that undoes its shrinking by how much normals vary around a vertex."""
+    out, before = [], "verts"
+    for n in range(1, steps + 1):
+        out.append(_smooth_sql([step]).replace("n1 ", f"na{n} ").replace("s1 ", f"sa{n} ").replace("FROM verts v", f"FROM {before} v").replace("JOIN verts ON", f"JOIN {before} ON"))
+        now = f"sa{n}"
+        out.append(
+            f"tr{n} AS (SELECT face, (q.y-p.y)*(r.z-p.z)-(q.z-p.z)*(r.y-p.y) nx, (q.z-p.z)*(r.x-p.x)-(q.x-p.x)*(r.z-p.z) ny, (q.x-p.x)*(r.y-p.y)-(q.y-p.y)*(r.x-p.x) nz FROM faces JOIN {now} p ON p.vertex = a JOIN {now} q ON q.vertex = b JOIN {now} r ON r.vertex = c), "
+            f"fu{n} AS (SELECT face, nx/sqrt(nx*nx+ny*ny+nz*nz) nx, ny/sqrt(nx*nx+ny*ny+nz*nz) ny, nz/sqrt(nx*nx+ny*ny+nz*nz) nz FROM tr{n}), "
+            f"vs{n} AS (SELECT vertex, sum(nx) sx, sum(ny) sy, sum(nz) sz FROM inc JOIN fu{n} USING (face) GROUP BY 1), "
+            f"qs{n} AS (SELECT vertex, -{step} / (2 * {step} * avg(1 - power((nx*sx+ny*sy+nz*sz)/sqrt(sx*sx+sy*sy+sz*sz), 2)) + 1) AS k FROM inc JOIN fu{n} USING (face) JOIN vs{n} USING (vertex) GROUP BY 1), "
+            f"nb{n} AS (SELECT src AS vertex, avg(x) x, avg(y) y, avg(z) z FROM edges JOIN {now} ON vertex = dst GROUP BY 1), "
+            f"sb{n} AS (SELECT v.vertex, " + ", ".join(f"coalesce(k * n.{c} + (1 - k) * v.{c}, v.{c}) AS {c}" for c in "xyz") + f" FROM {now} v LEFT JOIN nb{n} n USING (vertex) LEFT JOIN qs{n} USING (vertex))"
+        )
+        before = f"sb{n}"
+    return ", ".join(out)
+
+
+register("mesh_smooth_adaptive", on_mesh(lambda m: rounded(mesh.smooth(m, 2, 0.5, settle=graph.settle).vertices, "x", "y", "z")), f"WITH {SQL_MESH}, {_adaptive_sql(2, 0.5)} SELECT vertex, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM sb2 WHERE vertex IN (SELECT vertex FROM inc)")
 register("mesh_inflate", on_mesh(lambda m: rounded(mesh.inflate(m, shift=0.5).vertices, "x", "y", "z")), f"WITH {SQL_MESH}, {_VN} SELECT v.vertex, round(x + coalesce(0.5*sx/sqrt(sx*sx+sy*sy+sz*sz), 0), 6) AS x, round(y + coalesce(0.5*sy/sqrt(sx*sx+sy*sy+sz*sz), 0), 6) AS y, round(z + coalesce(0.5*sz/sqrt(sx*sx+sy*sy+sz*sz), 0), 6) AS z FROM verts v LEFT JOIN vn USING (vertex)")
 register("mesh_plane_crossings", on_mesh(lambda m: rounded(mesh.plane_crossings(m, (0.0, 3.5, 0.0), (0.0, 1.0, 0.0)), "x", "y", "z")), f"WITH {SQL_MESH}, de AS (SELECT face, least(i.vertex, j.vertex) u, greatest(i.vertex, j.vertex) v FROM inc i JOIN inc j USING (face) WHERE i.vertex < j.vertex) SELECT face, u, v, round(p.x+(q.x-p.x)*(p.y-3.5)/((p.y-3.5)-(q.y-3.5)), 6) AS x, round(p.y+(q.y-p.y)*(p.y-3.5)/((p.y-3.5)-(q.y-3.5)), 6) AS y, round(p.z+(q.z-p.z)*(p.y-3.5)/((p.y-3.5)-(q.y-3.5)), 6) AS z FROM de JOIN verts p ON p.vertex = u JOIN verts q ON q.vertex = v WHERE (p.y < 3.5) <> (q.y < 3.5)")
 
@@ -277,10 +297,38 @@ e AS (SELECT src, dst FROM edges JOIN m p ON p.vertex = src JOIN m q ON q.vertex
 reach(vertex, component) AS (SELECT vertex, vertex FROM m UNION SELECT e.dst, r.component FROM reach r JOIN e ON e.src = r.vertex)
 SELECT vertex, min(component) AS component FROM reach GROUP BY 1""",
 )
-register("voronoi_parcels", lambda s, d: graph.voronoi_parcels(lattice(s, d).vertices, mesh.edges(lattice(s, d), weight="distance"), 2))
 
 
-register("kmedoids", lambda s, d: graph.kmedoids(stats.close_pairs(features(s, d)), 4))
+def _walk_sql(name: str, start: str) -> str:
+    """Common table expressions of the distances along edges from one vertex: d<name> (vertex, dist)."""
+    return f"""w{name}(vertex, dist, step) AS (
+  SELECT vertex, CAST(0 AS DOUBLE), 0 FROM ({start})
+  UNION ALL
+  SELECT vertex, dist, step FROM (SELECT e.dst AS vertex, min(w.dist + e.w) AS dist, w.step + 1 AS step FROM w{name} w JOIN ew e ON e.src = w.vertex WHERE w.step < 80 GROUP BY e.dst, w.step)
+), d{name} AS (SELECT vertex, min(dist) AS dist FROM w{name} GROUP BY 1)"""
+
+
+register(
+    "voronoi_parcels",
+    lambda s, d: graph.voronoi_parcels(lattice(s, d).vertices, mesh.edges(lattice(s, d), weight="distance"), 2),
+    f"WITH RECURSIVE {SQL_MESH}, {_EW}, {_walk_sql('0', 'SELECT CAST(0 AS BIGINT) AS vertex')}, {_walk_sql('1', 'SELECT arg_max(vertex, (dist, -vertex)) AS vertex FROM d0')} SELECT vertex, CAST(CASE WHEN d0.dist <= d1.dist THEN 0 ELSE 1 END AS INTEGER) AS parcel FROM d0 JOIN d1 USING (vertex)",
+)
+
+
+def _medoids_sql(k: int, loops: int) -> str:
+    """Medoid clustering with its loops written out; once labels stay, further loops change nothing."""
+    out = [
+        "f AS (SELECT vec_id AS v, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "d AS (SELECT a.v AS src, b.v AS dst, list_distance(a.e, b.e) AS d FROM f a, f b)",
+        "sh AS (SELECT src, dst, d / sum(d) OVER (PARTITION BY src) AS s FROM d)", f"c0 AS (SELECT dst AS center FROM sh GROUP BY 1 ORDER BY sum(s), dst LIMIT {k})",
+    ]
+    for n in range(1, loops + 1):
+        out.append(f"l{n} AS (SELECT src AS vertex, arg_min(dst, (d, dst)) AS center FROM d JOIN c{n - 1} ON center = dst GROUP BY 1)")
+        out.append(f"k{n} AS (SELECT p.center, src AS v, sum(d) AS cost FROM d JOIN l{n} p ON p.vertex = src JOIN l{n} q ON q.vertex = dst AND q.center = p.center GROUP BY 1, 2)")
+        out.append(f"c{n} AS (SELECT arg_min(v, (cost, v)) AS center FROM k{n} GROUP BY k{n}.center)")
+    return f"WITH {', '.join(out)} SELECT vertex, center FROM l{loops}"
+
+
+register("kmedoids", lambda s, d: graph.kmedoids(stats.close_pairs(features(s, d)), 4), _medoids_sql(4, 6))
 
 
 def _smooth_values(spark, d):

@@ -102,6 +102,21 @@ _RK = "WITH r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER
 register("spearman", lambda s, d: rounded(stats.spearman(*_rank_inputs(s, d), ["event_type"]), "rho"), _RK + "SELECT event_type, round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1")
 
 
+def _feature_groups(spark, d):
+    """Rank correlations of event values and users, over all events and over those of each structure group."""
+    e = table(spark, d, "events")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("CORTEX_LEFT", "CORTEX_RIGHT", "THALAMUS_LEFT", "BRAIN_STEM")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return rounded(stats.grouped_spearman(*_rank_inputs(spark, d), ["event_type"], e.select(F.col("event_id").alias("feature"), name.alias("structure"))), "rho")
+
+
+_TAGS = "s AS (SELECT event_id, event_type, value, user_id, ['CORTEX_LEFT','CORTEX_RIGHT','THALAMUS_LEFT','BRAIN_STEM'][event_id % 4 + 1] AS s FROM events), t AS (SELECT 'full' AS g, * FROM s UNION ALL SELECT s, * FROM s WHERE s LIKE '%CORTEX%' UNION ALL SELECT 'cortex', * FROM s WHERE s LIKE '%CORTEX%' UNION ALL SELECT 'sub_cortical', * FROM s WHERE s NOT LIKE '%CORTEX%' UNION ALL SELECT 'left', * FROM s WHERE s LIKE '%LEFT' UNION ALL SELECT 'right', * FROM s WHERE s LIKE '%RIGHT')"
+register(
+    "spearman_groups",
+    _feature_groups,
+    f"WITH {_TAGS}, r AS (SELECT event_type, g, rank() OVER (PARTITION BY event_type, g ORDER BY value) + (count(*) OVER (PARTITION BY event_type, g, value) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY event_type, g ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, g, user_id) - 1) / 2.0 AS ry FROM t) SELECT event_type, g AS \"group\", round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1, 2",
+)
+
+
 def _structures(spark, d):
     name = F.element_at(F.array(*[F.lit(x) for x in ("CORTEX_LEFT", "CORTEX_RIGHT", "THALAMUS_LEFT", "BRAIN_STEM")]), (F.col("c_nationkey") % 4 + 1).cast("int"))
     return table(spark, d, "customer").select("c_custkey", "c_acctbal", name.alias("structure"))
