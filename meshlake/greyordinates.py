@@ -135,3 +135,8 @@ class GreyOrdinates:
         """A new chunked array without values, to be filled by ``zarr.append``."""
         n = len(rows["names"]) if "names" in rows else rows["size"] if "size" in rows else len(rows["elements"])
         zarr.create(spark, path, [rows, elements], (n, len(elements["elements"])), dtype=dtype)
+
+
+def convert(spark: SparkSession, source: str, target: str) -> None:
+    """Write what one file holds as another, each in the format that its name says."""
+    GreyOrdinates.from_filename(spark, source).to_filename(target)

@@ -301,6 +301,42 @@ def fit_sigmoid(points: DataFrame, rounds: int = 60, rate: float = 0.5) -> tuple
             break
     return float(d0), float(np.exp(log_sigma))
 
+def radial_transition(points: DataFrame, edges: DataFrame, min_dist: float = -2.0, smooth_weight: float = 0.7, rounds: int = 40, damping: float = 0.7) -> DataFrame:
+    """(vertex, offset, log_width, width) of the sigmoid in distance that the radial index follows around each vertex.
+
+    ``points`` (vertex, dist, radial_index) are voxels with their nearest vertex and
+    signed distance; those at ``min_dist`` or below, at distance 0 or with an index of 0, NaN or
+    null take no part. A round takes a damped Gauss-Newton step for every vertex, in
+    which offset and log width are held to the mean of the neighbours' values of the round before
+    by ``smooth_weight``. Vertices without voxels follow their neighbours.
+    """
+    r = F.abs("radial_index")
+    use = points.where((F.col("dist") > min_dist) & (F.col("dist") != 0) & (r > 0) & ~F.isnan("radial_index")).select("vertex", "dist", r.alias("r"))
+    use, near = settle(use), settle(edges.select("src", "dst").distinct())
+    nodes = near.select(F.col("src").alias("vertex")).union(use.select("vertex")).distinct()
+    now = settle(nodes.select("vertex", F.lit(0.5).alias("d"), F.lit(-0.5).alias("s")))
+    for _ in range(rounds):
+        z = (F.col("dist") - F.col("d")) / F.exp("s")
+        y = 1 / (1 + F.exp(-z))
+        e, slope = y - F.col("r"), y * (1 - y)
+        jd, js = -slope / F.exp("s"), -slope * z
+        sums = use.join(now, "vertex").groupBy("vertex").agg(*[F.sum(t).alias(n) for n, t in (("dd", jd * jd), ("ds", jd * js), ("ss", js * js), ("de", jd * e), ("se", js * e))])
+        mean = near.join(now.select(F.col("vertex").alias("dst"), "d", "s"), "dst").groupBy(F.col("src").alias("vertex")).agg(F.avg("d").alias("md"), F.avg("s").alias("ms"))
+        both = now.join(sums, "vertex", "left").join(mean, "vertex", "left")
+        c = lambda k: F.coalesce(F.col(k), F.lit(0.0))
+        w = F.when(F.col("md").isNotNull(), float(smooth_weight)).otherwise(0.0) + 1e-9
+        gd, gs = c("de") + w * (F.col("d") - F.coalesce("md", "d")), c("se") + w * (F.col("s") - F.coalesce("ms", "s"))
+        a, b, k = c("dd") + w, c("ds"), c("ss") + w
+        det = a * k - b * b
+        bounded = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+        step_d, step_s = bounded((k * gd - b * gs) / det), bounded((a * gs - b * gd) / det)
+        new = settle(both.select("vertex", (F.col("d") - damping * step_d).alias("d"), (F.col("s") - damping * step_s).alias("s"), F.greatest(F.abs(step_d), F.abs(step_s)).alias("moved")))
+        largest = new.agg(F.max("moved")).first()[0]
+        now = new.drop("moved")
+        if largest is None or largest < 1e-7:
+            break
+    return now.select("vertex", F.col("d").alias("offset"), F.col("s").alias("log_width"), F.exp("s").alias("width"))
+
 def two_parts(weight: np.ndarray) -> np.ndarray:
     """0 or 1 for each row of a symmetric matrix of similarities: the sign of the second vector of its normalised Laplacian."""
     degree = weight.sum(1)

@@ -284,3 +284,21 @@ def test_searchlight_border(spark):
     parcels = spark.createDataFrame([(i, run, i // (12 - 4 * run)) for i in range(n) for run in (0, 1)], "vertex long, run int, parcel int")
     border = {r["vertex"]: r["border"] for r in stats.searchlight(e, v, parcels).collect()}
     assert border[5] == border[6] == max(border.values()) and border[5] == 1.0 and border[0] == 0.0
+
+
+def test_radial_transition(spark):
+    d = np.linspace(-1.9, 4, 40)
+    rows = [(v, float(x), float(1 / (1 + np.exp(-(x - 0.8 - 0.1 * v) / 0.6)))) for v in range(3) for x in d if x != 0] + [(0, -5.0, 1.0), (1, 1.0, None)]
+    points = spark.createDataFrame(rows, "vertex long, dist double, radial_index double")
+    edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)], "src long, dst long")
+    got = {r["vertex"]: r for r in stats.radial_transition(points, edges, smooth_weight=1e-4).collect()}
+    assert [got[v]["offset"] for v in range(3)] == pytest.approx([0.8, 0.9, 1.0], abs=0.02) and got[1]["width"] == pytest.approx(0.6, abs=0.02)
+    assert got[3]["offset"] == pytest.approx(1.0, abs=0.05)
+
+
+def test_convert(spark, tmp_path):
+    from meshlake.greyordinates import convert
+
+    grey(spark).to_filename(f"{tmp_path}/a.zarr")
+    convert(spark, f"{tmp_path}/a.zarr", f"{tmp_path}/b.dscalar.nii")
+    assert entries(GreyOrdinates.from_filename(spark, f"{tmp_path}/b.dscalar.nii")) == entries(grey(spark))

@@ -12,6 +12,9 @@ NAMES = [
     "mesh_vertex_gradient", "mesh_submesh_faces", "layer_vertex_wedges", "gyral_bias", "align_combine", "align_stack", "natural_join_outer",
     "parcel_product", "shells", "discretise_number", "discretise_weight", "discretise_regular", "even_slices", "spearman", "pearson",
     "structure_groups", "nearest_vertex", "nearest_segment", "euler_round_trip", "gyral_frame", "structure_names", "ray_hits",
+    "euler_matrix", "clean_euler", "surface_step", "plane_section", "mesh_clean", "gradient_partial", "gradient_correlation_mean", "voxel_hits", "voxel_edge_crossings",
+    "signed_distance", "enclosing_surfaces", "dbscan", "principal_axis", "point_orientation", "connectome_slice", "discretise_zeros", "anti_join", "spearman_groups",
+    "coalesce_frames", "smooth_values", "mesh_smooth_adaptive",
 ]
 
 
