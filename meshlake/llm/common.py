@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
 import uuid
 import zlib
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries kept in a worker's word cache before it starts anew.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
+#: Rows that travel to a Python worker at once, at most.
+BATCH_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let at most BATCH_ROWS rows travel to Python at once, in this session from now on.
+
+    Texts may be long: the default of 10,000 rows can be gigabytes in a worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 _scopes: list[list[str]] = []
 
 
@@ -64,6 +77,7 @@ def unused(name: str, taken: list[str]) -> str:
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     spark, schema = df.sparkSession, df.schema
+    bound_batches(spark)
     path = scratch(spark, name, keep)
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
@@ -89,6 +103,8 @@ def free_shuffles(spark: SparkSession) -> None:
     driver may not do before its executors' disks are full.
     """
     gc.collect()
+    with suppress(OSError, AttributeError):  # what Python has freed goes back to the system, where the C library can do that
+        ctypes.CDLL(None).malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -125,7 +141,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, modulo 2 ** 64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, np.uint64(x), np.uint64)]), dtype=np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
 
@@ -215,6 +231,7 @@ def add_counts(parts: DataFrame, size: int, column: str = "counts") -> np.ndarra
 
         yield pd.DataFrame({column: [total.tobytes()]})
 
+    bound_batches(parts.sparkSession)
     first = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if first > 64:
         parts = parts.repartition(first).mapInPandas(combine, f"{column} binary")

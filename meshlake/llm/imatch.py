@@ -105,7 +105,8 @@ def fingerprints(texts: DataFrame, words: DataFrame, p: IMatchParams) -> DataFra
     The rows of a text stay in their task: its terms are laid out, met with the
     lexicon and put together again under the partitioning the rows came with.
     """
-    first = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.concat(F.coalesce("fact", F.lit("")), F.lit("/"), F.md5("text")).alias("fact")))
+    # the row that carries the fact has a term of its own that no lexicon has, so that such rows don't meet in one task
+    first = F.array(F.struct(F.concat(F.lit(" "), F.col("h").cast("string")).alias("term"), F.concat(F.coalesce("fact", F.lit("")), F.lit("/"), F.md5("text")).alias("fact")))
     rest = F.transform(terms(F.col("text")), lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("fact")))
     laid = texts.select("kid", "h", "kind", F.explode(F.concat(first, rest)).alias("x")).select("kid", "h", "kind", "x.term", "x.fact")
     met = laid.join(words.withColumnRenamed("h", "word"), "term", "left").where("subsets is not null or fact is not null")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, Remembers, below_fraction, crc_mod, csr, sum_rows
+from .common import CACHE_WORDS, Remembers, below_fraction, bound_batches, crc_mod, csr, sum_rows
 
 BITS = 17
 WORD = re.compile(r"[^\W\d_]+")
@@ -312,6 +312,7 @@ def fit_langid(docs: DataFrame, p: LangParams | None = None, train=None) -> Lang
 
 def predict_language(docs: DataFrame, model: LangModel, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of each row, with the language of its whole text and its score."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
 

@@ -58,10 +58,10 @@ class JoinParams:
     common_key: int = 32  #: sets from which on an n-gram is frequent, and its group large
     spare: int = 3  #: first n-grams beyond those needed, and one more for every eight of these
     frequent: int = 1 << 20  #: frequent n-grams known by name at most, the most frequent; others are ordered by hash
-    count_rows: int = 4_000_000  #: n-grams counted at once in a task
+    count_rows: int = 1_500_000  #: n-grams counted at once in a task
     count_fragments: int = 4  #: fragments in which overlaps of a pair are counted
     broadcast_ids: int = 1_000_000  #: ids sent to every task at most, else a shuffled join
-    batch_bytes: int = 1_000_000
+    batch_bytes: int = 250_000
 
 
 def needed(n: int, p: JoinParams) -> int:
@@ -88,7 +88,7 @@ def chain(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def ngram_sets(texts: list, k: int, batch_bytes: int = 1_000_000):
+def ngram_sets(texts: list, k: int, batch_bytes: int = 250_000):
     """Sorted distinct 64-bit hashes of the word n-grams of each whole text (bytes, str or None)."""
     for lo, hi in portions(texts, batch_bytes):
         h, at = word_hashes(texts[lo:hi], LOWER)

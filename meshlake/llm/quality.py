@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordIds, add_counts, below_fraction, bounded_rows, crc_mod, csr, discard, materialise
+from .common import WordIds, add_counts, below_fraction, bound_batches, bounded_rows, crc_mod, csr, discard, free_shuffles, materialise
 from .latent import randomised_basis, times, unit
 
 BITS = 15
@@ -166,6 +166,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, p: QualityParams | None = No
     found = sample.mapInPandas(project, "doc_id long, quality int, terms binary, v binary").orderBy("doc_id", "terms").select("quality", "v").toPandas()
     shared.destroy()
     discard(sample)
+    free_shuffles(spark)
     if not len(found):
         return empty
     vectors = np.frombuffer(b"".join(found["v"]), np.float32).reshape(-1, p.rank)
@@ -174,6 +175,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, p: QualityParams | None = No
 
 def score_quality(docs: DataFrame, model: QualityModel, keep: list[str], threshold: float = 0.7, names: tuple[str, str] = ("quality_score", "quality_predicted")) -> DataFrame:
     """Columns ``keep`` of each row, with score and decision of its whole text in columns ``names``."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, Remembers, below_fraction, bounded_rows, crc_mod, csr, discard, materialise, sum_rows
+from .common import CACHE_WORDS, Remembers, below_fraction, bound_batches, bounded_rows, crc_mod, csr, discard, free_shuffles, materialise, sum_rows
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 20
@@ -172,12 +172,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
 
     rows = sample.select("confirmed", "features").mapInPandas(places, "confirmed boolean, at binary").toPandas().sort_values(["confirmed", "at"])
     discard(sample)
+    free_shuffles(spark)
     of = lambda k: [np.frombuffer(x, np.uint16).astype(np.int32) for x in rows["at"][rows["confirmed"] == k]]
     return nnpu_fit(of(True), of(False), min(0.9, n_toxic / n_labels), p, feature)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: float = 0.5, names: tuple[str, str] = ("toxicity_score", "toxicity_predicted")) -> DataFrame:
     """Columns ``keep`` of each row, with score and decision of its whole text in columns ``names``."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
 
