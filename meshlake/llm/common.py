@@ -12,6 +12,7 @@ import zlib
 from contextlib import contextmanager, suppress
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,7 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     bound_batches(spark)
     path = scratch(spark, name, keep)
     df.write.parquet(path)
+    trim_jvm(spark)
     out = spark.read.schema(schema).parquet(path)
     out.written_to = path
     return out
@@ -106,6 +108,23 @@ def free_shuffles(spark: SparkSession) -> None:
     with suppress(OSError, AttributeError):  # what Python has freed goes back to the system, where the C library can do that
         ctypes.CDLL(None).malloc_trim(0)
     spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> None:
+    """Let the driver's JVM give freed native memory back to the system, where it can do that.
+
+    Its compiler and buffers take and free such memory in many threads, and the C library
+    keeps what is free between what is in use: hundreds of MB beside the heap in a long job.
+    """
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    with suppress(Py4JError):
+        # the server's own class is not open to reflection, its interface is
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        given = new(jvm.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        given[2], given[3] = new(jvm.Object, 0), new(jvm.String, 0)
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 def crc_mod(column: str, n: int):

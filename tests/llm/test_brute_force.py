@@ -219,3 +219,26 @@ def test_stages_keep_what_their_operators_say(spark, docs):
     assert ids(stages["decontamination"](spark, some, D)) == sorted(r["doc_id"] for r in rows if r["doc_id"] not in leaks)
     packed = stages["packing"](spark, some, D)
     assert packed.select("doc_id").distinct().count() == len(rows)
+
+
+def test_freed_native_memory_of_the_driver_goes_back(spark):
+    """Blocks that the JVM frees between others in use leave its resident memory once shuffles are freed."""
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident():
+        with open(f"/proc/{pid}/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    for _ in range(3):
+        jvm.System.gc()
+    blocks = [jvm.java.util.zip.Deflater() for _ in range(600)]
+    for i, b in enumerate(blocks):
+        if i % 20:
+            b.end()
+    jvm.System.gc()
+    before = resident()
+    common.free_shuffles(spark)
+    assert resident() < before - 30
+    for b in blocks:
+        b.end()
