@@ -4,7 +4,7 @@ Texts are cut into passages of two neighbouring blocks of words, benchmark items
 passages of that length. Passages are weighted by TF-IDF with document frequencies of
 the whole corpus (words of items weigh no less than by their frequency among the items,
 however many rows hold them), and projected on the leading singular vectors that a distributed
-randomised SVD finds for a sample of corpus passages together with the items. Every
+randomised SVD finds for all passages of the corpus together with all items. Every
 passage of every document is compared with all items by the cosine of their latent
 vectors. Of these candidates go on those whose surroundings hold enough of the item's
 informative words at all, which no passage that alignment accepts can lack.
@@ -14,8 +14,7 @@ of its informative words stand there in order; below ``copy`` also most of its
 answer (the column ``answer`` if the benchmark has it, else the item's last words),
 so that paraphrases count and chance overlaps do not.
 
-The sample of the SVD is bounded (``sample`` passages); frequencies, search and
-alignment cover all rows and whole texts. Items are searched in blocks of
+Frequencies, SVD, search and alignment cover all rows and whole texts. Items are searched in blocks of
 ``block_items`` passages, so any number of items can be given. Tests measure the
 recall of the candidates against alignment of all passages.
 
@@ -31,16 +30,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_counts, below_fraction, csr, discard, free_shuffles, materialise, portions, sum_rows, texts_of, word_hashes
-from .latent import randomised_basis, unit
+from .common import add_counts, bound_batches, csr, free_shuffles, portions, texts_of, word_hashes
+from .latent import gathered_sums, nystrom_basis, unit
 
 BITS = 15
 SIZE = 1 << BITS
+FIXED = float(1 << 40)  #: of fixed-point sums; their weights together stay below 2 ** 20
 #: lower-cases A-Z and makes ASCII punctuation and controls a blank
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
 
@@ -50,7 +49,7 @@ class LeakParams:
     block: int = 16  #: words of a block; a passage is two
     rank: int = 64
     rounds: int = 2  #: power iterations
-    sample: int = 8_000  #: corpus passages and items in the SVD, about, each
+    corpus: int = 8_000  #: weight of all corpus passages together in the SVD, in passages; items weigh as so many at most
     item_weight: int = 64  #: weight of an item's passage in the SVD against one of the corpus
     plain: float = 0.1  #: words of no item in more than this share of the documents have no weight
     few: int = 20  #: words in no more documents than this always count
@@ -110,23 +109,23 @@ def passages(at: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return starts[first], ends[np.minimum(first + (whole[first] > 1), len(ends) - 1)] if len(first) else ends[:0]
 
 
-def latent(ids: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray, weight: np.ndarray, block: int) -> np.ndarray:
-    """Sums of the table's rows over the words of passages, each block summed once; words without weight are left out."""
+def halves(start: np.ndarray, end: np.ndarray, block: int, n: int) -> tuple[np.ndarray, ...]:
+    """Starts and sizes of the blocks, each once, that make up passages of n words; each passage's first and second block, and whether it has two."""
     half = np.minimum(start + block, end)
     edges = np.unique(np.concatenate([start, half]))
-    edges = edges[edges < len(ids)]
-    stop = np.minimum(np.append(edges[1:], len(ids)), edges + block)
+    edges = edges[edges < n]
+    stop = np.minimum(np.append(edges[1:], n), edges + block)
     last = np.searchsorted(edges, end)  # a block ends with its passage, or where the next one starts
     stop[last[(last > 0)] - 1] = np.minimum(stop[last[(last > 0)] - 1], end[last > 0])
-    size = stop - edges
-    at = np.concatenate([[0], np.cumsum(size)])
-    words = np.arange(at[-1]) + np.repeat(edges - at[:-1], size)
-    features = ids[words]
-    kept = weight[features] > 0
-    sums = sum_rows(table[features[kept]], np.concatenate([[0], np.cumsum(kept)])[at])
-    out = sums[np.searchsorted(edges, start)] if len(start) else np.zeros((0, table.shape[1]), np.float32)
-    two = half < end
-    out[two] += sums[np.searchsorted(edges, half[two])]
+    return edges, stop - edges, np.searchsorted(edges, start), np.searchsorted(edges, half), half < end
+
+
+def latent(ids: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray, weight: np.ndarray, block: int) -> np.ndarray:
+    """Sums of the table's rows over the words of passages, each block summed once; rows of words without weight are zero."""
+    edges, size, first, second, two = halves(start, end, block, len(ids))
+    sums = gathered_sums(table, ids, edges, size)
+    out = sums[first] if len(start) else np.zeros((0, table.shape[1]), np.float32)
+    out[two] += sums[second[two]]
     return out
 
 
@@ -154,6 +153,64 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return add_counts(docs.select("text").mapInArrow(count, "counts binary"), SIZE + 2)
 
 
+def gram_times(rows: DataFrame, idf: np.ndarray, q: np.ndarray, p: LeakParams) -> np.ndarray:
+    """A'A q over the passages of all ``rows`` (text, weight), TF-IDF rows of unit length times the root of the weight.
+
+    Tasks read and cut the texts anew, so no passage is kept; there are twice as many as
+    cores, whatever the input, and each sends one vector for each column of q. These are
+    summed in fixed point, so that the order in which they come changes nothing.
+    """
+    spark, width = rows.sparkSession, q.shape[1]
+    shared = spark.sparkContext.broadcast((q * idf[:, None], idf))
+
+    def add(y, ids, start, end, weight, table, idf):
+        """Adds the share of some passages: the weighted sums of passages go back to their words by way of the blocks."""
+        edges, size, first, second, two = halves(start, end, p.block, len(ids))
+        sums = gathered_sums(table, ids, edges, size)
+        x = sums[first]
+        x[two] += sums[second[two]]
+        x *= (weight / np.maximum(totals(idf[ids] ** 2, start, end), 1e-18)).astype(np.float32)[:, None]
+        back = np.zeros_like(sums)
+        back[first] += x  # passages differ in their first blocks, and so in their second ones
+        back[second[two]] += x[two]
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        n = np.bincount(ids, minlength=SIZE)
+        f = np.flatnonzero(n)
+        y[f] += gathered_sums(back, np.repeat(np.arange(len(edges)), size)[order], (np.cumsum(n) - n)[f], n[f]) * idf[f, None]
+
+    def run(batches):
+        table, idf = shared.value
+        y = np.zeros((SIZE, width), np.float32)
+        for b in batches:
+            texts, weight = texts_of(b), b.column("weight").to_numpy()
+            for lo, hi in portions(texts, 4 * p.batch_bytes):
+                hashes, at = word_hashes(texts[lo:hi], PLAIN)
+                ids = features_of(hashes)
+                start, end = passages(at, p.block)
+                own = weight[lo:hi][np.searchsorted(at, start, "right") - 1]
+                for c in range(0, len(start), 16_384):  # a very long text is taken in parts
+                    s, e = start[c : c + 16_384], end[c : c + 16_384]
+                    add(y, ids[s[0] : e[-1]], s - s[0], e - s[0], own[c : c + 16_384], table, idf)
+        fixed = np.rint(y.T.astype(np.float64) * FIXED).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([v.tobytes() for v in fixed])], ["j", "y"])
+
+    def combine(batches):
+        total: dict = {}
+        for b in batches:
+            for j, y in zip(b.column("j").to_pylist(), b.column("y").to_pylist(), strict=True):
+                total[j] = total.get(j, 0) + np.frombuffer(y, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["j", "y"])
+
+    bound_batches(spark)
+    parts = rows.coalesce(2 * spark.sparkContext.defaultParallelism).mapInArrow(run, "j int, y binary")
+    out = np.zeros((SIZE, width), np.float32)
+    for r in parts.repartition(8, "j").mapInArrow(combine, "j int, y binary").toLocalIterator():
+        out[:, r["j"]] = np.frombuffer(r["y"], np.int64) / FIXED
+    shared.destroy()
+    free_shuffles(spark)
+    return out
+
+
 def _searches(docs: DataFrame, benchmark: DataFrame, p: LeakParams, candidates_only: bool = False):
     """For each block of items, a function from texts to its hits (row, item_id, cosine, overlap, informative, answer, place)."""
     spark = docs.sparkSession
@@ -171,30 +228,11 @@ def _searches(docs: DataFrame, benchmark: DataFrame, p: LeakParams, candidates_o
     idf = np.log((n + 1) / (df + 1)) + 0.01
     idf = np.where(in_items[:SIZE] > 0, np.maximum(idf, own), np.where(df > max(p.few, p.plain * n), 0, idf)).astype(np.float32)
     blocks = max(1, -(-(2 * n_items + int(in_items[SIZE + 1]) // p.block) // p.block_items))
-    draw = below_fraction(["doc_id", "text"], min(1.0, 4 * p.sample * p.block / max(1, n_words)), p.seed)
-
-    def passages_of(every, value):
-        def run(batches):
-            rng = np.random.default_rng(p.seed)
-            for b in batches:
-                out = []
-                for text in texts_of(b):
-                    ids = features_of(word_hashes([text], PLAIN)[0])
-                    cut = [ids[a : a + 2 * p.block] for a in range(0, max(1, len(ids) - p.block), p.block)] if len(ids) else []
-                    if every < 1 and cut:
-                        cut = [c for c, keep in zip(cut, rng.random(len(cut)) < every, strict=True) if keep]
-                    for c in cut:
-                        w = idf[c]
-                        out.append((c.astype(np.int32).tobytes(), (w * (value / (np.sqrt((w * w).sum()) + 1e-9))).astype(np.float32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], ["f", "w"])
-
-        return run
-
-    # about one passage in four of a few documents, so that no long text makes up the sample
-    sample = docs.where(draw).select("text").mapInArrow(passages_of(0.25, 1.0), "f binary, w binary").unionByName(items.where(below_fraction(["item_id", "text"], p.sample / n_items, p.seed)).select("text").mapInArrow(passages_of(1, float(p.item_weight) ** 0.5), "f binary, w binary"))
-    sample = materialise(sample.repartition(4), "passages")
-    table = spark.sparkContext.broadcast((randomised_basis(sample, SIZE, p.rank, p.rounds, p.seed) * idf[:, None], idf * idf))
-    discard(sample)
+    # all passages of the corpus weigh as much together as ``corpus`` ones, and items no more than so many
+    weight = lambda rows, w: rows.select(F.col("text").cast("string").alias("text"), F.lit(float(w)).alias("weight"))
+    rows = weight(docs, min(1.0, p.corpus * p.block / max(1, n_words))).unionByName(weight(items, p.item_weight * min(1.0, p.corpus / n_items)))
+    basis = nystrom_basis(lambda q: gram_times(rows, idf, q, p), SIZE, p.rank, p.rounds, p.seed)
+    table = spark.sparkContext.broadcast((basis * idf[:, None], idf * idf))
     free_shuffles(spark)
     rare = df <= max(p.few, p.frequent * n)
 
@@ -294,12 +332,11 @@ def _search(shared, table, p: LeakParams, candidates_only: bool):
                 near = (squares > 0) & (shared_squares >= p.cosine**2 * squares) if p.cosine > 0 else np.ones(len(start), bool)
                 start, end = start[near], end[near]
                 x, starts = unit(latent(ids, start, end, *table.value, p.block)), start + lo
-                rows = max(1, 2_000_000 // max(1, len(vectors)))
+                rows, home = max(1, 2_000_000 // max(1, len(vectors))), np.searchsorted(at, starts, "right") - 1
                 for c in range(0, len(x), rows):
-                    sim = np.minimum(x[c : c + rows] @ vectors.T, 1)
-                    i, j = np.nonzero(sim >= p.cosine)
-                    s, begin = sim[i, j], starts[c + i]
-                    doc = np.searchsorted(at, begin, "right") - 1
+                    sim = x[c : c + rows] @ vectors.T
+                    i, j = np.divmod(np.flatnonzero(sim >= p.cosine), sim.shape[1])
+                    s, begin, doc = np.minimum(sim[i, j], 1), starts[c + i], home[c + i]
                     slack = length[owner[j]] // 4 + 2 * p.block
                     left = begin - offset[j]
                     left, right = np.maximum(at[doc], left - slack), np.minimum(at[doc + 1], np.maximum(at[doc], left + length[owner[j]] + slack))
@@ -343,22 +380,30 @@ class Witnesses:
         self.word, first = np.unique(word, return_index=True)
         self.item, self.at = np.array([k for _, k in pairs], np.int64), np.append(first, len(pairs))
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, int]:
-        """Sorted (item, place) of all words of ``hashes`` that are some item's, as one number, and the base of it."""
-        base = len(hashes) + 1
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, int, np.ndarray | None]:
+        """Sorted (item, place) of all words of ``hashes`` that are some item's, as one number, the base of it, and running counts of each item by runs of 16 words, where these are few."""
+        base, runs = len(hashes) + 1, len(hashes) // 16 + 2
         if not len(self.word):
-            return np.zeros(0, np.int64), base
+            return np.zeros(0, np.int64), base, None
         w = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
         place = np.flatnonzero(self.word[w] == hashes)
         a, n = self.at[w[place]], self.at[w[place] + 1] - self.at[w[place]]
         entry = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n)
-        return np.sort(self.item[entry] * base + np.repeat(place, n)), base
+        item, place = self.item[entry], np.repeat(place, n)
+        counts = None
+        if len(self.need) * runs <= 4_000_000:
+            counts = np.bincount(item * runs + place // 16 + 1, minlength=len(self.need) * runs).astype(np.int32).reshape(-1, runs).cumsum(1, dtype=np.int32)
+        return np.sort(item * base + place), base, counts
 
-    def enough(self, seen: tuple[np.ndarray, int], item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def enough(self, seen: tuple[np.ndarray, int, np.ndarray | None], item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places, among the stretches (item, left, right), of those that hold as many of the item's words as needed."""
-        keys, base = seen
+        keys, base, counts = seen
+        need, some = self.need[item], np.arange(len(item))
+        if counts is not None:  # the whole runs that a stretch touches hold no fewer
+            some = np.flatnonzero(counts[item, -(-right // 16)] - counts[item, left // 16] >= need)
+            item, left, right, need = item[some], left[some], right[some], need[some]
         held = np.searchsorted(keys, item * base + right) - np.searchsorted(keys, item * base + left)
-        return np.flatnonzero(held >= self.need[item])
+        return some[held >= need]
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

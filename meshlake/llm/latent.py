@@ -89,6 +89,46 @@ def randomised_basis(rows: DataFrame, size: int, rank: int, rounds: int, seed: i
     return (q @ vectors[:, ::-1][:, :rank].astype(np.float32)).astype(np.float32)
 
 
+def nystrom_basis(multiply, size: int, rank: int, rounds: int, seed: int) -> np.ndarray:
+    """The leading right singular vectors (size, rank) of A, where ``multiply`` gives A'A Q for a dense Q of size rows.
+
+    After ``rounds`` products Y = A'A Q, the last is also the Nystrom form Y (Q'Y)^-1 Y' of
+    A'A, whose vectors need no further pass over the rows; dependent ones become zero.
+    """
+    q = orthonormal(probe(size, rank + 8, seed))
+    for k in range(rounds):
+        q = orthonormal(y) if k else q
+        y = multiply(q)
+    core = q.T.astype(np.float64) @ y
+    values, vectors = np.linalg.eigh((core + core.T) / 2)
+    keep = values > max(values.max(), 0) * 1e-6
+    root = y @ (vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0))
+    values, vectors = np.linalg.eigh(root.T @ root)
+    keep = values > max(values.max(), 0) * 1e-10
+    return (root @ (vectors * np.where(keep, 1 / np.sqrt(np.where(keep, values, 1)), 0))[:, ::-1][:, :rank]).astype(np.float32)
+
+
+def gathered_sums(table: np.ndarray, index: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of ``table[index[start[i] : start[i] + size[i]]]``; whole rows are added step by step, which a reduction does not."""
+    while True:
+        parts = -(-size // 16)
+        first = np.cumsum(parts) - parts
+        number = np.arange(parts.sum()) - np.repeat(first, parts)
+        begin, n = np.repeat(start, parts) + 16 * number, np.minimum(16, np.repeat(size, parts) - 16 * number)
+        order = np.argsort(-n, kind="stable")
+        begin, reach = begin[order], np.cumsum(np.bincount(n, minlength=17)[::-1])[::-1]
+        sums = np.zeros((len(n), table.shape[1]), table.dtype)
+        for k in range(16):
+            sums[: reach[k + 1]] += table[index[begin[: reach[k + 1]] + k]]
+        out = np.empty_like(sums)
+        out[order] = sums
+        if parts.max(initial=0) <= 1:
+            whole = np.zeros((len(size), table.shape[1]), table.dtype)
+            whole[parts > 0] = out
+            return whole
+        table, index, start, size = out, np.arange(len(out)), first, parts
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)

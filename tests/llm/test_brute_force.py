@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meshlake.llm import common, decontaminate, imatch, langid, ngram_join, packing, quality, toxicity, warc
+from meshlake.llm import common, decontaminate, imatch, langid, latent, ngram_join, packing, quality, toxicity, warc
 from tests.llm.test_operators import D, brute_components, packing_path, words
 
 TERM = re.compile(r"[^\W_]+")
@@ -242,3 +242,44 @@ def test_freed_native_memory_of_the_driver_goes_back(spark):
     assert resident() < before - 30
     for b in blocks:
         b.end()
+
+
+def passage_matrix(texts, weight, idf, block):
+    """Rows of all passages: TF-IDF of unit length times the root of the weight."""
+    out = []
+    for text in texts:
+        ids = decontaminate.features_of(common.word_hashes([text], decontaminate.PLAIN)[0])
+        for a in range(0, max(1, len(ids) - block), block) if len(ids) else ():
+            row = np.bincount(ids[a : a + 2 * block], minlength=decontaminate.SIZE) * idf
+            norm = np.sqrt((idf[ids[a : a + 2 * block]] ** 2).sum())
+            out.append(row * np.sqrt(weight) / max(norm, 1e-9))
+    return np.array(out)
+
+
+def test_the_basis_of_decontamination_comes_from_every_passage(spark, monkeypatch):
+    """More passages than the 8,000 once drawn; a few documents have words of their own."""
+    rng, p = np.random.default_rng(3), decontaminate.LeakParams()
+    words = [f"w{i}" for i in range(150)]
+    texts = [None, "", "one", " ".join(words[:20] * 9)] + [" ".join(rng.choice(words, int(n))) for n in rng.integers(1, 700, 30)]
+    idf = np.where(np.arange(decontaminate.SIZE) % 7 == 0, 0, rng.random(decontaminate.SIZE) + 0.1).astype(np.float32)
+    a = np.concatenate([passage_matrix(texts[:20], 1.0, idf, p.block), passage_matrix(texts[20:], 64.0, idf, p.block)])
+    rows = spark.createDataFrame([(t, 1.0 if i < 20 else 64.0) for i, t in enumerate(texts)], "text string, weight double").repartition(5)
+    q = rng.standard_normal((decontaminate.SIZE, 9), dtype=np.float32)
+    np.testing.assert_allclose(decontaminate.gram_times(rows, idf, q, p), a.T @ (a @ q), atol=2e-3 * np.abs(a.T @ (a @ q)).max())
+    # every passage of the two tables takes part, each table at its weight
+    seen = []
+    real = decontaminate.gram_times
+    monkeypatch.setattr(decontaminate, "gram_times", lambda rows, *rest: seen.append(rows.groupBy("weight").count().collect()) or real(rows, *rest))
+    many = spark.range(300).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(600)), lambda x: F.concat(F.lit("v"), F.pmod(F.xxhash64(F.col("id"), x), F.lit(900)).cast("string"))), " ").alias("text"))
+    items = spark.range(12).select(F.col("id").alias("item_id"), F.concat(F.lit("item with words of its own "), F.col("id").cast("string")).alias("text"))
+    assert decontaminate.find_leaks(many, items).count() == 0
+    assert len(seen) == p.rounds and {r["count"] for r in seen[0]} == {300, 12}
+
+
+def test_nystrom_basis_spans_the_leading_vectors():
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((400, 60)) * (0.8 ** np.arange(60))
+    basis = latent.nystrom_basis(lambda q: (a.T @ (a @ q)).astype(np.float32), 60, 10, 2, 1)
+    _, values, right = np.linalg.svd(a, full_matrices=False)
+    assert (np.linalg.norm(a @ basis) ** 2) >= 0.999 * (values[:10] ** 2).sum()
+    np.testing.assert_allclose(basis.T @ basis, np.eye(10), atol=1e-3)
