@@ -3,7 +3,8 @@
 A linear numpy classifier over word and word-beginning presence is trained from
 confirmed toxic documents (P) and unlabelled text (U) with the class-prior
 corrected risk ``pi * R+(P) + max(0, R-(U) - pi * R-(P))``; where the second part
-falls below zero, the step goes against it.
+falls below zero, the step goes against it. All rows take part in the choice of
+features and in every step, P and U as far as the caller allows them.
 
 Defined results: a null or empty text has no features, so its score is that of the
 intercept. Repeated rows and ties are scored alike, row by row. An empty table gives
@@ -19,31 +20,36 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import CACHE_WORDS, Remembers, below_fraction, bound_batches, bounded_rows, crc_mod, csr, discard, free_shuffles, materialise, sum_rows
+from .common import CACHE_WORDS, Remembers, bound_batches, crc_mod, csr, materialise, sum_rows, temporary
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 20
 
 
+#: Confirmed ids, or repeated ones, that are sent to every task at most; beyond, a shuffled join.
+BROADCAST_IDS = 1_000_000
+ENTRIES = 1_000_000  #: of a block of training rows, about
+#: Blocks of no more entries (4 bytes each) are added up by the driver, which spares small tables a job a step; the sums are the same.
+DRIVER_ENTRIES = 4_000_000
+EXACT = float(1 << 22)  #: terms of sums are whole numbers of its inverse: their order changes nothing
+
+
 @dataclass(frozen=True)
 class ToxicityParams:
-    """Bounds of the training sample, size of the model and of its training."""
+    """Size of the model and of its training."""
 
-    max_positive: int = 6_000  #: confirmed toxic documents in training, about
-    max_unlabelled: int = 12_000  #: unlabelled documents in training, about
     features: int = 6_000  #: 65,536 at most
     min_documents: int = 3
     least_difference: float = 0.5  #: of a feature's shares in P and U, in units of its spread
     steps: int = 300
     rate: float = 0.05
     l2: float = 2e-4
-    seed: int = 7
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -88,34 +94,56 @@ class ToxicityModel(Remembers):
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: ToxicityParams, feature: np.ndarray) -> ToxicityModel:
-    """Fit on documents given as places in ``feature``, by the non-negative risk estimator."""
-    if not positive or not unlabelled or prior <= 0:
-        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), None)
+def block_of(rows: list[np.ndarray], in_p: bool, in_u: bool) -> tuple:
+    """Training rows (fewer than 65,536, each sorted places of features) by row and by feature."""
+    flat, at = csr(rows)
+    order = np.argsort(flat, kind="stable")
+    own, n = np.unique(flat, return_counts=True)
+    row = np.repeat(np.arange(len(rows), dtype=np.uint16), np.diff(at))[order]
+    return in_p, in_u, flat.astype(np.uint16), at, row, own, np.concatenate([[0], np.cumsum(n)])
+
+
+def block_sums(blocks, w: np.ndarray, b: float) -> np.ndarray:
+    """For P, then for U: sums of log(1 + e^z) and of sigmoid(z), the number of rows, and sums of sigmoid(z) by feature."""
+    out = np.zeros((2, 3 + len(w)))
+    for in_p, in_u, flat, at, row, own, by in blocks:
+        z = sum_rows(w[flat], at) + b
+        sig = np.rint(EXACT / (1 + np.exp(-np.clip(z, -30, 30)))) / EXACT
+        loss = (np.rint(np.logaddexp(0, z) * EXACT) / EXACT).sum()
+        of_features = sum_rows(sig[row], by)
+        for k in np.flatnonzero([in_p, in_u]):
+            out[k, :3] += loss, sig.sum(), len(z)
+            out[k, 3 + own] += of_features
+    return out
 
-    def matrix(rows):
-        flat, at = csr(rows)
-        return flat, at, np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(at))
 
-    (fp, ap, rp), (fu, au, ru) = matrix(positive), matrix(unlabelled)
+def nnpu_descend(sums, in_p: np.ndarray, prior: float, p: ToxicityParams, feature: np.ndarray) -> ToxicityModel:
+    """Fit by the non-negative risk estimator; ``sums(w, b)`` are ``block_sums`` of all rows, ``in_p`` the rows of P that have each feature."""
     w, b = np.zeros(len(feature)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for step in range(1, p.steps + 1):
-        zp, zu = sum_rows(w[fp], ap) + b, sum_rows(w[fu], au) + b
-        # logistic loss: l(z) = log(1 + e^-z); as a negative l(-z)
-        neg_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp_neg, gu = -prior * sig(zp) / len(zp), sig(zu) / len(zu)
-        gp_pos = -prior * sig(-zp) / len(zp)
-        gp, gu = (gp_pos + gp_neg, gu) if neg_risk >= 0 else (-gp_neg, -gu)
-        g = np.bincount(fp, gp[rp], len(w)) + np.bincount(fu, gu[ru], len(w)) + p.l2 * w
-        g = np.append(g, gp.sum() + gu.sum())
+        (loss_p, sig_p, n_p), (loss_u, sig_u, n_u) = (found := sums(w, b))[:, :3]
+        of_p, of_u = found[:, 3:]
+        # logistic loss: l(z) = log(1 + e^-z); as a negative l(-z); l(z) - l(-z) is linear
+        if loss_u / n_u - prior * loss_p / n_p >= 0:
+            g = np.append(of_u / n_u - prior * in_p / n_p, sig_u / n_u - prior)
+        else:
+            g = np.append(prior * of_p / n_p - of_u / n_u, prior * sig_p / n_p - sig_u / n_u)
+        g[:-1] += p.l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return ToxicityModel(feature, w, float(b))
 
 
+def nnpu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, p: ToxicityParams, feature: np.ndarray) -> ToxicityModel:
+    """Fit on documents given as places in ``feature``, in this process."""
+    if not positive or not unlabelled or prior <= 0:
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), None)
+    blocks = [block_of(rows[a : a + 60_000], k, not k) for rows, k in ((positive, True), (unlabelled, False)) for a in range(0, len(rows), 60_000)]
+    return nnpu_descend(lambda w, b: block_sums(blocks, w, b), np.bincount(csr(positive)[0], minlength=len(feature)), prior, p, feature)
+
+
 def choose_features(sample: DataFrame, n_positive: int, n_unlabelled: int, p: ToxicityParams) -> np.ndarray:
     """The features (sorted) whose shares in P and U differ most, in units of their spread; counted in tasks."""
     each = sample.select("confirmed", "drawn", F.explode("features").alias("f"))
@@ -127,13 +155,55 @@ def choose_features(sample: DataFrame, n_positive: int, n_unlabelled: int, p: To
     return np.sort(np.array([r["f"] for r in found.orderBy(F.col("z").desc(), "f").limit(p.features).select("f").collect()], np.int64))
 
 
+def distinct_rows(texts: DataFrame) -> DataFrame:
+    """The distinct rows (doc_id, text); only those of repeated ids are compared."""
+    twice = materialise(texts.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    n = twice.count()
+    if not n:
+        return texts
+    twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+    return texts.join(twice, "doc_id", "left_anti").unionByName(texts.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def training_blocks(sample: DataFrame, feature: np.ndarray):
+    """An RDD of ``block_of`` for all rows (confirmed, features), on the executors' disks; confirmed rows are in P and U, others in U."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[feature] = np.arange(len(feature))
+    shared = sample.sparkSession.sparkContext.broadcast(place)
+
+    def places(batches):
+        for b in batches:
+            column = b.column("features")
+            at, flat = column.offsets.to_numpy(), shared.value[column.values.to_numpy()]
+            kept = np.concatenate([[0], np.cumsum(flat >= 0)])[at]
+            flat = flat[at[0] : at[-1]]
+            rows = np.split(flat[flat >= 0].astype(np.uint16), (kept - kept[0])[1:-1]) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column("confirmed"), pa.array([r.tobytes() for r in rows], pa.binary())], ["confirmed", "at"])
+
+    def blocks(rows):
+        held, size = {True: [], False: []}, {True: 0, False: 0}
+        for confirmed, at in rows:
+            held[confirmed].append(np.frombuffer(at, np.uint16))
+            size[confirmed] += len(at) // 2
+            if size[confirmed] >= ENTRIES or len(held[confirmed]) >= 60_000:
+                yield block_of(held[confirmed], confirmed, True)
+                held[confirmed], size[confirmed] = [], 0
+        for confirmed, some in held.items():
+            if some:
+                yield block_of(some, confirmed, True)
+
+    # a step's tasks are few and long, twice as many as cores, whatever the input
+    parts = sample.select("confirmed", "features").mapInArrow(places, "confirmed boolean, at binary").coalesce(2 * sample.sparkSession.sparkContext.defaultParallelism)
+    return parts.rdd.mapPartitions(blocks).persist(StorageLevel.DISK_ONLY), shared
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None = None, train=None) -> ToxicityModel:
     """Train from ``labels`` (doc_id, toxic) and ``docs`` (doc_id, text).
 
-    ``train`` is a predicate on doc_id. P is a bounded sample of the documents that
-    it allows and labels confirm as toxic; U is a bounded sample of the documents
-    that it allows, whatever their labels. Features are counted and chosen in tasks;
-    the driver gets at most ``features`` numbers of two bytes for each document.
+    ``train`` is a predicate on doc_id. P is every document that it allows and labels
+    confirm as toxic; U is every document that it allows, whatever its labels. Features
+    are counted and chosen in tasks, and each step of the training adds up all rows
+    there; the driver gets two numbers a feature from each task.
     """
     p = p or ToxicityParams()
     spark = docs.sparkSession
@@ -142,39 +212,60 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(train)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n_labels, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).where(train)
     if not n_toxic:
         return nothing
-    # at most about max_positive ids: small enough to send to every task
-    confirmed = known.where("toxic = 1").where(below_fraction(["doc_id"], p.max_positive / n_toxic, p.seed)).select("doc_id")
-    positive = bounded_rows(texts.join(F.broadcast(confirmed), "doc_id", "left_semi"), p.max_positive, p.seed)
-    unlabelled = bounded_rows(texts, p.max_unlabelled, p.seed + 1)
-    both = positive.select("text", F.lit(True).alias("confirmed"), F.lit(False).alias("drawn")).unionByName(unlabelled.select("text", F.lit(False).alias("confirmed"), F.lit(True).alias("drawn")))
+    confirmed = known.where("toxic = 1").select("doc_id", F.lit(True).alias("confirmed"))
+    confirmed = F.broadcast(confirmed) if n_toxic <= BROADCAST_IDS else confirmed
 
     def read(batches):
+        known: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            yield pd.DataFrame({"confirmed": b["confirmed"], "drawn": b["drawn"], "features": [document_features(t) for t in b["text"]]})
-
-    sample = materialise(both.mapInPandas(read, "confirmed boolean, drawn boolean, features array<int>"), "toxic-sample")
-    sizes = {r["confirmed"]: r["count"] for r in sample.groupBy("confirmed").count().collect()}
-    if len(sizes) < 2:
-        return nothing
-    feature = choose_features(sample, sizes[True], sizes[False], p)
-
-    def places(batches):
-        for b in batches:
-            kept = []
-            for x in b["features"]:
-                at = np.searchsorted(feature, x)
-                at = at[feature[np.minimum(at, len(feature) - 1)] == x] if len(feature) else at[:0]
-                kept.append(at.astype(np.uint16).tobytes())
-            yield pd.DataFrame({"confirmed": b["confirmed"], "at": kept})
-
-    rows = sample.select("confirmed", "features").mapInPandas(places, "confirmed boolean, at binary").toPandas().sort_values(["confirmed", "at"])
-    discard(sample)
-    free_shuffles(spark)
-    of = lambda k: [np.frombuffer(x, np.uint16).astype(np.int32) for x in rows["at"][rows["confirmed"] == k]]
-    return nnpu_fit(of(True), of(False), min(0.9, n_toxic / n_labels), p, feature)
+            found = []
+            for text in b.column("text").to_pylist():
+                hit: set[int] = set()
+                for w in set(WORD.findall((text or "").lower())):
+                    f = known.get(w)
+                    if f is None:
+                        if len(known) > CACHE_WORDS:
+                            known.clear()
+                        f = known[w] = word_features(w)
+                    hit.update(f)
+                found.append(np.fromiter(hit, np.int32, len(hit)))
+            at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *found])
+            flat = flat[np.argsort(np.repeat(np.arange(len(found)), np.diff(at)) << BITS | flat)]  # by number within each row
+            yield pa.RecordBatch.from_arrays([b.column("confirmed"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["confirmed", "features"])
+
+    bound_batches(spark)
+    with temporary(spark):
+        texts = distinct_rows(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).where(train))
+        flagged = texts.join(confirmed, "doc_id", "left").select("text", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+        sample = materialise(flagged.mapInArrow(read, "confirmed boolean, features array<int>"), "toxic-features")
+        sizes = {r["confirmed"]: r["count"] for r in sample.groupBy("confirmed").count().collect()}
+        if not sizes.get(True):
+            return nothing
+        feature = choose_features(sample.withColumn("drawn", F.lit(True)), sizes[True], sum(sizes.values()), p)
+        blocks, shared = training_blocks(sample, feature)
+
+        def count(found):
+            total = np.zeros(len(feature) + 2)
+            for is_p, _, flat, at, *_ in found:
+                total[:-2] += np.bincount(flat, minlength=len(feature)) if is_p else 0
+                total[-2:] += len(flat), len(at)
+            return [total]
+
+        def added(part):
+            parts = blocks.mapPartitions(part)
+            return sum(parts.collect()) if parts.getNumPartitions() <= 64 else parts.treeReduce(np.add)
+
+        try:
+            total = added(count)
+            few = blocks.collect() if total[-2:].sum() <= DRIVER_ENTRIES else None
+            sums = lambda w, b: added(lambda found: [block_sums(found, w, b)]) if few is None else block_sums(few, w, b)
+            return nnpu_descend(sums, total[:-2], min(0.9, n_toxic / n_labels), p, feature)
+        finally:
+            blocks.unpersist()
+            shared.destroy()
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[str], threshold: float = 0.5, names: tuple[str, str] = ("toxicity_score", "toxicity_predicted")) -> DataFrame:

@@ -147,6 +147,28 @@ def test_toxicity_scores_are_sums_of_weights(spark, docs):
     assert model.score(some) == pytest.approx(want)
 
 
+def test_toxicity_learns_from_all_rows(spark, monkeypatch):
+    """Beyond the 6,000 confirmed and 12,000 other rows once drawn, every distinct row counts in each step, summed in tasks or on the driver."""
+    word = F.concat(F.when(F.col("id") % 3 == 0, "foul").otherwise("mild"), F.translate((F.col("id") % 50).cast("string"), "0123456789", "abcdefghij"))
+    docs = spark.range(21_000).select((F.col("id") - F.when(F.col("id") >= 20_500, 500).otherwise(0)).alias("doc_id"), word.alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 100"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).where("doc_id < 20000").distinct()
+    descend, seen = toxicity.nnpu_descend, []
+
+    def spy(sums, *rest):
+        seen.append(sums(np.zeros(len(rest[-1])), 0.0)[:, 2].tolist())
+        return descend(sums, *rest)
+
+    monkeypatch.setattr(toxicity, "nnpu_descend", spy)
+    p = toxicity.ToxicityParams(steps=4)
+    here = toxicity.fit_toxicity(docs, labels, p)
+    monkeypatch.setattr(toxicity, "DRIVER_ENTRIES", 0)
+    there = toxicity.fit_toxicity(docs, labels, p)
+    rows = docs.distinct()
+    assert seen == [[rows.where("doc_id % 3 = 0 and doc_id < 20000").count(), rows.count()]] * 2 and seen[0][1] > 20_000
+    assert (here.weight == there.weight).all() and here.bias == there.bias
+
+
 def test_positive_unlabelled_gradient():
     """The fit lowers the estimator's risk, and a second fit is the same."""
     rng = np.random.default_rng(1)
