@@ -176,7 +176,7 @@ def gram_times(rows: DataFrame, idf: np.ndarray, q: np.ndarray, p: LeakParams) -
         order = np.argsort(ids.astype(np.uint16), kind="stable")
         n = np.bincount(ids, minlength=SIZE)
         f = np.flatnonzero(n)
-        y[f] += gathered_sums(back, np.repeat(np.arange(len(edges)), size)[order], (np.cumsum(n) - n)[f], n[f]) * idf[f, None]
+        y[f] += gathered_sums(back, np.repeat(np.arange(len(edges)), size)[order], (np.cumsum(n) - n)[f], n[f])
 
     def run(batches):
         table, idf = shared.value
@@ -191,7 +191,7 @@ def gram_times(rows: DataFrame, idf: np.ndarray, q: np.ndarray, p: LeakParams) -
                 for c in range(0, len(start), 16_384):  # a very long text is taken in parts
                     s, e = start[c : c + 16_384], end[c : c + 16_384]
                     add(y, ids[s[0] : e[-1]], s - s[0], e - s[0], own[c : c + 16_384], table, idf)
-        fixed = np.rint(y.T.astype(np.float64) * FIXED).astype(np.int64)
+        fixed = np.rint((y * idf[:, None]).T.astype(np.float64) * FIXED).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array([v.tobytes() for v in fixed])], ["j", "y"])
 
     def combine(batches):
@@ -315,11 +315,14 @@ def _search(shared, table, p: LeakParams, candidates_only: bool):
     def search(texts: list) -> list[tuple]:
         items, vectors, owner, offset, known, witnesses = shared.value
         length = np.array([len(i.words) for i in items])
+        furthest = np.zeros(len(items), np.int64)
+        np.maximum.at(furthest, owner, offset)
         out = []
         for first, last in portions(texts, p.batch_bytes):
             hashes, at = word_hashes(texts[first:last], PLAIN)
             flat, best = features_of(hashes), {}
             seen = None if candidates_only else witnesses.find(hashes)
+            held = None if seen is None or seen[2] is None else witnesses.by_run(seen[2], furthest + length // 4 + 2 * p.block, length + length // 4 + 2 * p.block)[:, owner]
             alone = last - first == 1
             step = max(p.block, p.batch_bytes // 2 // p.block * p.block)
             for lo in range(0, max(1, len(flat)), step) if alone else (0,):
@@ -335,7 +338,10 @@ def _search(shared, table, p: LeakParams, candidates_only: bool):
                 rows, home = max(1, 2_000_000 // max(1, len(vectors))), np.searchsorted(at, starts, "right") - 1
                 for c in range(0, len(x), rows):
                     sim = x[c : c + rows] @ vectors.T
-                    i, j = np.divmod(np.flatnonzero(sim >= p.cosine), sim.shape[1])
+                    close = sim >= p.cosine
+                    if held is not None:  # spares the many whose surroundings lack the item's words the exact count
+                        close &= held[starts[c : c + rows] // 16]
+                    i, j = np.divmod(np.flatnonzero(close), sim.shape[1])
                     s, begin, doc = np.minimum(sim[i, j], 1), starts[c + i], home[c + i]
                     slack = length[owner[j]] // 4 + 2 * p.block
                     left = begin - offset[j]
@@ -395,6 +401,14 @@ class Witnesses:
             counts = np.bincount(item * runs + place // 16 + 1, minlength=len(self.need) * runs).astype(np.int32).reshape(-1, runs).cumsum(1, dtype=np.int32)
         return np.sort(item * base + place), base, counts
 
+    def by_run(self, counts: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """For each run of 16 words and each item, whether a stretch from ``before`` words ahead of a place there to ``after`` behind it may hold as many of its words as needed."""
+        last = counts.shape[1] - 1
+        run, out = np.arange(last + 1), np.empty((len(self.need), last + 1), bool)
+        for k, (b, a) in enumerate(zip(-(-before // 16), -(-(after + 15) // 16), strict=True)):
+            out[k] = counts[k, np.minimum(run + a, last)] - counts[k, np.maximum(run - b, 0)] >= self.need[k]
+        return np.ascontiguousarray(out.T)
+
     def enough(self, seen: tuple[np.ndarray, int, np.ndarray | None], item: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Places, among the stretches (item, left, right), of those that hold as many of the item's words as needed."""
         keys, base, counts = seen

@@ -109,24 +109,34 @@ def nystrom_basis(multiply, size: int, rank: int, rounds: int, seed: int) -> np.
 
 
 def gathered_sums(table: np.ndarray, index: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Sums of ``table[index[start[i] : start[i] + size[i]]]``; whole rows are added step by step, which a reduction does not."""
-    while True:
-        parts = -(-size // 16)
-        first = np.cumsum(parts) - parts
-        number = np.arange(parts.sum()) - np.repeat(first, parts)
-        begin, n = np.repeat(start, parts) + 16 * number, np.minimum(16, np.repeat(size, parts) - 16 * number)
-        order = np.argsort(-n, kind="stable")
-        begin, reach = begin[order], np.cumsum(np.bincount(n, minlength=17)[::-1])[::-1]
-        sums = np.zeros((len(n), table.shape[1]), table.dtype)
-        for k in range(16):
-            sums[: reach[k + 1]] += table[index[begin[: reach[k + 1]] + k]]
-        out = np.empty_like(sums)
-        out[order] = sums
-        if parts.max(initial=0) <= 1:
-            whole = np.zeros((len(size), table.shape[1]), table.dtype)
-            whole[parts > 0] = out
-            return whole
-        table, index, start, size = out, np.arange(len(out)), first, parts
+    """Sums of ``table[index[start[i] : start[i] + size[i]]]``; whole rows are added step by step, which a reduction does not.
+
+    Sums of more than 64 rows are made of parts; sums are taken 1,024 at a time, longest first, so that they stay in the cache.
+    """
+    parts = -(-size // 64)
+    first = np.cumsum(parts) - parts
+    number = np.arange(parts.sum()) - np.repeat(first, parts)
+    begin, n = np.repeat(start, parts) + 64 * number, np.minimum(64, np.repeat(size, parts) - 64 * number)
+    order = np.argsort(-n.astype(np.int8), kind="stable")
+    begin, n = begin[order], n[order]
+    sums = np.empty((len(n), table.shape[1]), table.dtype)
+    some, more = np.empty((2, 1024, table.shape[1]), table.dtype)
+    for a in range(0, len(n), 1024):
+        b = begin[a : a + 1024]
+        reach = np.searchsorted(-n[a : a + 1024], -np.arange(n[a]), "left")  # sums longer than k
+        np.take(table, index[b], axis=0, out=some[: len(b)], mode="clip")
+        for k in range(1, n[a]):
+            np.take(table, index[b[: reach[k]] + k], axis=0, out=more[: reach[k]], mode="clip")
+            some[: reach[k]] += more[: reach[k]]
+        sums[order[a : a + 1024]] = some[: len(b)]
+    if (parts == 1).all():
+        return sums
+    out = np.zeros((len(size), table.shape[1]), table.dtype)
+    out[parts == 1] = sums[first[parts == 1]]
+    many = np.flatnonzero(parts > 1)
+    if len(many):
+        out[many] = gathered_sums(sums, np.arange(len(sums)), first[many], parts[many])
+    return out
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

@@ -204,6 +204,33 @@ def test_cosines_are_cosines(spark, docs):
     assert found.where("cosine > 1 or cosine < 0").count() == 0 and found.count() > 100
 
 
+def test_runs_rule_out_no_place_that_holds_an_item():
+    """Counts by whole runs let every stretch through that holds enough of an item's words, and few others."""
+    rng, p = np.random.default_rng(4), decontaminate.LeakParams()
+    hashes = rng.integers(1, 3_000, 20_000).astype(np.uint64)
+    items = [decontaminate.Item(k, w.tolist(), w[::2].tolist(), w[-8:].tolist()) for k, w in enumerate([hashes[a : a + n] for a, n in ((0, 9), (37, 40), (5_000, 300), (19_990, 10))])]
+    witnesses = decontaminate.Witnesses(items, np.ones(decontaminate.SIZE, np.int64), p)
+    seen, length = witnesses.find(hashes), np.array([len(i.words) for i in items])
+    offset = length // 32 * 16
+    slack = length // 4 + 2 * p.block
+    held = witnesses.by_run(seen[2], offset + slack, length + slack)
+    begin, j = (x.ravel() for x in np.meshgrid(np.arange(0, len(hashes), 7), np.arange(len(items)), indexing="ij"))
+    left = begin - rng.integers(0, offset[j] + 1)
+    left, right = np.maximum(0, left - slack[j]), np.minimum(len(hashes), np.maximum(0, left + length[j] + slack[j]))
+    enough = witnesses.enough(seen, j, left, right)
+    assert len(enough) > 20 and held[begin[enough] // 16, j[enough]].all() and held[begin // 16, j].mean() < 0.1
+
+
+def test_gathered_sums_of_any_size():
+    rng = np.random.default_rng(6)
+    size = np.concatenate([rng.integers(0, 200, 1_500), [0, 1, 64, 65, 5_000, 0]])
+    index, table = rng.integers(0, 50, size.sum()), rng.integers(0, 9, (50, 3)).astype(np.float32)
+    start = np.cumsum(size) - size
+    want = np.array([table[index[a : a + n]].sum(0) for a, n in zip(start, size, strict=True)])
+    assert (latent.gathered_sums(table, index, start, size) == want).all()
+    assert latent.gathered_sums(table, index, start[:0], size[:0]).shape == (0, 3)
+
+
 def test_large_groups_equal_brute_force(spark):
     """A group of near copies, a group of copies and a passage that most texts share, beyond the size of large groups."""
     import random
