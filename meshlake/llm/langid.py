@@ -70,6 +70,70 @@ def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
     return out
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+CRC = _crc_table()
+
+
+def crc_step(state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Registers of crc32 after one more character each, in UTF-8."""
+    byte = lambda state, b: CRC[(state ^ b) & 255] ^ state >> 8
+    if code.max(initial=0) < 0x80:
+        return byte(state, code)
+    lead = np.select([code < 0x80, code < 0x800, code < 0x10000], [code, 0xC0 | code >> 6, 0xE0 | code >> 12], 0xF0 | code >> 18)
+    state = byte(state, lead)
+    for shift, least in ((12, 0x10000), (6, 0x800), (0, 0x80)):
+        at = np.flatnonzero(code >= least)
+        state[at] = byte(state[at], 0x80 | code[at] >> shift & 63)
+    return state
+
+
+def features_of_words(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_features`` of words of a letter or more, one after another, and their offsets; hashed together."""
+    n = len(words)
+    size = np.fromiter(map(len, words), np.int64, n)
+    code = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le"), np.uint32)
+    start = np.cumsum(size + 2) - size - 1  # of the words, behind their marks
+    begun = lambda kind, n: np.full(n, zlib.crc32(kind) ^ 0xFFFFFFFF, np.uint32)
+    row, parts = np.arange(n), []
+    put = lambda rows, state: parts.append((rows, (~state & np.uint32((1 << BITS) - 1)).astype(np.int64)))
+    put(row, begun(b"bias", n))
+    some, state = row, begun(b"p", n)
+    for k in range(1, 5):
+        long = size[some] >= k
+        some, state = some[long], state[long]
+        state = crc_step(state, code[start[some] + k - 1])
+        put(some, state)
+    for k in range(1, 5):
+        some = np.flatnonzero(size >= k)
+        state = begun(b"s", len(some))
+        for j in range(k):
+            state = crc_step(state, code[start[some] + size[some] - k + j])
+        put(some, state)
+    owner, left = np.repeat(row, size + 2), np.repeat(start + size + 1, size + 2) - np.arange(len(code))  # characters to the end
+    state = crc_step(begun(b"g", len(code)), code)
+    for k in (2, 3):
+        state = crc_step(state[:-1], code[k - 1 :]) if len(state) else state
+        whole = np.flatnonzero(left[: len(state)] >= k)
+        put(owner[whole], state[whole])
+    known = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+    entry = {c: zlib.crc32(f"x{c}".encode()) ^ 0xFFFFFFFF for _, c in known}
+    put(np.array([i for i, _ in known], np.int64), np.array([entry[c] for _, c in known], np.uint32))
+    for k in range(1, 5):
+        some = np.flatnonzero(size == k)
+        state = begun(b"w", len(some))
+        for j in range(k):
+            state = crc_step(state, code[start[some] + j])
+        put(some, state)
+    rows, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return found[np.argsort(rows, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+
+
 def forward_backward(emit: np.ndarray, at: np.ndarray, first: np.ndarray, step: np.ndarray) -> np.ndarray:
     """Marginals (words, labels) of sequences given by offsets; emit, first and step are weights in log space."""
     n, k = emit.shape
@@ -119,7 +183,7 @@ class LangModel(Remembers):
         fresh = [w for w in dict.fromkeys(words) if w not in row]
         for a in range(0, len(fresh), 20_000):
             some = fresh[a : a + 20_000]
-            flat, at = csr([np.array(word_features(w, self.lexicon)) for w in some])
+            flat, at = features_of_words(some, self.lexicon)
             table.append(sum_rows(self.weight[flat], at))
             for w in some:
                 row[w] = len(row)

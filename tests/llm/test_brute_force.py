@@ -138,6 +138,15 @@ def test_language_of_a_document_is_that_of_its_words(spark, docs):
         assert (name, score) == (("und", 0.0) if not found else (model.languages[int(total.argmax())], pytest.approx(total.max() / len(found))))
 
 
+def test_features_of_words_are_those_of_each_word(spark, docs):
+    lines = [langid.letter_words((r["text"] or "").lower()) for r in docs.limit(60).collect()]
+    found = sorted({w for line in lines for w in line}) + ["a", "é", "ß", "ñandú", "straße", "日本語", "я", "𐐨𐐨", "a𐐨é語", "x" * 300, "ªº"]
+    lexicon = {w: i % 3 for i, w in enumerate(found[::4])}
+    for some in (found, [w for w in found if w.isascii()], ["a"], []):
+        flat, at = langid.features_of_words(some, lexicon)
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [langid.word_features(w, lexicon) for w in some]
+
+
 def test_toxicity_scores_are_sums_of_weights(spark, docs):
     labels = spark.read.parquet(f"{D}/labels.parquet")
     model = toxicity.fit_toxicity(docs, labels)
