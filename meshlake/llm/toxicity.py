@@ -52,12 +52,17 @@ class ToxicityParams:
     l2: float = 2e-4
 
 
+_WORD, _BEGINNING = zlib.crc32(b"w"), zlib.crc32(b"p")
+
+
 def word_features(word: str) -> tuple[int, ...]:
     """Hashed features of a lower-case word: the word, and its beginnings of 5 and 6 letters."""
-    mask = (1 << BITS) - 1
-    out = [zlib.crc32(b"w" + word.encode()) & mask]
-    out += [zlib.crc32(b"p" + word[:k].encode()) & mask for k in (5, 6) if len(word) > k]
-    return tuple(out)
+    mask, n, plain = (1 << BITS) - 1, len(word), word.encode()
+    own = zlib.crc32(plain, _WORD) & mask
+    if n <= 5:
+        return (own,)
+    five = zlib.crc32(word[:5].encode(), _BEGINNING)
+    return (own, five & mask) if n == 6 else (own, five & mask, zlib.crc32(word[5].encode(), five) & mask)
 
 
 def document_features(text: str | None) -> np.ndarray:
@@ -230,10 +235,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams | None =
                             known.clear()
                         f = known[w] = word_features(w)
                     hit.update(f)
-                found.append(np.fromiter(hit, np.int32, len(hit)))
+                found.append(np.sort(np.fromiter(hit, np.int32, len(hit))))
             at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int32), *found])
-            flat = flat[np.argsort(np.repeat(np.arange(len(found)), np.diff(at)) << BITS | flat)]  # by number within each row
             yield pa.RecordBatch.from_arrays([b.column("confirmed"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["confirmed", "features"])
 
     bound_batches(spark)

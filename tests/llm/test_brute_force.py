@@ -156,6 +156,12 @@ def test_toxicity_scores_are_sums_of_weights(spark, docs):
     assert model.score(some) == pytest.approx(want)
 
 
+def test_toxicity_features_are_hashes_of_words_and_beginnings():
+    for w in ("a", "abcde", "abcdef", "abcdefg", "überaus", "größer", "naïveté", "日本語日本語日本"):
+        want = [zlib.crc32(b"w" + w.encode())] + [zlib.crc32(b"p" + w[:k].encode()) for k in (5, 6) if len(w) > k]
+        assert toxicity.word_features(w) == tuple(x % (1 << toxicity.BITS) for x in want)
+
+
 def test_toxicity_learns_from_all_rows(spark, monkeypatch):
     """Beyond the 6,000 confirmed and 12,000 other rows once drawn, every distinct row counts in each step, summed in tasks or on the driver."""
     word = F.concat(F.when(F.col("id") % 3 == 0, "foul").otherwise("mild"), F.translate((F.col("id") % 50).cast("string"), "0123456789", "abcdefghij"))
