@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the
 last return the columns of ``docs`` for the rows that stay. Stages read labels and
 benchmark items from ``sf_dir``. ``run`` writes each stage's rows to the shared folder
-and rereads them for the next.
+and rereads them for the next. Each begins with executors that have given back what
+the stage before took and no longer uses.
 
 Defined results: the operators' docstrings hold. Rows with a null doc_id all stay in the
 near-duplicate stage, as no id tells them apart; of a component with ids, the row with
@@ -24,6 +25,7 @@ BROADCAST_IDS = 1_000_000
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose nearest labelled neighbours vote for quality."""
+    common.trim_executors(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     names = common.unused("score", docs.columns), common.unused("good", docs.columns)
     return quality.score_quality(docs, model, docs.columns, names=names).where(F.col(names[1]) == 1).select(*docs.columns)
@@ -31,13 +33,16 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not find toxic."""
+    common.trim_executors(spark)
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    common.trim_executors(spark)
     names = common.unused("score", docs.columns), common.unused("toxic", docs.columns)
     return toxicity.score_toxicity(docs, model, docs.columns, names=names).where(F.col(names[1]) == 0).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the five-word shingle join at a similarity of 0.8."""
+    common.trim_executors(spark)
     with common.temporary(spark):
         found = ngram_join.ngram_components(docs, ngram_join.JoinParams(words=5, percent=80))
         other = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
@@ -54,6 +59,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    common.trim_executors(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -61,6 +67,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All tokens of the documents in windows of 2048, in the proportions of their sources."""
     import public_tokenizers
 
+    common.trim_executors(spark)
     return packing.pack(docs, packing.PackParams(public_tokenizers.path("byte_bpe_50k.json")))
 
 

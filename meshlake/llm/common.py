@@ -127,6 +127,31 @@ def trim_jvm(spark: SparkSession) -> None:
         call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
+def trim_python(batches):
+    """The batches as they come, after this process has given memory that it has freed back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    yield from batches
+
+
+def trim_executors(spark: SparkSession) -> None:
+    """Let executors and their Python workers give memory that nothing uses any more back to the system.
+
+    A heap that one step has filled stays as large in the next, beside the Python workers of that;
+    over many steps the parts reach their largest sizes together. A full collection shrinks it.
+    A task a core, so that idle executors get one each; in local mode the driver is the executor.
+    """
+    context = spark.sparkContext
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        return
+    n = context.defaultParallelism
+    spark.range(0, n, 1, n).mapInArrow(trim_python, "id long").selectExpr("reflect('java.lang.System', 'gc') as done").collect()
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the column as text, modulo n (null stays null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
