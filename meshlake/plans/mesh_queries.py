@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from meshlake.operators import curves, graph, mesh, spatial, stats, tracking
+from meshlake.operators import curves, graph, mesh, pairs, spatial, tracking
 from meshlake.plans.catalog import register
 
 W = 25
@@ -328,7 +328,7 @@ def _medoids_sql(k: int, loops: int) -> str:
     return f"WITH {', '.join(out)} SELECT vertex, center FROM l{loops}"
 
 
-register("kmedoids", lambda s, d: graph.kmedoids(stats.close_pairs(features(s, d)), 4), _medoids_sql(4, 6))
+register("kmedoids", lambda s, d: pairs.medoids(features(s, d), 4), _medoids_sql(4, 6))
 
 
 def _smooth_values(spark, d):
