@@ -2,42 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.functions import geometry as g
 from meshlake.operators import mesh as ms
-from meshlake.operators.graph import settle
+from meshlake.operators.graph import settle, unsettle
 
 
 def cell(c: str | Column, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
 
 
+#: Points, and rows around them, that meet at once at most, and such meetings that travel to Python at once.
+POINTS, ROWS, MEETINGS = 4096, 2048, 100
+
+
+def paired(points: DataFrame, rows: DataFrame, size: float, work: Callable[[dict, dict], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """What ``work`` gives for the ``points`` (point, x, y, z, …) of each cell and the ``rows`` (ci, cj, ck, order, …) of that cell and those around it.
+
+    Both reach it as arrays by column, points in chunks of POINTS and rows in chunks of
+    ROWS, in their ``order``; missing numbers are NaN. No side is broadcast, and a point
+    is not repeated for the cells around it. The result is written down.
+    """
+    cells = ["ci", "cj", "ck"]
+    filled = lambda df, names: [F.coalesce(F.col(c), F.lit(float("nan"))).alias(c) if df.schema[c].dataType.simpleString() == "double" else F.col(c) for c in names]
+    lists = lambda names, mark: [F.collect_list(c).alias(f"{mark}_{c}") for c in names]
+    chunk = lambda by, order, n: F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / n)
+    mine, theirs = points.columns, [c for c in rows.columns if c not in cells]
+    placed = points.where("x is not null and y is not null and z is not null").select(*filled(points, mine), *[cell(c, size).alias(n) for c, n in zip("xyz", cells, strict=True)])
+    groups = settle(placed.withColumn("chunk", chunk(cells, "point", POINTS)).groupBy(*cells, "chunk").agg(*lists(mine, "p")))
+    around = groups.select(*cells, "chunk")
+    for c in cells:
+        around = around.withColumn("o", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(f"n{c}", F.col(c) + F.col("o")).drop("o")
+    near = around.join(rows.select(*[F.col(c).alias(f"n{c}") for c in cells], *filled(rows, theirs)).hint("merge"), [f"n{c}" for c in cells])
+    near = near.withColumn("part", chunk([*cells, "chunk"], "order", ROWS)).groupBy(*cells, "chunk", "part").agg(*lists(theirs, "r"))
+    both = near.join(groups.hint("merge"), [*cells, "chunk"]).select(*[f"p_{c}" for c in mine], *[f"r_{c}" for c in theirs])
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                yield from work({c: np.asarray(row[f"p_{c}"]) for c in mine}, {c: np.asarray(row[f"r_{c}"]) for c in theirs})
+
+    conf, name = points.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, MEETINGS)
+    try:
+        return settle(both.mapInPandas(run, schema))
+    finally:
+        conf.set(name, before)
+        unsettle(groups)
+
+
+def tiles(p: dict, n: int, most: int = 1_000_000) -> Iterator[tuple[slice, list[np.ndarray]]]:
+    """Points by runs that meet ``n`` rows in ``most`` pairs at most: (run, columns of x, y, z)."""
+    step = max(1, most // max(n, 1))
+    for lo in range(0, len(p["x"]), step):
+        at = slice(lo, lo + step)
+        yield at, [p[c][at, None] for c in "xyz"]
+
+
+def kind(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def vertex_cells(vertices: DataFrame, size: float) -> DataFrame:
+    """Vertices as rows for ``paired``."""
+    return vertices.select(*vertices.columns, F.col("vertex").alias("order"), *[cell(c, size).alias(n) for c, n in zip("xyz", ("ci", "cj", "ck"), strict=True)])
+
+
+def least(points: DataFrame, found: DataFrame, value: str) -> DataFrame:
+    """Points with the least (value, vertex) that was found for each, m; null without one."""
+    best = found.groupBy("point").agg(F.min(F.struct(value, "vertex")).alias("m"))
+    return points.select("point").join(best.hint("merge"), "point", "left")
+
+
 def nearest_vertex(points: DataFrame, vertices: DataFrame, max_dist: float, cell_size: float | None = None, facing: int = 0) -> DataFrame:
     """(point, vertex, dist) of the nearest vertex within ``max_dist`` (strictly); null beyond. Ties take the lowest vertex.
 
     ``facing`` 1 or -1 takes only vertices (with n_x, n_y, n_z) whose normal points along
     or against the way from the point to them.
 
-    Both sides meet by cells: a point looks into the cells that its reach overlaps.
+    Both sides meet by cells of ``max_dist``, or of ``cell_size`` if that is larger.
     """
-    size = float(cell_size or max_dist)
-    reach = int(np.ceil(max_dist / size))
-    near = F.sequence(F.lit(-reach), F.lit(reach))
-    p = points.select("point", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    for c, name in (("px", "ci"), ("py", "cj"), ("pz", "ck")):
-        p = p.withColumn("o", F.explode(near)).withColumn(name, cell(c, size) + F.col("o")).drop("o")
-    normals = [f"n_{c}" for c in "xyz"] if facing else []
-    v = vertices.select("vertex", *[F.col(c) for c in "xyz"], *normals, *[cell(c, size).alias(n) for c, n in zip("xyz", ("ci", "cj", "ck"), strict=True)])
-    d2 = F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2) + F.pow(F.col("pz") - F.col("z"), 2)
-    met = p.join(v, ["ci", "cj", "ck"])
-    if facing:
-        met = met.where(sum(((F.col(c) - F.col(f"p{c}")) * F.col(f"n_{c}") for c in "xyz"), F.lit(0.0)) * facing > 0)
-    best = met.select("point", "vertex", d2.alias("d2")).where(F.col("d2") < max_dist * max_dist)
-    best = best.groupBy("point").agg(F.min(F.struct("d2", "vertex")).alias("m"))
-    return points.select("point").join(best, "point", "left").select("point", F.col("m.vertex").alias("vertex"), F.sqrt("m.d2").alias("dist"))
+    size, normals = float(max(cell_size or max_dist, max_dist)), [f"n_{c}" for c in "xyz"] if facing else []
+
+    def work(p, v):
+        for at, o in tiles(p, len(v["x"])):
+            d2 = sum((o[n] - v[c]) ** 2 for n, c in enumerate("xyz"))
+            out = ~(d2 < max_dist * max_dist)
+            if facing:
+                out |= ~(sum((v[c] - o[n]) * v[f"n_{c}"] for n, c in enumerate("xyz")) * facing > 0)
+            d2[out] = np.inf
+            # rows come by vertex, so that the first least is the lowest
+            best = d2.argmin(1)
+            d2 = d2[np.arange(len(best)), best]
+            hit = np.isfinite(d2)
+            yield pd.DataFrame({"point": p["point"][at][hit], "d2": d2[hit], "vertex": v["vertex"][best[hit]]})
+
+    found = paired(points.select("point", *"xyz"), vertex_cells(vertices.select("vertex", *"xyz", *normals), size), size, work, f"point {kind(points, 'point')}, d2 double, vertex {kind(vertices, 'vertex')}")
+    return least(points, found, "d2").select("point", F.col("m.vertex").alias("vertex"), F.sqrt("m.d2").alias("dist"))
 
 
 def nearest_any(points: DataFrame, vertices: DataFrame, start: float, rounds: int = 32) -> DataFrame:
@@ -47,7 +115,7 @@ def nearest_any(points: DataFrame, vertices: DataFrame, start: float, rounds: in
         got = settle(nearest_vertex(left, vertices, reach))
         hit = got.where("vertex is not null")
         found = hit if found is None else found.unionByName(hit)
-        left = settle(left.join(got.where("vertex is null"), "point", "left_semi"))
+        left = settle(left.join(got.where("vertex is null").hint("merge"), "point", "left_semi"))
         if left.isEmpty():
             break
         reach *= 2
@@ -56,15 +124,27 @@ def nearest_any(points: DataFrame, vertices: DataFrame, start: float, rounds: in
 
 def nearest_segment(points: DataFrame, lower: DataFrame, upper: DataFrame, max_dist: float, cell_size: float = 1.0) -> DataFrame:
     """(point, vertex, dist) of the nearest segment from a lower to an upper vertex of one number, within ``max_dist``."""
-    s = lower.select("vertex", *[F.col(c).alias(f"s_{c}") for c in "xyz"]).join(upper.select("vertex", *[F.col(c).alias(f"e_{c}") for c in "xyz"]), "vertex")
-    cells = s
+    size = float(max(cell_size, max_dist))
+    rows = lower.select("vertex", *[F.col(c).alias(f"s_{c}") for c in "xyz"]).join(upper.select("vertex", *[F.col(c).alias(f"e_{c}") for c in "xyz"]).hint("merge"), "vertex").withColumn("order", F.col("vertex"))
     for c, name in zip("xyz", ("ci", "cj", "ck"), strict=True):
-        low, high = F.least(f"s_{c}", f"e_{c}") - max_dist, F.greatest(f"s_{c}", f"e_{c}") + max_dist
-        cells = cells.withColumn(name, F.explode(F.sequence(cell(low, cell_size), cell(high, cell_size))))
-    p = points.select("point", *[F.col(c).alias(f"p_{c}") for c in "xyz"], *[cell(c, cell_size).alias(n) for c, n in zip("xyz", ("ci", "cj", "ck"), strict=True)])
-    d = g.point_segment(g.vec("p"), g.vec("s"), g.vec("e"))
-    best = p.join(cells, ["ci", "cj", "ck"]).select("point", "vertex", d.alias("d")).where(F.col("d") <= max_dist).groupBy("point").agg(F.min(F.struct("d", "vertex")).alias("m"))
-    return points.select("point").join(best, "point", "left").select("point", F.col("m.vertex").alias("vertex"), F.col("m.d").alias("dist"))
+        rows = rows.withColumn(name, F.explode(F.sequence(cell(F.least(f"s_{c}", f"e_{c}"), size), cell(F.greatest(f"s_{c}", f"e_{c}"), size))))
+
+    def work(p, s):
+        way = [s[f"e_{c}"] - s[f"s_{c}"] for c in "xyz"]
+        long = way[0] * way[0] + way[1] * way[1] + way[2] * way[2]
+        for at, o in tiles(p, len(long)):
+            along = way[0] * (o[0] - s["s_x"]) + way[1] * (o[1] - s["s_y"]) + way[2] * (o[2] - s["s_z"])
+            t = np.clip(np.divide(along, long, out=np.zeros_like(along), where=np.broadcast_to(long > 0, along.shape)), 0.0, 1.0)
+            d = [o[n] - (s[f"s_{c}"] + way[n] * t) for n, c in enumerate("xyz")]
+            d = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+            d[~(d <= max_dist)] = np.inf
+            best = d.argmin(1)
+            d = d[np.arange(len(best)), best]
+            hit = np.isfinite(d)
+            yield pd.DataFrame({"point": p["point"][at][hit], "d": d[hit], "vertex": s["vertex"][best[hit]]})
+
+    found = paired(points.select("point", *"xyz"), rows, size, work, f"point {kind(points, 'point')}, d double, vertex {kind(lower, 'vertex')}")
+    return least(points, found, "d").select("point", F.col("m.vertex").alias("vertex"), F.col("m.d").alias("dist"))
 
 
 def bounding(mesh: ms.Mesh, resolution: float = 1.0) -> DataFrame:
