@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlake.functions import geometry as g
 from meshlake.operators import mesh as ms
 from meshlake.operators import spatial
-from meshlake.operators.stats import principal_axis
+from meshlake.operators.stats import MOMENTS, main_axis, principal_axis
 
 
 def vertex_weights(offset: g.Vec, normal: g.Vec, power: float = -1.0, side: int = 0) -> Column:
@@ -31,28 +33,35 @@ def average_point(points: DataFrame, white: ms.Mesh, pial: ms.Mesh, depth: DataF
 
     Vertices within ``max_dist`` weigh by their distance to a power; those of the outer
     surface only where their normal points away from the point (towards it with
-    ``flip``). Points and vertices meet in grid cells.
+    ``flip``). Points and vertices meet in grid cells, which give sums for each point.
     """
-    size, near = float(max_dist), F.sequence(F.lit(-1), F.lit(1))
-    p = points.select("point", *[F.col(c).alias(f"p_{c}") for c in "xyz"])
-    for c, name in zip("xyz", ("ci", "cj", "ck"), strict=True):
-        p = p.withColumn("o", F.explode(near)).withColumn(name, spatial.cell(f"p_{c}", size) + F.col("o")).drop("o")
-    parts = []
+    size, parts = float(max_dist), []
+    names = {"n": "radial", "g": "tangential"}
     for mesh, side in ((white, 0), (pial, -1 if flip else 1)):
-        v = vertex_field(mesh, depth).withColumns({n: spatial.cell(c, size) for c, n in zip("xyz", ("ci", "cj", "ck"), strict=True)})
-        both = p.join(v, ["ci", "cj", "ck"])
-        offset = tuple(F.col(c) - F.col(f"p_{c}") for c in "xyz")
-        both = both.withColumn("d", g.norm(offset)).where((F.col("d") > 0) & (F.col("d") <= max_dist))
-        # side 1 leaves out what points along the way from the point, -1 what points against it
-        both = both.withColumn("w", vertex_weights(offset, g.vec("n"), power, -side))
-        parts.append(both.select("point", "w", *[f"{k}_{c}" for k in "ng" for c in "xyz"]))
-    rows = reduce(DataFrame.unionByName, parts).where("w > 0")
-    return _axes(rows, "n", "g", "w")
+
+        def work(p, v, side=side):
+            for at, o in spatial.tiles(p, len(v["x"])):
+                offset = [v[c] - o[n] for n, c in enumerate("xyz")]
+                d = np.sqrt(offset[0] * offset[0] + offset[1] * offset[1] + offset[2] * offset[2])
+                near = (d > 0) & (d <= max_dist)
+                if side:
+                    # side 1 leaves out what points against the way from the point, -1 what points along it
+                    near &= ~(sum(x * v[f"n_{c}"] for x, c in zip(offset, "xyz", strict=True)) * -side > 0)
+                w = np.where(near, np.where(near, d, 1.0) ** power, 0.0)
+                found = {k: spatial.moments(w, v, k) for k in names}
+                hit = found["n"]["any"] | found["g"]["any"]
+                yield pd.DataFrame({"point": p["point"][at][hit], **{(f"{k}_any" if m == "any" else m): x[hit] for k, f in found.items() for m, x in f.items()}})
+
+        schema = f"point {spatial.kind(points, 'point')}, " + ", ".join(f"{k}_any boolean, " + ", ".join(f"{k}{i}{j} double" for i, j in MOMENTS) for k in names)
+        parts.append(spatial.paired(points.select("point", *"xyz"), spatial.vertex_cells(vertex_field(mesh, depth), size), size, work, schema))
+    sums = reduce(DataFrame.unionByName, parts)
+    axes = [main_axis(sums.where(f"{k}_any"), ["point"], k).select("point", *[F.col(f"axis_{c}").alias(f"{name}_{c}") for c in "xyz"]) for k, name in names.items()]
+    return axes[0].join(axes[1].hint("merge"), "point")
 
 
 def _axes(rows: DataFrame, radial: str, tangential: str, weight: str) -> DataFrame:
     axis = lambda k, name: principal_axis(rows.where(f"{k}_x is not null"), ["point"], (f"{k}_x", f"{k}_y", f"{k}_z"), weight).select("point", *[F.col(f"axis_{c}").alias(f"{name}_{c}") for c in "xyz"])
-    return axis(radial, "radial").join(axis(tangential, "tangential"), "point")
+    return axis(radial, "radial").join(axis(tangential, "tangential").hint("merge"), "point")
 
 
 def average_line(points: DataFrame, white: ms.Mesh, pial: ms.Mesh, depth: DataFrame, max_dist: float, norient: int = 100, power: float = -1.0) -> DataFrame:
@@ -63,27 +72,23 @@ def average_line(points: DataFrame, white: ms.Mesh, pial: ms.Mesh, depth: DataFr
     by distance and weighted by the line's length to a power. ``thickness`` is the length of the
     shortest line and ``place`` (0 to 0.5) where on it the point is.
     """
-    spark = points.sparkSession
-    ways = spark.createDataFrame([(n, *map(float, d)) for n, d in enumerate(g.fibonacci_sphere(norient))], "way int, d_x double, d_y double, d_z double")
+    ways = g.fibonacci_sphere(norient)
     if norient > 10_000:
         raise ValueError("at most 10000 directions")
-    # norient rows, checked above
-    lines = points.select("point", *[F.col(c).alias(f"o_{c}") for c in "xyz"]).join(F.broadcast(ways))
-    rays = lines.withColumn("ray", F.struct("point", "way"))
-    back = rays.select("ray", *[f"o_{c}" for c in "xyz"], *[(-F.col(f"d_{c}")).alias(f"d_{c}") for c in "xyz"])
-    inner = spatial.ray_hits(rays.select("ray", *[f"{k}_{c}" for k in "od" for c in "xyz"]), white, max_dist, facing=0)
-    outer = spatial.ray_hits(back, pial, max_dist, facing=0)
-    field = lambda m, k: ms.face_normals(m).join(ms.face_gradient(m, depth), "face").select(F.col("face").alias(f"face_{k}"), *[F.col(f"{a}_{c}").alias(f"{k}{a}_{c}") for a in "ng" for c in "xyz"])
-    hit = lambda h, k: h.where("face is not null").select("ray", F.col("face").alias(f"face_{k}"), F.col("t").alias(f"t_{k}"))
-    both = hit(inner, "w").join(hit(outer, "p"), "ray").join(field(white, "w"), "face_w").join(field(pial, "p"), "face_p")
+    origins = points.select("point", *"xyz")
+    inner = spatial.first_hits(origins, white, max_dist, ways=ways)
+    outer = spatial.first_hits(origins, pial, max_dist, ways=[(-x, -y, -z) for x, y, z in ways])
+    field = lambda m, k: ms.face_normals(m).join(ms.face_gradient(m, depth), "face").select(F.col("face").alias(f"face_{k}"), *[F.col(f"{a}_{c}").alias(f"{k}{a}_{c}") for a in "ng" for c in "xyz"]).hint("merge")
+    hit = lambda h, k: h.select("point", "way", F.col("face").alias(f"face_{k}"), F.col("t").alias(f"t_{k}"))
+    both = hit(inner, "w").join(hit(outer, "p").hint("merge"), ["point", "way"]).join(field(white, "w"), "face_w").join(field(pial, "p"), "face_p")
     both = both.withColumn("length", F.col("t_w") + F.col("t_p")).where("length > 0")
     for a in "ng":
         mix = tuple((F.col("t_w") * F.col(f"p{a}_{c}") + F.col("t_p") * F.col(f"w{a}_{c}")) / F.col("length") for c in "xyz")
         for c, m in zip("xyz", g.unit(mix), strict=True):
             both = both.withColumn(f"{a}_{c}", m)
-    rows = both.select(F.col("ray.point").alias("point"), F.pow("length", F.lit(float(power))).alias("w"), "length", "t_w", "t_p", *[f"{a}_{c}" for a in "ng" for c in "xyz"])
+    rows = both.select("point", F.pow("length", F.lit(float(power))).alias("w"), "length", "t_w", "t_p", *[f"{a}_{c}" for a in "ng" for c in "xyz"])
     short = rows.groupBy("point").agg(F.min(F.struct("length", F.least("t_w", "t_p").alias("less"))).alias("m"))
-    return _axes(rows, "n", "g", "w").join(short, "point").select("point", *[f"{k}_{c}" for k in ("radial", "tangential") for c in "xyz"], F.col("m.length").alias("thickness"), (F.col("m.less") / F.col("m.length")).alias("place"))
+    return _axes(rows, "n", "g", "w").join(short.hint("merge"), "point").select("point", *[f"{k}_{c}" for k in ("radial", "tangential") for c in "xyz"], F.col("m.length").alias("thickness"), (F.col("m.less") / F.col("m.length")).alias("place"))
 
 
 def closest_vertex(points: DataFrame, white: ms.Mesh, pial: ms.Mesh, depth: DataFrame, max_dist: float) -> DataFrame:
@@ -92,8 +97,8 @@ def closest_vertex(points: DataFrame, white: ms.Mesh, pial: ms.Mesh, depth: Data
     for k, m in (("w", white), ("p", pial)):
         near = spatial.nearest_vertex(points, m.vertices, max_dist).select("point", F.col("vertex").alias("at"), F.col("dist").alias(f"dist_{k}"))
         field = vertex_field(m, depth).drop("x", "y", "z")
-        found.append(near.join(field, F.col("at") == F.col("vertex"), "left").select("point", f"dist_{k}", *[F.col(f"{a}_{c}").alias(f"{k}{a}_{c}") for a in "ng" for c in "xyz"]))
-    both = found[0].join(found[1], "point")
+        found.append(near.join(field.hint("merge"), F.col("at") == F.col("vertex"), "left").select("point", f"dist_{k}", *[F.col(f"{a}_{c}").alias(f"{k}{a}_{c}") for a in "ng" for c in "xyz"]))
+    both = found[0].join(found[1].hint("merge"), "point")
     inner = F.col("dist_p").isNull() | (F.col("dist_w") <= F.col("dist_p"))
     pick = lambda a: g.unit(tuple(F.when(inner, F.col(f"w{a}_{c}")).otherwise(F.col(f"p{a}_{c}")) for c in "xyz"))
     return both.select("point", *[x.alias(f"{name}_{c}") for a, name in (("n", "radial"), ("g", "tangential")) for c, x in zip("xyz", pick(a), strict=True)])
@@ -102,7 +107,7 @@ def closest_vertex(points: DataFrame, white: ms.Mesh, pial: ms.Mesh, depth: Data
 def frame(field: DataFrame, rough: DataFrame | None = None) -> DataFrame:
     """(point, radial_*, sulcal_*, gyral_*): directions made perpendicular, turned to agree with a rough field if given."""
     if rough is not None:
-        field = field.join(rough.select("point", *[F.col(f"{k}_{c}").alias(f"r{k}_{c}") for k in ("radial", "tangential") for c in "xyz"]), "point")
+        field = field.join(rough.select("point", *[F.col(f"{k}_{c}").alias(f"r{k}_{c}") for k in ("radial", "tangential") for c in "xyz"]).hint("merge"), "point")
         aligned = {f"{k}_{c}": x for k in ("radial", "tangential") for c, x in zip("xyz", g.align(g.vec(k), g.vec(f"r{k}")), strict=True)}
         field = field.withColumns(aligned)
     three = g.make_perpendicular(g.vec("radial"), g.vec("tangential"))

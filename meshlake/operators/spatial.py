@@ -188,19 +188,76 @@ def hits_per_voxel(index: DataFrame) -> DataFrame:
     return index.groupBy("i", "j", "k").agg(F.count(F.lit(1)).alias("nhit"))
 
 
-def ray_cells(rays: DataFrame, max_dist: float) -> DataFrame:
-    """Rays with the voxels they pass: one row for each stretch between crossings of voxel borders."""
+def ray_voxels(o: np.ndarray, d: np.ndarray, max_dist: float) -> np.ndarray:
+    """(rays, steps, 3): the voxels that rays (origins, directions) pass: one for each stretch between crossings of voxel borders."""
+    ends, cuts = o + d * max_dist, [np.zeros((len(o), 1)), np.full((len(o), 1), max_dist)]
+    for n in range(3):
+        first = np.floor(np.minimum(o[:, n], ends[:, n]) + 0.5)
+        borders = first[:, None] + np.arange(int(max_dist * np.abs(d[:, n]).max(initial=0)) + 3) - 0.5
+        moves = np.abs(d[:, n]) * max_dist > 1e-12
+        t = (borders - o[:, n, None]) / np.where(moves, d[:, n], 1.0)[:, None]
+        cuts.append(np.where(moves[:, None] & (t >= 0) & (t <= max_dist), t, max_dist))
+    ts = np.sort(np.hstack(cuts), axis=1)
+    at = o[:, None] + ((ts[:, :-1] + ts[:, 1:]) / 2)[..., None] * d[:, None]
+    return np.copysign(np.floor(np.abs(at) + 0.5), at).astype(np.int64)
+
+
+def _first(o: np.ndarray, d: np.ndarray, tri: dict, max_dist: float, facing: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ray, t, face) of the first of some triangles, given by the voxels (i, j, k) they meet, that each ray meets."""
+    low = [tri[c].min() for c in "ijk"]
+    span = [tri[c].max() - x + 1 for c, x in zip("ijk", low, strict=True)]
+    number = lambda v: ((v[0] - low[0]) * span[1] + v[1] - low[1]) * span[2] + v[2] - low[2]
+    key = number([tri[c] for c in "ijk"])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    passed = np.moveaxis(ray_voxels(o, d, max_dist), 2, 0)
+    held = np.all([(v >= x) & (v < x + n) for v, x, n in zip(passed, low, span, strict=True)], axis=0)
+    ray = np.nonzero(held)[0]
+    want = number([v[held] for v in passed])
+    start = np.searchsorted(key, want, "left")
+    count = np.searchsorted(key, want, "right") - start
+    row = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - start, count)]
+    ray = np.repeat(ray, count)
+    a, b, c = (np.vstack([tri[f"{k}_{x}"][row] for x in "xyz"]) for k in "abc")
+    way, cross = d[ray].T, lambda u, v: np.vstack([u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]])
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+    e1, e2, s = b - a, c - a, o[ray].T - a
+    h, q = cross(way, e2), cross(s, e1)
+    det = dot(e1, h)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u, v, t = dot(s, h) / det, dot(way, q) / det, dot(e2, q) / det
+    hit = (np.abs(det) > 1e-12) & (u >= -1e-5) & (v >= -1e-5) & (u + v <= 1 + 2e-5) & (t >= 0) & (t <= max_dist)
+    if facing:
+        hit &= dot(cross(e1, e2), way) * facing > 0
+    ray, t, face = ray[hit], t[hit], tri["face"][row[hit]]
+    order = np.lexsort((face, t, ray))
+    order = order[np.diff(ray[order], prepend=-1) != 0]
+    return ray[order], t[order], face[order]
+
+
+def first_hits(origins: DataFrame, mesh: ms.Mesh, max_dist: float, facing: int = 0, ways: list[tuple[float, float, float]] | None = None) -> DataFrame:
+    """(point, way, t, face): the first triangle within ``max_dist`` on the ray from each of ``origins`` (point, x, y, z, d_x, d_y, d_z).
 
-    def crossings(c: str) -> Column:
-        o, d = F.col(f"o_{c}"), F.col(f"d_{c}") * max_dist
-        low, high = F.floor(F.least(o, o + d) + 0.5), F.ceil(F.greatest(o, o + d) - 0.5)
-        places = F.transform(F.sequence(low, F.greatest(low, high)), lambda n: F.try_divide((n - 0.5) - o, d) * max_dist)
-        return F.when(F.abs(d) > 1e-12, places).otherwise(F.array().cast("array<double>"))
+    With ``ways`` rays leave each origin in all those directions, numbered by ``way``
+    (else 0). Origins meet the triangles of the voxels around them by cells.
+    """
+    size = float(max_dist) + 1
+    rows = voxel_triangles(mesh).join(ms.corners(mesh).hint("merge"), "face")
+    rows = rows.select("face", F.col("face").alias("order"), *"ijk", *[f"{k}_{c}" for k in "abc" for c in "xyz"], *[cell(c, size).alias(n) for c, n in zip("ijk", ("ci", "cj", "ck"), strict=True)])
+    turn = -facing if mesh.flip else facing
+
+    def work(p, tri):
+        n = len(ways) if ways else 1
+        step = max(1, 1_000_000 // max(len(tri["face"]), 3 * int(max_dist + 3)) // n)
+        for lo in range(0, len(p["x"]), step):
+            at = slice(lo, lo + step)
+            o = np.repeat(np.vstack([p[c][at] for c in "xyz"]).T, n, axis=0)
+            d = np.tile(np.array(ways, float), (len(o) // n, 1)) if ways else np.vstack([p[f"d_{c}"][at] for c in "xyz"]).T
+            ray, t, face = _first(o, d, tri, float(max_dist), turn)
+            yield pd.DataFrame({"point": p["point"][at][ray // n], "way": ray % n, "t": t, "face": face})
 
-    cuts = [crossings(c) for c in "xyz"]
-    ts = F.array_sort(F.filter(F.concat(F.array(F.lit(0.0), F.lit(float(max_dist))), *cuts), lambda t: (t >= 0) & (t <= max_dist)))
-    rows = rays.withColumn("ts", ts).withColumn("mid", F.explode(F.zip_with(F.slice("ts", 1, F.size("ts") - 1), F.slice("ts", 2, F.size("ts") - 1), lambda s, e: (s + e) / 2)))
-    return rows.select(*rays.columns, *[F.round(F.col(f"o_{c}") + F.col("mid") * F.col(f"d_{c}")).cast("bigint").alias(n) for c, n in zip("xyz", "ijk", strict=True)]).distinct()
+    found = paired(origins, rows, size, work, f"point {kind(origins, 'point')}, way int, t double, face {kind(mesh.faces, 'face')}")
+    return found.groupBy("point", "way").agg(F.min(F.struct("t", "face")).alias("m")).select("point", "way", "m.*")
 
 
 def ray_hits(rays: DataFrame, mesh: ms.Mesh, max_dist: float, facing: int = 0) -> DataFrame:
@@ -209,17 +266,11 @@ def ray_hits(rays: DataFrame, mesh: ms.Mesh, max_dist: float, facing: int = 0) -
     ``facing`` 1 or -1 takes only triangles whose normal points along or against it.
     Rays and triangles meet in voxels, so neither side is broadcast.
     """
-    index = voxel_triangles(mesh)
-    cand = ray_cells(rays, max_dist).join(index, ["i", "j", "k"]).select("ray", "face").distinct()
-    full = cand.join(rays, "ray").join(ms.corners(mesh), "face")
-    hit, t = g.line_triangle(g.vec("o"), g.vec("d"), *map(g.vec, "abc"), one_sided=True)
-    full = full.where(hit).withColumn("t", t).where(F.col("t") <= max_dist)
-    if facing:
-        n = g.triangle_normal(*map(g.vec, "abc"), flip=mesh.flip)
-        full = full.where(g.dot(n, g.vec("d")) * facing > 0)
-    best = full.groupBy("ray").agg(F.min(F.struct("t", "face")).alias("m"))
-    out = rays.join(best, "ray", "left")
-    return out.select("ray", F.col("m.face").alias("face"), F.col("m.t").alias("t"), *[(F.col(f"o_{c}") + F.col("m.t") * F.col(f"d_{c}")).alias(c) for c in "xyz"])
+    whole = rays.where("d_x is not null and d_y is not null and d_z is not null")
+    origins = whole.select(F.col("ray").alias("point"), *[F.col(f"o_{c}").alias(c) for c in "xyz"], *[f"d_{c}" for c in "xyz"])
+    best = first_hits(origins, mesh, max_dist, facing).select(F.col("point").alias("ray"), "face", "t")
+    out = rays.join(best.hint("merge"), "ray", "left")
+    return out.select("ray", "face", "t", *[(F.col(f"o_{c}") + F.col("t") * F.col(f"d_{c}")).alias(c) for c in "xyz"])
 
 
 def inside(points: DataFrame, mesh: ms.Mesh) -> DataFrame:
@@ -286,16 +337,30 @@ def voxel_edge_crossings(mesh: ms.Mesh) -> DataFrame:
     return found
 
 
+def moments(weight: np.ndarray, v: dict, name: str) -> dict:
+    """Sums over rows, for each point, of squared weights (points by rows) times products of a vector's entries; rows without it count nothing."""
+    from meshlake.operators.stats import MOMENTS
+
+    n = np.vstack([v[f"{name}_{c}"] for c in "xyz"])
+    known = ~np.isnan(n).any(0)
+    w2, n = np.where(known, weight * weight, 0.0), np.where(known, n, 0.0)
+    return {"any": (w2 > 0).any(1), **{f"{name}{i}{j}": w2 @ (n[i] * n[j]) for i, j in MOMENTS}}
+
+
 def point_orientation(points: DataFrame, vertices: DataFrame, normals: DataFrame, power: float = -1.0, max_dist: float = 3.0) -> DataFrame:
     """(point, axis, value): the main axis of the vertices' normals around a point, weighted by distance to a power."""
-    from meshlake.operators.stats import principal_axis
+    from meshlake.operators.stats import MOMENTS, main_axis
 
     size = float(max_dist)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    p = points.select("point", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    for c, name in (("px", "ci"), ("py", "cj"), ("pz", "ck")):
-        p = p.withColumn("o", F.explode(near)).withColumn(name, cell(c, size) + F.col("o")).drop("o")
-    v = vertices.join(normals, "vertex").select("n_x", "n_y", "n_z", *"xyz", *[cell(c, size).alias(n) for c, n in zip("xyz", ("ci", "cj", "ck"), strict=True)])
-    d = F.sqrt(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2) + F.pow(F.col("pz") - F.col("z"), 2))
-    weighted = p.join(v, ["ci", "cj", "ck"]).withColumn("d", d).where((F.col("d") > 0) & (F.col("d") <= max_dist)).withColumn("w", F.pow("d", F.lit(power)))
-    return principal_axis(weighted.where("n_x is not null"), ["point"], ("n_x", "n_y", "n_z"), "w")
+    rows = vertices.select("vertex", *"xyz").join(normals.select("vertex", "n_x", "n_y", "n_z").where("n_x is not null").hint("merge"), "vertex")
+
+    def work(p, v):
+        for at, o in tiles(p, len(v["x"])):
+            d = np.sqrt(sum((o[n] - v[c]) ** 2 for n, c in enumerate("xyz")))
+            near = (d > 0) & (d <= max_dist)
+            m = moments(np.where(near, np.where(near, d, 1.0) ** power, 0.0), v, "n")
+            hit = m.pop("any")
+            yield pd.DataFrame({"point": p["point"][at][hit], **{k: x[hit] for k, x in m.items()}})
+
+    schema = f"point {kind(points, 'point')}, " + ", ".join(f"n{i}{j} double" for i, j in MOMENTS)
+    return main_axis(paired(points.select("point", *"xyz"), vertex_cells(rows, size), size, work, schema), ["point"], "n")

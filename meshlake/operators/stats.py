@@ -383,20 +383,25 @@ def boundary_frequency(labelings: DataFrame, edges: DataFrame, vertices: DataFra
     crossed = mine.groupBy("run", F.col("src").alias("vertex")).agg(F.max((F.col("label") != F.col("other")).cast("int")).alias("b"))
     return vertices.select("vertex").join(crossed.groupBy("vertex").agg(F.avg("b").alias("border")), "vertex", "left")
 
+MOMENTS = [(i, j) for i in range(3) for j in range(i, 3)]
+
 def principal_axis(df: DataFrame, by: list[str], vector: tuple[str, str, str], weight: str | None = None) -> DataFrame:
     """(…by, axis_x, axis_y, axis_z, value): the main axis of weighted directions in each group.
 
     Moments are summed in Spark; only six numbers a group reach the eigenvalue step.
     """
     w = F.col(weight) * F.col(weight) if weight else F.lit(1.0)
-    names = [(i, j) for i in range(3) for j in range(i, 3)]
-    m = df.groupBy(*by).agg(*[F.sum(w * F.col(vector[i]) * F.col(vector[j])).alias(f"m{i}{j}") for i, j in names])
-    schema = ", ".join([f"{c} {df.schema[c].dataType.simpleString()}" for c in by] + ["axis_x double", "axis_y double", "axis_z double", "value double"])
+    return main_axis(df.select(*by, *[(w * F.col(vector[i]) * F.col(vector[j])).alias(f"m{i}{j}") for i, j in MOMENTS]), by)
+
+def main_axis(moments: DataFrame, by: list[str], prefix: str = "m") -> DataFrame:
+    """The main axis of each group of moments (…by, m00, m01, …), which are summed first."""
+    m = moments.groupBy(*by).agg(*[F.sum(f"{prefix}{i}{j}").alias(f"m{i}{j}") for i, j in MOMENTS])
+    schema = ", ".join([f"{c} {moments.schema[c].dataType.simpleString()}" for c in by] + ["axis_x double", "axis_y double", "axis_z double", "value double"])
 
     def run(batches):
         for b in batches:
             full = np.zeros((len(b), 3, 3))
-            for i, j in names:
+            for i, j in MOMENTS:
                 full[:, i, j] = full[:, j, i] = b[f"m{i}{j}"]
             values, vectors = np.linalg.eigh(full)
             axis = vectors[:, :, 2]

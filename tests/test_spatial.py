@@ -26,7 +26,7 @@ def table(spark, name, x):
     return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], f"{name} long, x double, y double, z double")
 
 
-@pytest.mark.parametrize("name", ["nearest_vertex", "nearest_any", "nearest_segment"])
+@pytest.mark.parametrize("name", ["nearest_vertex", "nearest_any", "nearest_segment", "point_orientation", "ray_hits", "orientation_interp"])
 def test_nothing_large_is_broadcast(spark, small_broadcasts, name):
     assert entry_points.queries()[name](spark, D).count() == 20000
 
