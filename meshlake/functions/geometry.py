@@ -78,10 +78,14 @@ def euler2mat(phi: Column, theta: Column, psi: Column) -> list[list[Column]]:
 
 
 def mat2euler(m) -> tuple[Column, Column, Column]:
-    """Angles (phi, theta, psi) of a rotation matrix, theta in 0..pi."""
-    theta = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m[2][2])))
-    flat = F.abs(m[2][2]) > 1 - 1e-12
-    phi = F.when(flat, F.lit(0.0)).otherwise(F.atan2(m[1][2], m[0][2]))
+    """Angles (phi, theta, psi) of a rotation matrix, theta in 0..pi.
+
+    Near 0 and pi the cosine of theta tells little of it; its sine, the length of two
+    entries, does. phi is 0 where both are.
+    """
+    theta = F.atan2(F.hypot(m[0][2], m[1][2]), m[2][2])
+    # adding 0.0 turns -0.0 into 0.0
+    phi = F.atan2(m[1][2] + 0.0, m[0][2] + 0.0)
     t = euler2mat(phi, theta, F.lit(0.0))
     col = lambda a, j: [a[i][j] for i in range(3)]
     along = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]

@@ -191,11 +191,16 @@ register("spherical_round_trip", lambda s, d: rounded(_xyz(s, d).select("vertex"
 
 
 def _euler(spark, d):
+    # in steps: one expression of all would hold the matrix hundreds of times
+    place = [(i, j) for i in range(3) for j in range(3)]
     m = g.euler2mat(*[F.col(c) for c in "xyz"])
-    angles = g.mat2euler(m)
+    df = _xyz(spark, d).select("vertex", *[m[i][j].alias(f"m{i}{j}") for i, j in place])
+    known = [[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)]
+    df = df.select("*", *[a.alias(n) for a, n in zip(g.mat2euler(known), ("phi", "theta", "psi"), strict=True)])
+    angles = [F.col(c) for c in ("phi", "theta", "psi")]
     back = g.euler2mat(*angles)
-    worst = F.greatest(*[F.abs(a - b) for x, y in zip(m, back, strict=True) for a, b in zip(x, y, strict=True)])
-    return _xyz(spark, d).select("vertex", (worst < 1e-9).alias("same"), ((angles[1] >= 0) & (F.abs(angles[0]) <= 3.15) & (F.abs(angles[2]) <= 3.15)).alias("within"))
+    worst = F.greatest(*[F.abs(known[i][j] - back[i][j]) for i, j in place])
+    return df.select("vertex", (worst < 1e-9).alias("same"), ((angles[1] >= 0) & (F.abs(angles[0]) <= 3.15) & (F.abs(angles[2]) <= 3.15)).alias("within"))
 
 
 register("euler_round_trip", _euler, "SELECT vec_id AS vertex, true AS same, true AS within FROM embeddings")

@@ -156,3 +156,17 @@ def test_sigmoid_fit(spark):
     d = np.linspace(-3, 5, 50)
     df = spark.createDataFrame([(float(x), float(1 / (1 + np.exp(-(x - 1.2) / 0.7)))) for x in d], "dist double, value double")
     assert stats.fit_sigmoid(df) == pytest.approx((1.2, 0.7), abs=0.02)
+
+
+def test_euler_angles_of_small_turns(spark):
+    """A turn by less than a millionth about an axis keeps its direction."""
+    rows = [(0.7, 3e-7, 0.4), (-0.9, -4e-8, 0.2), (0.3, math.pi - 2e-7, 1.1), (0.5, 0.0, 0.25), (1.2, 1e-5, -0.3)]
+    cells = [(i, j) for i in range(3) for j in range(3)]
+    entries = lambda m: [m[i][j].alias(f"m{i}{j}") for i, j in cells]
+    known = [[F.col(f"m{i}{j}") for j in range(3)] for i in range(3)]
+    df = spark.createDataFrame(rows, "x double, y double, z double").select(*entries(g.euler2mat(*[F.col(c) for c in "xyz"])))
+    df = df.select("*", *[a.alias(n) for a, n in zip(g.mat2euler(known), ("phi", "theta", "psi"), strict=True)])
+    back = g.euler2mat(*[F.col(c) for c in ("phi", "theta", "psi")])
+    got = df.select("phi", "theta", "psi", F.greatest(*[F.abs(F.col(f"m{i}{j}") - back[i][j]) for i, j in cells]).alias("worst")).collect()
+    assert all(r["worst"] < 1e-12 for r in got)
+    assert got[0]["phi"] == pytest.approx(0.7) and got[0]["theta"] == pytest.approx(3e-7, rel=1e-6) and got[0]["psi"] == pytest.approx(0.4)
