@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meshlake.functions import geometry as g
 from meshlake.functions import structures
-from meshlake.operators import align, binning, cortex, graph, mesh, orientation, spatial, stats
+from meshlake.operators import align, binning, cortex, graph, mesh, orientation, pairs, spatial, stats
 from meshlake.plans.catalog import register
 from meshlake.plans.mesh_queries import SQL_MESH, SQL_VOXELS, features, lattice, points, rounded
 
@@ -136,7 +136,7 @@ def _close(spark, d):
 
 register(
     "dbscan",
-    lambda s, d: stats.dbscan(_close(s, d).where("d <= 1.25"), points(s, d).select("vertex"), 4),
+    lambda s, d: pairs.density_clusters(features(s, d), 1.25, 4),
     """WITH RECURSIVE f AS (SELECT vec_id AS v, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), n AS (SELECT a.v AS src, b.v AS dst FROM f a, f b WHERE list_distance(a.e, b.e) <= 1.25),
 core AS (SELECT src AS v FROM n GROUP BY 1 HAVING count(*) >= 4), ce AS (SELECT src, dst FROM n JOIN core p ON p.v = src JOIN core q ON q.v = dst),
 reach(v, c) AS (SELECT v, v FROM core UNION SELECT ce.dst, r.c FROM reach r JOIN ce ON ce.src = r.v), lab AS (SELECT v, min(c) AS c FROM reach GROUP BY 1),

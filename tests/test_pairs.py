@@ -41,3 +41,14 @@ def test_medoids(spark, cloud, small_blocks, init):
 def test_medoids_of_many_rows(spark, many):
     got = entry_points.queries()["kmedoids"](spark, many).toPandas()
     assert len(got) == 20001 and got["center"].nunique() == 4
+
+
+@pytest.mark.parametrize("eps", [0.5, 0.75, 1.25])
+def test_density_clusters(spark, cloud, small_blocks, eps):
+    want = stats.dbscan(stats.close_pairs(cloud).where(f"d <= {eps}"), cloud.select("vertex"), 4)
+    got = pairs.density_clusters(cloud, eps, 4)
+    assert sorted(got.select("vertex", "cluster").collect()) == sorted(want.select("vertex", "cluster").collect())
+
+
+def test_density_clusters_of_many_rows(spark, many):
+    assert entry_points.queries()["dbscan"](spark, many).count() == 20001
