@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
 
 import numpy as np
@@ -95,26 +96,73 @@ def sparse_min(entries: DataFrame, key: str | None = None) -> DataFrame:
     return grouped.select(*([key] if key else []), F.col("m.value").alias("value"), *([] if key == "row" else [F.col("m.row").alias("row")]), *([] if key == "col" else [F.col("m.col").alias("col")]))
 
 
+#: Edges of a block of vertices, about, within which one task finds paths.
+BLOCK_EDGES = 300_000
+
+
+def _extend(edges: pd.DataFrame, known: pd.DataFrame, here: int, bounds: list[int]) -> pd.DataFrame:
+    """Paths within a block: its vertices' paths (kind 0) once those of ``known`` (kind 1) have come in, and what leaves it (kind 1)."""
+    none = float("-inf")
+    edges = edges.sort_values("src", kind="stable")
+    src, inside = edges["src"].to_numpy(), np.searchsorted(bounds, edges["dst"].to_numpy(), "right") == here
+    ids, first = np.unique(src, return_index=True)
+    spans = dict(zip(ids.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(src)], strict=True), strict=True))
+    dst, w, inside = edges["dst"].tolist(), edges["w"].tolist(), inside.tolist()
+    rows = list(zip(known["dist"].tolist(), known["root"].tolist(), [none if x is None or x != x else int(x) for x in known["pred"].tolist()], known["vertex"].tolist(), known["longer"].tolist(), known["kind"].tolist(), strict=True))
+    label = {v: (d, r, p) for d, r, p, v, _, k in rows if k == 0}
+    heap = [(d, r, p, v, longer) for d, r, p, v, longer, k in rows if k == 1]
+    heapq.heapify(heap)
+    out: dict = {}
+    while heap:
+        d, r, p, v, longer = heapq.heappop(heap)
+        old = label.get(v)
+        if old is not None and (d, r) >= old[:2]:
+            # a lower predecessor on a way as short; over an edge of no length it could close a ring
+            if (d, r) == old[:2] and longer and p < old[2]:
+                label[v] = d, r, p
+            continue
+        label[v] = d, r, p
+        for k in range(*spans.get(v, (0, 0))):
+            step = (d + w[k], r, v, dst[k], w[k] > 0)
+            if inside[k]:
+                if dst[k] not in label or step[:2] <= label[dst[k]][:2]:
+                    heapq.heappush(heap, step)
+            elif dst[k] not in out or step < out[dst[k]]:
+                out[dst[k]] = step
+    found = [(v, d, r, p, True, 0) for v, (d, r, p) in label.items()] + [(v, d, r, p, longer, 1) for d, r, p, v, longer in out.values()]
+    got = pd.DataFrame(found, columns=["vertex", "dist", "root", "pred", "longer", "kind"])
+    return got.assign(pred=pd.array([None if x == none else int(x) for x in got["pred"]], dtype="Int64"))
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(vertex, dist, root, pred) from the nearest of ``sources`` (vertex) along ``edges`` (src, dst, w).
 
-    Rounds of relaxation until nothing changes; only vertices that changed are
-    expanded again. Unreached vertices are not returned. Ties take the lower root,
-    then the lower predecessor.
+    Vertices are dealt by ranges of their numbers into blocks of about BLOCK_EDGES edges.
+    A round finds all paths within the blocks that something came into, and sends on what
+    leaves them, until nothing does; so rounds are as many as borders of blocks that a
+    path crosses. Unreached vertices are not returned. Ties take the lower root, then the
+    lower predecessor.
     """
-    best = settle(sources.select("vertex", F.lit(0.0).alias("dist"), F.col("vertex").alias("root"), F.lit(None).cast("bigint").alias("pred")).distinct())
-    moved = whole = best
+    plain = settle(edges.select("src", "dst", F.col("w").cast("double").alias("w")))
+    parts = -(-plain.count() // BLOCK_EDGES)
+    bounds = sorted({int(x) for x in plain.approxQuantile("src", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
+    block = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col(c))) if bounds else F.lit(0)
+    near = settle(plain.withColumn("block", block("src")))
+    unsettle(plain)
+    start = sources.select("vertex", F.lit(0.0).alias("dist"), F.col("vertex").alias("root"), F.lit(None).cast("bigint").alias("pred"), F.lit(True).alias("longer"), F.lit(1).alias("kind")).distinct()
+    now = settle(start.withColumn("block", block("vertex")))
+    schema = "vertex long, dist double, root long, pred long, longer boolean, kind int"
     for _ in range(max_rounds):
-        step = moved.join(edges, moved["vertex"] == edges["src"]).select(F.col("dst").alias("vertex"), (F.col("dist") + F.col("w")).alias("dist"), "root", F.col("src").alias("pred"))
-        step = step.groupBy("vertex").agg(F.min(F.struct("dist", "root", "pred")).alias("n"))
-        both = best.join(step, "vertex", "full")
-        better = F.col("n").isNotNull() & (F.col("dist").isNull() | (F.col("n.dist") < F.col("dist") - 1e-12))
-        merged = settle(both.select("vertex", better.alias("moved"), *[F.when(better, F.col(f"n.{c}")).otherwise(F.col(c)).alias(c) for c in ("dist", "root", "pred")]))
-        unsettle(whole)
-        whole = merged
-        best, moved = merged.drop("moved"), merged.where("moved").drop("moved")
-        if moved.isEmpty():
-            return best
+        active = [r[0] for r in now.where("kind = 1").select("block").distinct().collect()]
+        if not active:
+            unsettle(near)
+            return now.select("vertex", "dist", "root", "pred")
+        here = F.col("block").isin(active)
+        run = lambda key, e, k: _extend(e, k, int(key[0]), bounds)
+        moved = near.where(here).groupBy("block").cogroup(now.where(here).groupBy("block")).applyInPandas(run, schema)
+        merged = settle(moved.withColumn("block", block("vertex")).unionByName(now.where(~here)))
+        unsettle(now)
+        now = merged
     raise RuntimeError("paths did not settle")
 
 

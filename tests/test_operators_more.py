@@ -302,3 +302,18 @@ def test_convert(spark, tmp_path):
     grey(spark).to_filename(f"{tmp_path}/a.zarr")
     convert(spark, f"{tmp_path}/a.zarr", f"{tmp_path}/b.dscalar.nii")
     assert entries(GreyOrdinates.from_filename(spark, f"{tmp_path}/b.dscalar.nii")) == entries(grey(spark))
+
+
+def test_paths_across_blocks(spark, monkeypatch):
+    """A strip of many steps takes few rounds, and blocks of any size give the same paths and ties."""
+    from meshlake.operators import graph
+
+    n = 120
+    rows = [(i, j, float(w)) for i in range(n) for j, w in ((i + 1, 1.0), (i + 2, 2.0)) if j < n]
+    edges = spark.createDataFrame(rows + [(j, i, w) for i, j, w in rows], "src long, dst long, w double")
+    sources = spark.createDataFrame([(0,), (n - 1,), (40,)], "vertex long")
+    whole = sorted(graph.shortest_paths(edges, sources, max_rounds=2).collect())
+    assert [r["root"] for r in whole] == [0] * 21 + [40] * 39 + [40 if i < 80 else n - 1 for i in range(60, n)]
+    assert all(r["dist"] == abs(r["vertex"] - r["root"]) for r in whole) and whole[42]["pred"] == 40 and whole[40]["pred"] is None
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 100)
+    assert sorted(graph.shortest_paths(edges, sources, max_rounds=12).collect()) == whole
