@@ -52,3 +52,18 @@ def test_density_clusters(spark, cloud, small_blocks, eps):
 
 def test_density_clusters_of_many_rows(spark, many):
     assert entry_points.queries()["dbscan"](spark, many).count() == 20001
+
+
+@pytest.mark.parametrize("held", [10**9, 0])
+def test_affinity_of_rows(spark, cloud, monkeypatch, held):
+    """In memory, and with matrices on disk, as over the table of all pairs."""
+    monkeypatch.setattr(stats, "HELD", held)
+    close = stats.close_pairs(cloud).selectExpr("cast(0 as long) as `group`", "src", "dst", "-d as weight")
+    x = np.array([r["features"] for r in cloud.orderBy("vertex").collect()])
+    want = [r["exemplar"] for r in stats.affinity_groups(close).orderBy("vertex").collect()]
+    assert stats.affinity_of_rows(x).tolist() == want and len(set(want)) > 1
+
+
+def test_affinity_makes_no_table_of_pairs(spark, many):
+    plan = entry_points.queries()["affinity_clusters"](spark, many)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "FlatMapGroupsInPandas" in plan
