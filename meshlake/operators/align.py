@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.operators.binning import running
@@ -36,9 +36,12 @@ def add(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def stack(arrays: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """A new leading axis ``layer`` (stacked_1, ...), on the elements that all arrays have."""
-    common = reduce(lambda x, y: x.join(y, list(keys)), [a.select(*keys).distinct() for a in arrays])
-    layers = [a.join(common, list(keys), "left_semi").select(*keys, "value", F.lit(f"stacked_{n}").alias("layer")) for n, a in enumerate(arrays, 1)]
-    return reduce(DataFrame.unionByName, layers)
+    rows = reduce(DataFrame.unionByName, [a.select(*keys, "value", F.lit(n).alias("n")) for n, a in enumerate(arrays, 1)])
+    rows = rows.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    # one exchange: an element's rows meet, and stay if they come from all arrays
+    same = Window.partitionBy(*keys)
+    seen = reduce(Column.__and__, [F.max(F.col("n") == n).over(same) for n in range(1, len(arrays) + 1)])
+    return rows.withColumn("seen", seen).where("seen").select(*keys, "value", F.concat(F.lit("stacked_"), F.col("n")).alias("layer"))
 
 
 def concatenate(arrays: Sequence[DataFrame], keys: Sequence[str], axis: int = -1) -> DataFrame:

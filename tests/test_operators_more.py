@@ -317,3 +317,12 @@ def test_paths_across_blocks(spark, monkeypatch):
     assert all(r["dist"] == abs(r["vertex"] - r["root"]) for r in whole) and whole[42]["pred"] == 40 and whole[40]["pred"] is None
     monkeypatch.setattr(graph, "BLOCK_EDGES", 100)
     assert sorted(graph.shortest_paths(edges, sources, max_rounds=12).collect()) == whole
+
+
+def test_stack_meets_in_one_exchange(spark):
+    from meshlake.operators import align
+
+    rows = [[(1, 0.5), (1, 0.75), (2, None), (None, 1.0)], [(1, 2.0), (2, 3.0), (3, 4.0)], [(2, 5.0), (1, 6.0), (None, 7.0)]]
+    got = align.stack([spark.createDataFrame(r, "vertex long, value double") for r in rows], ["vertex"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 0.5, "stacked_1"), (1, 0.75, "stacked_1"), (2, None, "stacked_1"), (1, 2.0, "stacked_2"), (2, 3.0, "stacked_2"), (2, 5.0, "stacked_3"), (1, 6.0, "stacked_3")]))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
