@@ -105,14 +105,22 @@ def spearman(a: DataFrame, b: DataFrame, by: list[str], feature: str = "feature"
     both = a.select(*by, feature, F.col("value").alias("x")).join(b.select(*by, feature, F.col("value").alias("y")), [*by, feature])
     if select is not None:
         both = both.join(select.select(feature).distinct(), feature, "left_semi")
+    return rank_correlation(both, by)
+
+def rank_correlation(both: DataFrame, by: list[str]) -> DataFrame:
+    """(…by, rho) of pairs of values (…by, x, y)."""
     ranked = average_ranks(average_ranks(both, "x", by, "rx"), "y", by, "ry")
     return ranked.groupBy(*by).agg(guarded_corr(F.col("rx"), F.col("ry")).alias("rho"))
 
 def grouped_spearman(a: DataFrame, b: DataFrame, by: list[str], structures: DataFrame, feature: str = "feature") -> DataFrame:
-    """(…by, group, rho): rank correlations over all features and over those of each structure group (feature, structure)."""
+    """(…by, group, rho): rank correlations over all features and over those of each structure group (feature, structure).
+
+    Values are paired before they are repeated for the groups they count in.
+    """
     groups = structure_groups(structures.select(feature, "structure")).select(feature, "group")
-    tag = lambda df: df.select(*by, feature, "value").join(groups, feature)
-    return spearman(tag(a), tag(b), [*by, "group"], feature)
+    both = a.select(*by, feature, F.col("value").alias("x")).join(b.select(*by, feature, F.col("value").alias("y")), [*by, feature])
+    both = settle(both.join(groups, feature).select(*by, "group", "x", "y"))
+    return rank_correlation(both, [*by, "group"])
 
 def structure_groups(df: DataFrame, structure: str = "structure") -> DataFrame:
     """Rows repeated for each group they count in: full, their own cortical structure, cortex, sub_cortical, left, right."""

@@ -326,3 +326,15 @@ def test_stack_meets_in_one_exchange(spark):
     got = align.stack([spark.createDataFrame(r, "vertex long, value double") for r in rows], ["vertex"])
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 0.5, "stacked_1"), (1, 0.75, "stacked_1"), (2, None, "stacked_1"), (1, 2.0, "stacked_2"), (2, 3.0, "stacked_2"), (2, 5.0, "stacked_3"), (1, 6.0, "stacked_3")]))
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_values_are_paired_before_groups(spark, monkeypatch):
+    """The pairs of values that are written down carry their groups; each pair is joined once, not once a group."""
+    from meshlake.operators import stats
+
+    seen = []
+    monkeypatch.setattr(stats, "settle", lambda df: seen.append(df.columns) or df)
+    a = spark.createDataFrame([("s", f, float(f * f % 7)) for f in range(12)], "subject string, feature long, value double")
+    names = spark.createDataFrame([(f, "CORTEX_LEFT" if f % 2 else "BRAIN_STEM") for f in range(12)], "feature long, structure string")
+    got = {r["group"]: r["rho"] for r in stats.grouped_spearman(a, a, ["subject"], names).collect()}
+    assert seen == [["subject", "group", "x", "y"]] and all(abs(v - 1) < 1e-12 for v in got.values()) and len(got) == 5
